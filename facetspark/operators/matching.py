@@ -164,7 +164,7 @@ def expand_wildcards(vocab: DataFrame, patterns: DataFrame) -> DataFrame:
         keyed = keyed.where(F.col("_key").isin(request.values))
     return (
         keyed.join(request.hint(keys), "_key")
-        .where(F.col("term").rlike(glob_regex_column(F.lower("pattern"))))
+        .where(F.rlike(F.col("term"), glob_regex_column(F.lower("pattern"))))
         .drop("_key")
     )
 

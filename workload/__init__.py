@@ -2,9 +2,9 @@
 
 
 def registry():
-    from workload import structured, text
+    from workload import structured, taxonomies, text
 
     found = {}
-    for module in (structured, text):
+    for module in (structured, text, taxonomies):
         found.update(module.QUERIES)
     return found

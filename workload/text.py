@@ -231,9 +231,14 @@ WHERE (list_contains(tokens, 'que') OR list_contains(tokens, 'the') OR contains(
 
 PATTERNS_SQL = f"""
 words AS (SELECT DISTINCT w FROM (SELECT unnest(words) AS w FROM items) WHERE length(w) >= 6),
-pats AS (SELECT DISTINCT unnest([left(w, 4) || '*' || right(w, 1), left(w, 2) || '?' || substr(w, 4), '*' || right(w, 5)]) AS pattern FROM words),
 vocab AS (SELECT DISTINCT term FROM tf),
-found AS MATERIALIZED (SELECT pattern, term FROM pats JOIN vocab ON regexp_full_match(term, replace(replace(replace(pattern, '.', '\\.'), '*', '.*'), '?', '.')))"""
+found AS MATERIALIZED (
+  SELECT left(w, 4) || '*' || right(w, 1) AS pattern, term FROM words JOIN vocab ON left(term, 4) = left(w, 4)
+  WHERE right(term, 1) = right(w, 1) AND length(term) >= 5
+  UNION SELECT left(w, 2) || '?' || substr(w, 4), term FROM words
+  JOIN vocab ON left(term, 2) = left(w, 2) AND substr(term, 4) = substr(w, 4) AND length(term) = length(w)
+  UNION SELECT '*' || right(w, 5), term FROM words JOIN vocab ON right(term, 5) = right(w, 5)
+)"""
 QUERIES["wildcard_terms"] = Query(wildcard_terms, f"WITH {CORPUS_SQL}, {ITEMS_SQL}, {PATTERNS_SQL} SELECT pattern, term FROM found")
 QUERIES["wildcard_documents"] = Query(wildcard_documents, f"""
 WITH {CORPUS_SQL}, {ITEMS_SQL}, {PATTERNS_SQL}
