@@ -77,7 +77,8 @@ def image_urls(
 
     def url(key: Column, pixels: int) -> Column:
         name = F.concat_ws(".", key, m[key]["rev"].cast("string"), F.lit(str(pixels)))
-        return F.concat(F.lit(base_url.rstrip("/") + "/"), path, F.lit("/"), name, F.lit(".jpg"))
+        full = F.concat(F.lit(base_url.rstrip("/") + "/"), path, F.lit("/"), name, F.lit(".jpg"))
+        return F.when(key.isNotNull(), full)
 
     columns = {}
     for kind in types:

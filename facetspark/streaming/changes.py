@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from facetspark.operators.normalize import FOUND, REMOVED, RETRY, SKIP
 from facetspark.operators.upsert import latest_per_key, resolve_changes
@@ -136,13 +136,15 @@ class ApplyChanges:
 
 def run_changes(
     stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, forever: bool = False,
-    every: str = "10 seconds",
+    every: str = "10 seconds", output_mode: str = "append",
 ) -> StreamingQuery:
     """Start applying a stream; the checkpoint is the point to resume from.
 
-    Not ``forever``: everything available is applied and the query ends, which is the catch-up.
+    Not ``forever``: everything available is applied and the query ends, which is the catch-up. A log
+    whose files may arrive out of order goes through :func:`newest_per_id` first, with output mode
+    ``update``, so that a late event is answered by the newest one known.
     """
-    writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.outputMode(output_mode).foreachBatch(apply).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=every) if forever else writer.trigger(availableNow=True)
     return writer.start()
 
@@ -160,60 +162,5 @@ def newest_per_id(events: DataFrame, delay: str | None = None) -> DataFrame:
     return events.withWatermark("ts", delay).groupBy(F.window("ts", "1 hour"), "id").agg(newest).select("_row.*")
 
 
-class FirstSeen(StatefulProcessor):
-    """Passes on an event only if it is newer than the last one passed on for its id."""
-
-    def __init__(self, ttl_millis: int):
-        self.ttl_millis = ttl_millis
-
-    def init(self, handle) -> None:
-        schema = T.StructType([T.StructField("millis", T.LongType()), T.StructField("seq", T.LongType())])
-        self.last = handle.getValueState("last", schema, ttlDurationMs=self.ttl_millis)
-
-    def handleInputRows(self, key, rows, timerValues):
-        import pandas as pd
-
-        # Only the newest event of the batch is kept, so memory does not grow with the batch.
-        best = tuple(self.last.get()) if self.last.exists() else (-1, -1)
-        newest = None
-        for frame in rows:
-            for row in frame.itertuples(index=False):
-                at = (int(row.millis), int(row.seq))
-                if at > best:
-                    best, newest = at, row
-        if newest is not None:
-            self.last.update(best)
-            yield pd.DataFrame({"id": [key[0]], "event_id": [newest.event_id], "action": [newest.action]})
-
-    def close(self) -> None:
-        pass
-
-
-def skip_older_events(events: DataFrame, ttl_millis: int = 86_400_000) -> DataFrame:
-    """Stateful de-duplication keyed by id: the newest event of a batch, if newer than any before.
-
-    The state of an id expires ``ttl_millis`` after its last event. Needs the RocksDB state store.
-    """
-    millis, seq = event_order(F.col("event_id"))
-    prepared = latest_in_batch_columns(events, millis, seq)
-    return prepared.groupBy("id").transformWithStateInPandas(
-        statefulProcessor=FirstSeen(ttl_millis),
-        outputStructType=EVENT_OUTPUT,
-        outputMode="Update",
-        timeMode="ProcessingTime",
-    )
-
-
-EVENT_OUTPUT = T.StructType([
-    T.StructField("id", T.StringType()),
-    T.StructField("event_id", T.StringType()),
-    T.StructField("action", T.StringType()),
-])
-
-
-def latest_in_batch_columns(events: DataFrame, millis: Column, seq: Column) -> DataFrame:
-    return events.select("id", "event_id", "action", millis.alias("millis"), seq.alias("seq"))
-
-
 # Statuses a ``prepare`` step may give a row.
 STATUSES = (FOUND, REMOVED, RETRY, SKIP)

@@ -2,9 +2,9 @@
 
 
 def registry():
-    from workload import structured, taxonomies, text
+    from workload import ingest, structured, taxonomies, text
 
     found = {}
-    for module in (structured, text, taxonomies):
+    for module in (structured, text, taxonomies, ingest):
         found.update(module.QUERIES)
     return found

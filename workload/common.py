@@ -22,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wall_clock(name: str):
+    """A timestamp without time zone as the instant of that wall clock in UTC, in any session time zone."""
+    return F.from_utc_timestamp(F.col(name).cast("timestamp"), F.current_timezone())
+
+
 # --- text ---------------------------------------------------------------
 
 def fold_sql(expr: str) -> str:
