@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetspark.functions.text import deletion_variants, glob_regex_column
-from facetspark.operators.postings import in_scope, term_frequencies
+from facetspark.operators.postings import in_scope, run_lengths, term_frequencies
 from facetspark.scale import measure_request
 
 
@@ -23,15 +23,72 @@ def word_matches(tokens: DataFrame, queries: DataFrame) -> DataFrame:
 def match_all_clauses(tokens: DataFrame, queries: DataFrame) -> DataFrame:
     """``(query_id, doc_id)`` of documents matching every clause of the query in some field.
 
-    A clause without terms is neutral: only clauses present in ``queries`` are required. Distinct
-    clauses are counted through a set of clause numbers, which map tasks build per document.
+    A clause without terms is neutral: only clauses present in ``queries`` are required. The clauses
+    met are bits of a few numbers per query and document, which map tasks already combine. For
+    words of a corpus with one text per document, :func:`match_all_words` does without a shuffle.
     """
     request = measure_request(queries, "term")
     needed = queries.groupBy("query_id").agg(F.countDistinct("clause").alias("n_clauses"))
-    asked = queries.join(request.hint(needed), "query_id")
+    numbered = queries.withColumn("_n", F.dense_rank().over(Window.partitionBy("query_id").orderBy("clause")) - 1)
+    asked = numbered.join(request.hint(needed), "query_id").select(
+        *[c for c in queries.columns if c != "clause"], "n_clauses",
+        F.floor(F.col("_n") / 60).cast("int").alias("_block"),
+        F.expr("shiftleft(1L, cast(_n % 60 as int))").alias("_bit"),
+    )
     joined = in_scope(term_frequencies(tokens, queries, request).join(request.hint(asked), "term"))
-    per_doc = joined.groupBy("query_id", "doc_id", "n_clauses").agg(F.collect_set("clause").alias("hit"))
-    return per_doc.where(F.size("hit") == F.col("n_clauses")).select("query_id", "doc_id")
+    per_block = joined.groupBy("query_id", "doc_id", "n_clauses", "_block").agg(F.bit_or("_bit").alias("_met"))
+    per_doc = per_block.groupBy("query_id", "doc_id", "n_clauses").agg(F.sum(F.bit_count("_met")).alias("n_met"))
+    return per_doc.where(F.col("n_met") == F.col("n_clauses")).select("query_id", "doc_id")
+
+
+def anchor_words(queries: DataFrame, doc_freq: DataFrame | None = None) -> DataFrame:
+    """``queries(query_id, words)`` with distinct ``words`` and one ``anchor`` of them each.
+
+    The anchor is the word to look documents up by: the rarest by ``doc_freq(term, doc_freq)``, else
+    the longest.
+    """
+    distinct = queries.select("query_id", F.array_distinct("words").alias("words")).where(F.size("words") > 0)
+    if doc_freq is None:
+        longest = F.array_max(F.transform("words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+        return distinct.withColumn("anchor", longest["w"])
+    weights = doc_freq.groupBy("term").agg(F.sum("doc_freq").alias("weight"))
+    rarest = (
+        distinct.select("query_id", F.explode("words").alias("term")).join(weights, "term", "left")
+        .groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("weight", F.lit(0)), "term")).alias("anchor"))
+    )
+    return distinct.join(rarest, "query_id")
+
+
+def all_words_hits(tokens: DataFrame, queries: DataFrame, doc_freq: DataFrame | None = None) -> DataFrame:
+    """Documents with every word of a query: ``(query_id, doc_id, field, lang, length, hits)``.
+
+    ``queries(query_id, words array<string>)``; ``tokens`` with one text per document. ``hits`` is
+    ``array<struct<term, tf>>`` of the query's words. Documents meet a query only by its anchor word
+    and the other words are checked in the row: with broadcast queries nothing is shuffled, and
+    common words cost nothing unless a query has no rarer one.
+    """
+    lookup = anchor_words(queries, doc_freq)
+    words = measure_request(queries.select(F.explode("words").alias("term")), "term")
+    anchors = measure_request(lookup, "anchor")
+    kept = F.col("tokens")
+    if words.values is not None:
+        kept = F.filter(kept, lambda t: t.isin(words.values) if words.values else F.lit(False))
+    counted = tokens.select("doc_id", "field", "lang", F.size("tokens").alias("length"), kept.alias("kept")).select(
+        "doc_id", "field", "lang", "length", run_lengths(F.col("kept")).alias("freqs")
+    )
+    present = F.transform("freqs", lambda f: f["term"])
+    if anchors.values is not None:
+        present = F.filter(present, lambda t: t.isin(anchors.values) if anchors.values else F.lit(False))
+    rows = counted.select("*", F.explode(present).alias("anchor")).join(anchors.hint(lookup), "anchor")
+    hits = F.filter("freqs", lambda f: F.array_contains("words", f["term"]))
+    return rows.select("query_id", "doc_id", "field", "lang", "length", "words", hits.alias("hits")).where(
+        F.size("hits") == F.size("words")
+    ).drop("words")
+
+
+def match_all_words(tokens: DataFrame, queries: DataFrame, doc_freq: DataFrame | None = None) -> DataFrame:
+    """``(query_id, doc_id)`` of documents with every word of ``queries(query_id, words)``."""
+    return all_words_hits(tokens, queries, doc_freq).select("query_id", "doc_id")
 
 
 def _pick_slots(window: Column, words: Column, first: Column, slop: Column) -> Column:
@@ -115,8 +172,9 @@ def phrase_matches(tokens: DataFrame, phrases: DataFrame, doc_freq: DataFrame |
     sloppy = F.exists(
         first, lambda s: _pick_slots(F.col("around"), F.col("words"), s, F.col("slop")).isNotNull()
     )
-    hit = F.when(F.col("slop") == 0, exact).otherwise(sloppy)
-    return joined.where(hit).groupBy("query_id", "clause", "doc_id", "field", "lang", "length").agg(
+    # All words nearby is cheap to see and rules out most places before the slots are tried.
+    nearby = F.size(F.array_except("words", "around")) == 0
+    return joined.where(nearby).where(F.when(F.col("slop") == 0, exact).otherwise(sloppy)).groupBy("query_id", "clause", "doc_id", "field", "lang", "length").agg(
         F.count(F.lit(1)).alias("freq")
     )
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetspark.functions.text import STANDARD, Analyzer, bind
-from facetspark.scale import Request, measure_request
+from facetspark.scale import Request, measure_request, spread_small
 
 
 @dataclass(frozen=True)
@@ -43,7 +43,7 @@ def token_arrays(
 ) -> DataFrame:
     """``(doc_id, field, lang, tokens)``: one row per document, field and language with text.
 
-    Map-only. ``langs`` keeps only those languages (and text without a language).
+    Map-only but for small inputs, which are spread over the cores. ``langs`` keeps only those languages (and text without a language).
     """
     def lang_of(s: TextSource) -> Column:
         return F.col(s.lang) if s.lang else F.lit("").cast("string")
@@ -70,7 +70,7 @@ def token_arrays(
                     F.lit(s.field).alias("field"), lang_of(s).alias("lang"), F.col(s.source).alias("text")
                 )))
         texts = docs.select(F.col(id_col).alias("doc_id"), F.inline(F.concat(*parts)))
-    texts = texts.where(F.col("text").isNotNull())
+    texts = spread_small(texts.where(F.col("text").isNotNull()))
     if langs is not None:
         texts = texts.where(F.col("lang").isin([*langs, ""]))
     return texts.select("doc_id", "field", "lang", analyzer.tokens(F.col("text"), F.col("lang")).alias("tokens"))

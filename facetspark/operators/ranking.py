@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetspark.operators.matching import phrase_matches
+from facetspark.operators.matching import all_words_hits, phrase_matches
 from facetspark.operators.postings import field_stats, in_scope, term_frequencies, vocabulary
 from facetspark.scale import broadcast_if_bounded, measure_request, topk_per_group
 
@@ -121,6 +121,38 @@ def bm25_scores(tokens: DataFrame, queries: DataFrame, **options) -> DataFrame:
     return combine_clauses(clause_scores(tokens, queries, **options), queries)
 
 
+def all_words_scores(
+    tokens: DataFrame, queries: DataFrame, stats: DataFrame | None = None, vocab: DataFrame | None = None,
+    k1: float = K1, b: float = B,
+) -> DataFrame:
+    """``(query_id, doc_id, score)`` of documents with every word of ``queries(query_id, words)``.
+
+    For corpora with one text per document: only documents that match are scored, in the task that
+    found them. ``boosts`` may be given as ``queries.boosts``, a map from word to factor; a word
+    that a query repeats counts once for each time.
+    """
+    words = queries.select("query_id", F.explode("words").alias("term"))
+    request = measure_request(words, "term")
+    stats = field_stats(tokens) if stats is None else stats
+    vocab = vocabulary(term_frequencies(tokens, words, request)) if vocab is None else vocab
+    boost = F.coalesce(F.col("boosts")[F.col("term")], F.lit(1.0)) if "boosts" in queries.columns else F.lit(1.0)
+    repeated = (queries if "boosts" in queries.columns else queries.select("query_id", "words")).withColumn(
+        "term", F.explode("words")
+    ).groupBy("query_id", "term").agg(F.sum(boost).alias("boost"))
+    weights = (
+        vocab.select("field", "lang", "term", "doc_freq").join(stats, ["field", "lang"])
+        .select("field", "lang", "term", idf(F.col("n_docs"), F.col("doc_freq")).alias("idf"), "avg_length")
+        .join(repeated, "term")
+    )
+    rows = all_words_hits(tokens, queries, vocab.select("term", "doc_freq")).select(
+        "query_id", "doc_id", "field", "lang", "length", F.inline("hits")
+    )
+    score = F.col("boost") * F.col("idf") * saturated_tf(F.col("tf"), F.col("length"), F.col("avg_length"), k1, b)
+    return rows.join(request.hint(weights), ["query_id", "field", "lang", "term"]).groupBy("query_id", "doc_id").agg(
+        F.sum(score).alias("score")
+    )
+
+
 def topk(scores: DataFrame, k: int, digits: int | None = None) -> DataFrame:
     """Best ``k`` documents per query with their rank; ties go to the smaller id."""
     if digits is not None:
@@ -169,41 +201,25 @@ def phrase_boost(words: DataFrame, boost: float, slop: int = 0) -> DataFrame:
 
 
 def phrase_boosted_scores(
-    tokens: DataFrame, words: DataFrame, boost: float, slop: int = 0, **options
+    tokens: DataFrame, words: DataFrame, boost: float, slop: int = 0, one_text_per_doc: bool = False, **options
 ) -> DataFrame:
-    """Scores for AND queries whose runs of words may also be met by their phrase.
+    """Scores for AND queries whose runs of words are boosted where they form a phrase.
 
-    A run counts as met when all its words match or when its phrase matches, and both add to the
-    score; the document must meet every run and every single word.
+    On text fields a document with the phrase has all its words, so the words alone decide what
+    matches, and a phrase only adds to the score. ``words(query_id, clause, term)``. With
+    ``one_text_per_doc`` only matching documents are scored, see :func:`all_words_scores`.
     """
-    words = with_defaults(words).withColumn("required", F.lit(True))
-    phrases = phrase_boost(words, boost, slop)
-    runs = phrases.select("query_id", F.col("clause").alias("run"), F.explode("replaces").alias("clause"))
-    units = words.select("query_id", "clause").distinct().join(runs, ["query_id", "clause"], "left").withColumn(
-        "run", F.coalesce("run", "clause")
-    )
-    sizes = units.groupBy("query_id", "run").agg(F.count(F.lit(1)).alias("n_words"))
-    n_units = sizes.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_units"))
-    word_part = clause_scores(tokens, words, **options).join(
-        broadcast_if_bounded(units), ["query_id", "clause"]
-    ).select("query_id", "doc_id", "run", "score", F.lit(1).alias("word"), F.lit(0).alias("phrase"))
-    phrase_part = phrase_scores(tokens, phrases.drop("replaces"), **options).select(
-        "query_id", "doc_id", F.col("clause").alias("run"), "score", F.lit(0).alias("word"), F.lit(1).alias("phrase")
-    )
-    per_run = word_part.unionByName(phrase_part).groupBy("query_id", "doc_id", "run").agg(
-        F.sum(F.when(F.col("word") == 1, F.col("score"))).alias("words_score"),
-        F.sum(F.when(F.col("phrase") == 1, F.col("score"))).alias("phrase_score"),
-        F.sum("word").alias("n_matched"),
-        F.max("phrase").alias("by_phrase"),
-    )
-    met = per_run.join(broadcast_if_bounded(sizes), ["query_id", "run"]).withColumn(
-        "all_words", F.col("n_matched") == F.col("n_words")
-    ).where(F.col("all_words") | (F.col("by_phrase") == 1))
-    score = F.coalesce(F.when(F.col("all_words"), F.col("words_score")), F.lit(0.0)) + F.coalesce("phrase_score", F.lit(0.0))
+    if one_text_per_doc:
+        ordered = words.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("clause", "term"))).alias("w"))
+        queries = ordered.select("query_id", F.transform("w", lambda w: w["term"]).alias("words"))
+        base = all_words_scores(tokens, queries, **options)
+    else:
+        required = with_defaults(words).withColumn("required", F.lit(True))
+        base = combine_clauses(clause_scores(tokens, required, **options), required)
+    phrases = phrase_boost(words, boost, slop).drop("replaces")
+    extra = phrase_scores(tokens, phrases, **options).select("query_id", "doc_id", "score")
+    both = base.withColumn("matched", F.lit(True)).unionByName(extra.withColumn("matched", F.lit(False)))
     return (
-        met.groupBy("query_id", "doc_id")
-        .agg(F.sum(score).alias("score"), F.count(F.lit(1)).alias("n_met"))
-        .join(broadcast_if_bounded(n_units), "query_id")
-        .where(F.col("n_met") == F.col("n_units"))
-        .select("query_id", "doc_id", "score")
+        both.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"), F.max("matched").alias("matched"))
+        .where("matched").select("query_id", "doc_id", "score")
     )

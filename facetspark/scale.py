@@ -15,6 +15,8 @@ LITERAL_VALUES = 20_000
 #: Above this k Spark no longer limits each group before the shuffle.
 GROUP_LIMIT = 1_000
 SALTS = 64
+#: Inputs up to this estimated size are spread over all cores before text analysis.
+SPREAD_BYTES = 1 << 30
 
 
 def is_bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -58,6 +60,18 @@ def bounded_values(df: DataFrame, column: str, max_values: int = LITERAL_VALUES)
     return None if len(rows) > max_values else sorted(r[0] for r in rows)
 
 
+def spread_small(df: DataFrame, max_bytes: int = SPREAD_BYTES) -> DataFrame:
+    """Spread the rows of a small input over all cores before work that costs much per row.
+
+    A small file is often one row group and so one task. Larger inputs have splits enough and are
+    processed where they are read. The size is the planner's estimate; no job runs.
+    """
+    if df.isStreaming:
+        return df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= max_bytes else df
+
+
 def topk_per_group(
     df: DataFrame, keys: list[str], order: list[Column], k: int, rank_col: str = "rank"
 ) -> DataFrame:

@@ -89,10 +89,14 @@ def merge_into_current(
     merged = upsert_documents(part.drop(BUCKET), updates, key, last_modified, deleted, only_newer).select(
         *[c for c in live.columns if c != BUCKET]
     ).withColumn(BUCKET, bucket_of(key, buckets)).repartition(F.col(BUCKET))
-    emptied = [b for b in touched if b not in {r[0] for r in merged.select(BUCKET).distinct().collect()}] if deleted is not None else []
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
-    for b in emptied:
-        live.drop(BUCKET).limit(0).coalesce(1).write.mode("overwrite").parquet(f"{path}/{BUCKET}={b}")
+    if deleted is None:
+        return
+    # A bucket that lost its last row was not rewritten: it still shows ids that should be gone.
+    left = spark.read.parquet(path).where(F.col(BUCKET).isin(touched)).select(key, BUCKET)
+    emptied = left.join(deleted.select(key).distinct(), key, "left_semi").select(BUCKET).distinct().collect()
+    for row in emptied:
+        live.drop(BUCKET).limit(0).coalesce(1).write.mode("overwrite").parquet(f"{path}/{BUCKET}={row[0]}")
 
 
 def stale_versions(versions: DataFrame, aliases: DataFrame, prefix: Column | str) -> DataFrame:

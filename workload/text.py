@@ -52,7 +52,15 @@ def match_any(spark, d):
 
 
 def match_all_words(spark, d):
-    return matching.match_all_clauses(corpus(spark, d), clauses(sentences(spark, d)))
+    return matching.match_all_words(corpus(spark, d), sentences(spark, d))
+
+
+def match_all_clauses(spark, d):
+    """Like the former, but a clause is any two neighbouring words."""
+    queries = items(spark, d).select("query_id", F.posexplode("words").alias("i", "term")).select(
+        "query_id", F.expr("cast(i div 2 as int)").alias("clause"), "term"
+    )
+    return matching.match_all_clauses(corpus(spark, d), queries)
 
 
 def phrase_match(spark, d):
@@ -90,8 +98,13 @@ def bm25_required(spark, d):
     return ranking.topk(ranking.bm25_scores(corpus(spark, d), queries), 10, digits=6)
 
 
+def all_words_topk(spark, d):
+    """All words of a sentence required, scored only where they match."""
+    return ranking.topk(ranking.all_words_scores(corpus(spark, d), sentences(spark, d)), 10, digits=6)
+
+
 def phrase_boost_topk(spark, d):
-    scores = ranking.phrase_boosted_scores(corpus(spark, d), clauses(sentences(spark, d)), 2.0)
+    scores = ranking.phrase_boosted_scores(corpus(spark, d), clauses(sentences(spark, d)), 2.0, one_text_per_doc=True)
     return ranking.topk(scores, 10, digits=6)
 
 
@@ -180,6 +193,14 @@ SELECT DISTINCT query_id, doc_id FROM q JOIN tf USING (term) WHERE lang IN ('en'
 WITH {CORPUS_SQL}, {SENTENCES_SQL},
 q AS (SELECT query_id, unnest(words) AS term, unnest(range(len(words))) AS clause, len(words) AS n FROM sentences)
 SELECT query_id, doc_id FROM q JOIN tf USING (term) GROUP BY query_id, doc_id, n HAVING count(DISTINCT clause) = n"""),
+    "match_all_clauses": Query(match_all_clauses, f"""
+WITH {CORPUS_SQL}, {ITEMS_SQL},
+q AS (SELECT query_id, unnest(words) AS term, unnest(range(len(words))) // 2 AS clause, (len(words) + 1) // 2 AS n FROM items)
+SELECT query_id, doc_id FROM q JOIN tf USING (term) GROUP BY query_id, doc_id, n HAVING count(DISTINCT clause) = n"""),
+    "all_words_topk": Query(all_words_topk, f"""
+WITH {CORPUS_SQL}, {STATS_SQL}, {SENTENCES_SQL}, {WORD_SCORES_SQL},
+scores AS (SELECT query_id, doc_id, sum(s) AS score FROM ws GROUP BY query_id, doc_id, n HAVING count(*) = n)
+{TOP_SQL}"""),
     "phrase_match": Query(phrase_match, f"""
 WITH {CORPUS_SQL}, {SENTENCES_SQL},
 flat AS MATERIALIZED (SELECT doc_id, ' ' || array_to_string(tokens, ' ') || ' ' AS body FROM corpus)
