@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetspark.functions.text import deletion_variants, glob_regex_column
-from facetspark.operators.postings import in_scope, run_lengths, term_frequencies
-from facetspark.scale import measure_request
+from facetspark.operators.postings import asked_tokens, in_scope, run_lengths, term_frequencies
+from facetspark.scale import cut_lineage, measure_request
 
 
 def word_matches(tokens: DataFrame, queries: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def anchor_words(queries: DataFrame, doc_freq: DataFrame | None = None) -> DataF
         distinct.select("query_id", F.explode("words").alias("term")).join(weights, "term", "left")
         .groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("weight", F.lit(0)), "term")).alias("anchor"))
     )
-    return distinct.join(rarest, "query_id")
+    return cut_lineage(distinct.join(rarest, "query_id"))
 
 
 def all_words_hits(tokens: DataFrame, queries: DataFrame, doc_freq: DataFrame | None = None) -> DataFrame:
@@ -70,10 +70,7 @@ def all_words_hits(tokens: DataFrame, queries: DataFrame, doc_freq: DataFrame |
     lookup = anchor_words(queries, doc_freq)
     words = measure_request(queries.select(F.explode("words").alias("term")), "term")
     anchors = measure_request(lookup, "anchor")
-    kept = F.col("tokens")
-    if words.values is not None:
-        kept = F.filter(kept, lambda t: t.isin(words.values) if words.values else F.lit(False))
-    counted = tokens.select("doc_id", "field", "lang", F.size("tokens").alias("length"), kept.alias("kept")).select(
+    counted = tokens.select("doc_id", "field", "lang", F.size("tokens").alias("length"), asked_tokens(words).alias("kept")).select(
         "doc_id", "field", "lang", "length", run_lengths(F.col("kept")).alias("freqs")
     )
     present = F.transform("freqs", lambda f: f["term"])
@@ -144,7 +141,9 @@ def phrase_matches(tokens: DataFrame, phrases: DataFrame, doc_freq: DataFrame |
         F.min_by(F.struct("anchor", "anchor_at"), F.struct(weight, F.col("anchor_at"))).alias("a")
     ).select("query_id", "clause", "a.anchor", "a.anchor_at")
     lookup = located.join(anchors, ["query_id", "clause"])
-    span = lookup.agg(F.max(F.size("words") + F.col("slop"))).first()[0] or 1
+    if doc_freq is not None:
+        lookup = cut_lineage(lookup)
+    span = located.agg(F.max(F.size("words") + F.col("slop"))).first()[0] or 1
 
     request = measure_request(lookup, "anchor")
     values = request.values

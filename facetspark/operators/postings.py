@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetspark.functions.text import STANDARD, Analyzer, bind
-from facetspark.scale import Request, measure_request, spread_small
+from facetspark.scale import Request, cut_lineage, measure_request, spread_small
 
 
 @dataclass(frozen=True)
@@ -105,19 +105,43 @@ def term_frequencies(
     With ``terms(term)`` only those terms are kept: a limited number by a hash-set filter inside the
     row, before anything is exploded; more by a semi-join.
     """
-    kept = F.col("tokens")
-    semi = None
-    if terms is not None:
-        values = (request or measure_request(terms, "term")).values
-        if values is None:
-            semi = terms.select("term").distinct()
-        else:
-            kept = F.filter(kept, lambda t: t.isin(values) if values else F.lit(False))
+    request = request or (measure_request(terms, "term") if terms is not None else None)
     rows = tokens.select(
-        "doc_id", "field", "lang", F.size("tokens").alias("length"), kept.alias("kept")
+        "doc_id", "field", "lang", F.size("tokens").alias("length"), asked_tokens(request).alias("kept")
     )
     result = rows.select("doc_id", "field", "lang", "length", F.inline(run_lengths(F.col("kept"))))
-    return result if semi is None else result.join(semi, "term", "left_semi")
+    if terms is None or request.values is not None:
+        return result
+    return result.join(terms.select("term").distinct(), "term", "left_semi")
+
+
+def asked_tokens(request: Request | None) -> Column:
+    """The tokens of a row that a request asks for, as far as its values are known."""
+    if request is None or request.values is None:
+        return F.col("tokens")
+    return F.filter(F.col("tokens"), lambda t: t.isin(request.values) if request.values else F.lit(False))
+
+
+def request_statistics(tokens: DataFrame, terms: DataFrame, request: Request) -> tuple[DataFrame, DataFrame]:
+    """:func:`field_stats` of a corpus and :func:`vocabulary` of the terms asked for, from one scan.
+
+    Each document contributes its length under a null term besides its terms. The result, of the
+    size of the request, is checkpointed because planning and scoring both use it.
+    """
+    if request.values is None:
+        return field_stats(tokens), vocabulary(term_frequencies(tokens, terms, request))
+    rows = tokens.select("field", "lang", F.size("tokens").alias("length"), asked_tokens(request).alias("kept"))
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.col("length").alias("tf")))
+    counted = cut_lineage(
+        rows.select("field", "lang", F.inline(F.concat(whole, run_lengths(F.col("kept")))))
+        .groupBy("field", "lang", "term")
+        .agg(F.count(F.lit(1)).alias("doc_freq"), F.sum("tf").alias("total_tf"))
+    )
+    stats = counted.where("term is null").select(
+        "field", "lang", F.col("doc_freq").alias("n_docs"), F.col("total_tf").alias("n_tokens"),
+        (F.col("total_tf") / F.col("doc_freq")).alias("avg_length"),
+    )
+    return stats, counted.where("term is not null")
 
 
 def vocabulary(frequencies: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetspark.operators.matching import all_words_hits, phrase_matches
-from facetspark.operators.postings import field_stats, in_scope, term_frequencies, vocabulary
+from facetspark.operators.postings import in_scope, request_statistics, term_frequencies
 from facetspark.scale import broadcast_if_bounded, measure_request, topk_per_group
 
 K1, B = 1.2, 0.75
@@ -50,8 +50,8 @@ def clause_scores(
     queries = with_defaults(queries)
     request = measure_request(queries, "term")
     frequencies = term_frequencies(tokens, queries, request)
-    stats = field_stats(tokens) if stats is None else stats
-    vocab = vocabulary(frequencies) if vocab is None else vocab
+    if stats is None or vocab is None:
+        stats, vocab = request_statistics(tokens, queries, request)
     weights = (
         vocab.select("field", "lang", "term", "doc_freq")
         .join(stats.select("field", "lang", "n_docs", "avg_length"), ["field", "lang"])
@@ -68,7 +68,8 @@ def _best_field(rows: DataFrame, score: str) -> DataFrame:
     per_field = rows.groupBy("query_id", "clause", "doc_id", "field", "lang").agg(
         F.sum(F.col(score) * F.col("boost")).alias("score"), F.max("required").alias("required")
     )
-    return per_field.groupBy("query_id", "clause", "doc_id").agg(
+    # From here on everything is per query and document; one shuffle by both serves all of it.
+    return per_field.repartition("query_id", "doc_id").groupBy("query_id", "clause", "doc_id").agg(
         F.max("score").alias("score"), F.max("required").alias("required")
     )
 
@@ -85,8 +86,8 @@ def phrase_scores(
     phrases = with_defaults(phrases)
     words = phrases.select("query_id", "clause", F.explode("words").alias("term"))
     request = measure_request(words, "term")
-    stats = field_stats(tokens) if stats is None else stats
-    vocab = vocabulary(term_frequencies(tokens, words, request)) if vocab is None else vocab
+    if stats is None or vocab is None:
+        stats, vocab = request_statistics(tokens, words, request)
     hits = phrase_matches(tokens, phrases.drop("boost", "required"), vocab.select("term", "doc_freq"))
     weights = (
         words.join(vocab.select("field", "lang", "term", "doc_freq"), "term")
@@ -133,8 +134,8 @@ def all_words_scores(
     """
     words = queries.select("query_id", F.explode("words").alias("term"))
     request = measure_request(words, "term")
-    stats = field_stats(tokens) if stats is None else stats
-    vocab = vocabulary(term_frequencies(tokens, words, request)) if vocab is None else vocab
+    if stats is None or vocab is None:
+        stats, vocab = request_statistics(tokens, words, request)
     boost = F.coalesce(F.col("boosts")[F.col("term")], F.lit(1.0)) if "boosts" in queries.columns else F.lit(1.0)
     repeated = (queries if "boosts" in queries.columns else queries.select("query_id", "words")).withColumn(
         "term", F.explode("words")
@@ -209,6 +210,9 @@ def phrase_boosted_scores(
     matches, and a phrase only adds to the score. ``words(query_id, clause, term)``. With
     ``one_text_per_doc`` only matching documents are scored, see :func:`all_words_scores`.
     """
+    if not options.get("stats") or not options.get("vocab"):
+        stats, vocab = request_statistics(tokens, words, measure_request(words, "term"))
+        options = {**options, "stats": stats, "vocab": vocab}
     if one_text_per_doc:
         ordered = words.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("clause", "term"))).alias("w"))
         queries = ordered.select("query_id", F.transform("w", lambda w: w["term"]).alias("words"))

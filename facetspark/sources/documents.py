@@ -21,7 +21,9 @@ def read_documents(
     ``partitions`` spreads its rows for what follows.
     """
     full = schema if CORRUPT in schema.names else T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    df = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    df = lines.select(F.from_json("value", full, options).alias("doc")).select("doc.*")
     if limit is not None:
         df = df.limit(limit)
     return df.repartition(partitions) if partitions else df
