@@ -20,7 +20,9 @@ def facet_values(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 
     All facets are exploded together from one scan of only their columns.
     """
-    return df.select(F.inline(_entries(df, fields, "value"))).where(F.col("value").isNotNull())
+    rows = df.select(F.inline(_entries(df, fields, "value")))
+    # Both are stated, so that no branch of a plan adds one of them and stops sharing the shuffle.
+    return rows.where(F.col("field").isNotNull() & F.col("value").isNotNull())
 
 
 def _entries(df: DataFrame, fields: Sequence[str], value_col: str) -> Column:
@@ -53,33 +55,33 @@ def facet_counts(
     """
     counts = value_counts(df, fields)
     kept = topk_per_group(counts, ["field"], [F.desc("count"), F.asc("value")], k).select(
-        "field", F.col("value").alias("key"), "count", "rank"
+        "field", F.col("value").alias("key"), "count", "rank", F.lit(False).alias("selected")
     )
-    if selected is None or (isinstance(selected, Mapping) and not selected):
-        items = kept.withColumn("selected", F.lit(False))
-    else:
-        chosen = selections(df, selected) if isinstance(selected, Mapping) else selected
-        chosen = broadcast_if_bounded(chosen.where(F.col("field").isin(list(fields))).distinct())
-        flagged = chosen.withColumn("selected", F.lit(True))
-        items = kept.join(flagged, ["field", "key"], "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
-        absent = chosen.join(kept, ["field", "key"], "left_anti").select(
+    if isinstance(selected, Mapping):
+        selected = {f: v for f, v in selected.items() if f in fields}
+        selected = selections(df, selected) if selected else None
+    elif selected is not None:
+        selected = selected.where(F.col("field").isin(list(fields)))
+    if selected is not None:
+        chosen = selected.select(
             "field", "key", F.lit(None).cast("long").alias("count"), F.lit(k + 1).alias("rank"), F.lit(True).alias("selected")
         )
-        items = items.unionByName(absent)
-    items = items.withColumn("name", F.col("key"))
+        kept = kept.unionByName(chosen).groupBy("field", "key").agg(
+            F.max("count").alias("count"), F.min("rank").alias("rank"), F.max("selected").alias("selected")
+        )
+    items = kept.withColumn("name", F.col("key"))
     if other:
-        rest = (
-            counts.groupBy("field").agg(F.sum("count").alias("total"))
-            .join(F.broadcast(kept.groupBy("field").agg(F.sum("count").alias("kept"))), "field")
-            .where(F.col("total") > F.col("kept"))
-            .select(
-                "field", F.lit(OTHER_KEY).alias("key"), (F.col("total") - F.col("kept")).alias("count"),
-                F.lit(k + 2).alias("rank"), F.lit(False).alias("selected"), F.lit(OTHER_NAME).alias("name"),
-            )
+        totals = counts.groupBy("field").agg(F.sum("count").alias("count")).select(
+            "field", F.lit(OTHER_KEY).alias("key"), "count", F.lit(k + 2).alias("rank"), F.lit(False).alias("selected"),
+            F.lit(OTHER_NAME).alias("name"),
         )
-        items = items.unionByName(rest)
-    # Only k + 2 buckets and the selections of a request remain per field here.
-    order = Window.partitionBy("field").orderBy(F.desc("selected"), F.asc("rank"), F.asc("key"))
+        items = items.unionByName(totals)
+    # Only k + 1 rows and the selections of a request remain per field here.
+    within = Window.partitionBy("field")
+    shown = F.coalesce(F.sum(F.when(F.col("rank") <= k, F.col("count"))).over(within), F.lit(0))
+    items = items.withColumn("count", F.when(F.col("rank") == k + 2, F.col("count") - shown).otherwise(F.col("count")))
+    items = items.where((F.col("rank") < k + 2) | (F.col("count") > 0))
+    order = within.orderBy(F.desc("selected"), F.asc("rank"), F.asc("key"))
     return items.withColumn("_order", F.row_number().over(order)).select(
         "field", "key", "name", "count", "selected", F.col("_order").alias("rank")
     )
@@ -114,20 +116,18 @@ def label_facets(
 
     Tried in turn: the requested language, the language prefix of the entry's id, ``fallback_lang``,
     the key itself. A key without a language prefix stands for any entry ``*:key`` (the smallest id
-    is taken). Facet items are few; only the languages an item can use are read from the names.
+    is taken). Names are cut to the languages an item can use and aggregated before the join, and
+    the facets are computed once.
     """
     pairs = F.create_map(*[F.lit(x) for pair in taxonomies.items() for x in pair]) if taxonomies else None
     keyed = items.withColumn("taxonomy", pairs[F.col("field")] if pairs is not None else F.lit(None).cast("string"))
-    by_id = keyed.select("taxonomy", "key").where("taxonomy is not null").distinct()
     entry = names.select(
-        "taxonomy", F.col("id"), "lang", "name", F.regexp_replace("id", "^[^:]*:", "").alias("bare")
+        "taxonomy", "id", "lang", "name", F.regexp_replace("id", "^[^:]*:", "").alias("bare")
     ).where(F.col("name").isNotNull() & (F.col("name") != ""))
     useful = entry.where(F.col("lang").isin(lang, fallback_lang) | (F.col("lang") == F.substring_index("id", ":", 1)))
-    direct = useful.select("taxonomy", F.col("id").alias("key"), "id", "lang", "name")
-    blind = useful.where(F.col("id").contains(":")).select("taxonomy", F.col("bare").alias("key"), "id", "lang", "name")
-    wanted = direct.unionByName(blind.where(~F.col("key").contains(":"))).join(
-        F.broadcast(by_id), ["taxonomy", "key"], "left_semi"
-    )
+    # Each entry can be asked for by its id and, with a prefix to leave out, by what follows it.
+    keys = F.array_distinct(F.array(F.col("id"), F.when(~F.col("bare").contains(":"), F.col("bare")).otherwise(F.col("id"))))
+    wanted = useful.select("taxonomy", F.explode(keys).alias("key"), "id", "lang", "name")
     per_entry = wanted.groupBy("taxonomy", "key", "id").agg(
         F.max(F.when(F.col("lang") == lang, F.col("name"))).alias("own"),
         F.max(F.when(F.col("lang") == F.substring_index("key", ":", 1), F.col("name"))).alias("prefix"),

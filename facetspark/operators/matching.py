@@ -244,3 +244,11 @@ def expand_fuzzy(vocab: DataFrame, words: DataFrame, distance: int) -> DataFrame
         .drop("_variant")
         .distinct()
     )
+
+
+def expanded_matches(tokens: DataFrame, terms: DataFrame) -> DataFrame:
+    """:func:`word_matches` for the terms a pattern or fuzzy word was expanded to.
+
+    The expansion is checkpointed: planning and matching both read it, the vocabulary only once.
+    """
+    return word_matches(tokens, cut_lineage(terms.select("query_id", "clause", "term").distinct()))

@@ -135,8 +135,7 @@ def wildcard_documents(spark, d):
     """Documents that contain some expansion of a pattern."""
     tokens = corpus(spark, d)
     vocab = vocabulary(term_frequencies(tokens))
-    terms = matching.expand_wildcards(vocab, patterns(spark, d)).select("query_id", "clause", "term")
-    return matching.word_matches(tokens, terms).groupBy("query_id").agg(F.countDistinct("doc_id").alias("n_docs"))
+    return matching.expanded_matches(tokens, matching.expand_wildcards(vocab, patterns(spark, d))).groupBy("query_id").agg(F.countDistinct("doc_id").alias("n_docs"))
 
 
 def text_filter(spark, d):
