@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from facetspark.scale import broadcast_if_bounded, topk_per_group
+from facetspark.scale import broadcast_if_bounded, literal_rows, topk_per_group
 
 DEFAULT_BUCKETS = 10
 # Key and name of the bucket for all values beyond the kept ones.
@@ -90,7 +90,7 @@ def facet_counts(
 def selections(df: DataFrame, selected: Mapping[str, Sequence]) -> DataFrame:
     """Facet selections of a request as a table ``(field, key)``."""
     rows = [(name, str(v)) for name, values in selected.items() for v in values]
-    return df.sparkSession.createDataFrame(rows, "field string, key string")
+    return literal_rows(df.sparkSession, rows, "field string, key string")
 
 
 def facet_matches(df: DataFrame, id_col: str, selections: DataFrame) -> DataFrame:

@@ -73,9 +73,7 @@ def all_words_hits(tokens: DataFrame, queries: DataFrame, doc_freq: DataFrame |
     counted = tokens.select("doc_id", "field", "lang", F.size("tokens").alias("length"), asked_tokens(words).alias("kept")).select(
         "doc_id", "field", "lang", "length", run_lengths(F.col("kept")).alias("freqs")
     )
-    present = F.transform("freqs", lambda f: f["term"])
-    if anchors.values is not None:
-        present = F.filter(present, lambda t: t.isin(anchors.values) if anchors.values else F.lit(False))
+    present = F.expr(f"filter(transform(freqs, f -> f.term), t -> {anchors.test('t')})")
     rows = counted.select("*", F.explode(present).alias("anchor")).join(anchors.hint(lookup), "anchor")
     hits = F.filter("freqs", lambda f: F.array_contains("words", f["term"]))
     return rows.select("query_id", "doc_id", "field", "lang", "length", "words", hits.alias("hits")).where(
@@ -146,10 +144,7 @@ def phrase_matches(tokens: DataFrame, phrases: DataFrame, doc_freq: DataFrame |
     span = located.agg(F.max(F.size("words") + F.col("slop"))).first()[0] or 1
 
     request = measure_request(lookup, "anchor")
-    values = request.values
-    marked = F.transform(F.col("tokens"), lambda t, i: F.struct(t.alias("anchor"), i.alias("at")))
-    if values is not None:
-        marked = F.filter(marked, lambda m: m["anchor"].isin(values) if values else F.lit(False))
+    marked = F.expr(f"filter(transform(tokens, (t, i) -> struct(t as anchor, i as at)), m -> {request.test('m.anchor')})")
     around = F.transform(
         marked,
         lambda m: F.struct(
@@ -217,10 +212,8 @@ def expand_wildcards(vocab: DataFrame, patterns: DataFrame) -> DataFrame:
     keys = patterns.withColumn("_key", _pattern_keys(F.lower("pattern")))
     keyed = terms.select("term", F.explode(_term_keys(F.col("term"))).alias("_key"))
     request = measure_request(keys, "_key")
-    if request.values:
-        keyed = keyed.where(F.col("_key").isin(request.values))
     return (
-        keyed.join(request.hint(keys), "_key")
+        keyed.where(F.expr(request.test("_key"))).join(request.hint(keys), "_key")
         .where(F.rlike(F.col("term"), glob_regex_column(F.lower("pattern"))))
         .drop("_key")
     )

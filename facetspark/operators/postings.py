@@ -119,7 +119,7 @@ def asked_tokens(request: Request | None) -> Column:
     """The tokens of a row that a request asks for, as far as its values are known."""
     if request is None or request.values is None:
         return F.col("tokens")
-    return F.filter(F.col("tokens"), lambda t: t.isin(request.values) if request.values else F.lit(False))
+    return F.expr(f"filter(tokens, t -> {request.test('t')})")
 
 
 def request_statistics(tokens: DataFrame, terms: DataFrame, request: Request) -> tuple[DataFrame, DataFrame]:

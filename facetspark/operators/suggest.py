@@ -55,9 +55,7 @@ def prefix_matches(queries: DataFrame, suggest: DataFrame, fuzziness: int = 0) -
         F.sequence(F.lit(1), F.least(F.length("_key"), F.lit(BLOCK))), lambda n: F.left(F.col("_key"), n)
     )))
     request = measure_request(exact_asked, "_block")
-    if request.values:
-        exact_targets = exact_targets.where(F.col("_block").isin(request.values))
-    found = exact_targets.join(request.hint(exact_asked), "_block").where(
+    found = exact_targets.where(F.expr(request.test("_block"))).join(request.hint(exact_asked), "_block").where(
         F.col("_key").startswith(F.col("_q"))
     ).withColumn("edits", F.lit(0)).drop("_block")
     if fuzziness:
@@ -88,10 +86,8 @@ def _fuzzy_prefixes(asked: DataFrame, targets: DataFrame, fuzziness: int) -> Dat
         return F.transform(variants, lambda v: F.concat_ws(":", F.lit(str(cut)), F.substring("_key", 1, 1), v))
 
     request = measure_request(keyed, "_block")
-    all_blocks = F.concat(*[blocks(cut) for cut in cuts])
-    if request.values is not None:
-        all_blocks = F.filter(all_blocks, lambda b: b.isin(request.values) if request.values else F.lit(False))
-    spread = targets.withColumn("_block", F.explode(all_blocks))
+    every = targets.withColumn("_blocks", F.concat(*[blocks(cut) for cut in cuts]))
+    spread = every.withColumn("_block", F.expr(f"explode(filter(_blocks, b -> {request.test('b')}))")).drop("_blocks")
     lengths = F.sequence(F.greatest(F.length("_q") - fuzziness, F.lit(1)), F.length("_q") + fuzziness)
     distances = F.filter(
         F.transform(lengths, lambda n: F.levenshtein(F.left(F.col("_key"), n), F.col("_q"), fuzziness)), lambda d: d >= 0

@@ -34,9 +34,7 @@ def span_matches(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     lengths = sorted(r[0] for r in spans.select("n_words").distinct().collect())
     firsts = measure_request(spans.select(F.substring_index("words", " ", 1).alias("head")), "head")
     t = F.col("tokens")
-    starts = F.transform(t, lambda w, i: F.struct(w.alias("w"), i.alias("start")))
-    if firsts.values is not None:
-        starts = F.filter(starts, lambda s: s["w"].isin(firsts.values) if firsts.values else F.lit(False))
+    starts = F.expr(f"filter(transform(tokens, (w, i) -> struct(w as w, i as start)), s -> {firsts.test('s.w')})")
     runs = F.flatten(F.transform(starts, lambda s: F.array(*[
         F.struct(
             s["start"].alias("start"),
