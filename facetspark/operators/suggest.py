@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetspark.functions.text import deletion_variants, suggestion_key
-from facetspark.scale import broadcast_if_bounded, measure_request, topk_per_group
+from facetspark.scale import Request, broadcast_if_bounded, measure_request, spread_small, topk_per_group
 
 # Weight of an entry, and the rules of fuzzy prefixes.
 MAX_WEIGHT = 100
@@ -74,8 +74,6 @@ def _fuzzy_prefixes(asked: DataFrame, targets: DataFrame, fuzziness: int) -> Dat
         deletion_variants(F.left("_q", F.col("_cut")), fuzziness),
         lambda v: F.concat_ws(":", F.col("_cut").cast("string"), F.substring("_q", 1, 1), v),
     )))
-    cuts = list(range(FUZZY_MIN_LENGTH, BLOCK + 1))
-
     def blocks(cut: int):
         prefixes = F.transform(
             F.sequence(F.lit(max(cut - fuzziness, 1)), F.lit(cut + fuzziness)), lambda n: F.left(F.col("_key"), n)
@@ -86,7 +84,14 @@ def _fuzzy_prefixes(asked: DataFrame, targets: DataFrame, fuzziness: int) -> Dat
         return F.transform(variants, lambda v: F.concat_ws(":", F.lit(str(cut)), F.substring("_key", 1, 1), v))
 
     request = measure_request(keyed, "_block")
-    every = targets.withColumn("_blocks", F.concat(*[blocks(cut) for cut in cuts]))
+    # Only lengths and first characters that are asked for make blocks at all.
+    cuts = list(range(FUZZY_MIN_LENGTH, BLOCK + 1))
+    if request.values is not None:
+        cuts = sorted({int(v.split(":", 1)[0]) for v in request.values})
+        firsts = Request(sorted({v.split(":", 2)[1] for v in request.values}), True)
+        targets = targets.where(F.expr(firsts.test("substring(_key, 1, 1)")))
+    made = F.concat(*[blocks(cut) for cut in cuts]) if cuts else F.array().cast("array<string>")
+    every = spread_small(targets).withColumn("_blocks", made)
     spread = every.withColumn("_block", F.expr(f"explode(filter(_blocks, b -> {request.test('b')}))")).drop("_blocks")
     lengths = F.sequence(F.greatest(F.length("_q") - fuzziness, F.lit(1)), F.length("_q") + fuzziness)
     distances = F.filter(
