@@ -203,7 +203,7 @@ def write_synonym_rules(rules: DataFrame, path: str) -> None:
     """Rule files below ``taxonomy=…/lang=…``; a rerun replaces the partitions it covers."""
     (
         rules.select("taxonomy", "lang", F.col("rule").alias("value"))
-        .repartition("taxonomy", "lang")
+        .hint("rebalance", "taxonomy", "lang")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("taxonomy", "lang").text(path)
     )

@@ -31,12 +31,13 @@ def publish_version(
     """Write a new version in full, then switch the alias to it; returns the version's name.
 
     With ``key`` and ``buckets`` the rows are laid out by a hash of the id, so that later updates
-    rewrite only the buckets they touch.
+    rewrite only the buckets they touch. Rebalancing lets adaptive execution write a large bucket
+    with several tasks and small ones together.
     """
     version = version or version_name(alias)
     writer = df
     if key and buckets:
-        writer = df.withColumn(BUCKET, bucket_of(key, buckets)).repartition(F.col(BUCKET))
+        writer = df.withColumn(BUCKET, bucket_of(key, buckets)).hint("rebalance", BUCKET)
         writer.write.mode("errorifexists").partitionBy(BUCKET).parquet(f"{base}/{version}")
     else:
         writer.write.mode("errorifexists").parquet(f"{base}/{version}")
@@ -88,7 +89,7 @@ def merge_into_current(
     part = live.where(F.col(BUCKET).isin(touched))
     merged = upsert_documents(part.drop(BUCKET), updates, key, last_modified, deleted, only_newer).select(
         *[c for c in live.columns if c != BUCKET]
-    ).withColumn(BUCKET, bucket_of(key, buckets)).repartition(F.col(BUCKET))
+    ).withColumn(BUCKET, bucket_of(key, buckets)).hint("rebalance", BUCKET)
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
     if deleted is None:
         return

@@ -8,7 +8,7 @@ from facetspark.functions.text import FOLDED
 from facetspark.operators import suggest as sg
 from facetspark.operators import taxonomy as tx
 from facetspark.operators.tagging import match_taxonomy, synonym_spans, tag_entities
-from workload.common import CORPUS_SQL, ITEMS_SQL, Query, corpus, items, table, tokens_sql
+from workload.common import CORPUS_SQL, ITEMS_SQL, Query, corpus, items, table
 
 # --- a place taxonomy: customers and suppliers below nations, regions and segments ---
 
