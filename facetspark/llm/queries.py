@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetspark.llm import chat, classifier, rules, sharding
+from facetspark.llm import bpe, chat, classifier, huffman, rules, sharding
 from facetspark.llm.common import table
 
 
@@ -55,11 +56,27 @@ def sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return huffman.binary_output(table(spark, sf_dir, "documents"), path, end_id=2)
+
+
+def bpe_ranks() -> dict[bytes, int]:
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as lines:
+        return bpe.load_ranks(lines)
+
+
+def byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), bpe_ranks(), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op2_quality_classifier": quality_classifier,
     "op3_chat_formatting": chat_formatting,
     "op4_quality_rules": quality_rules,
+    "op7_token_id_output": token_id_output,
     "op9_sharding": sharded,
+    "op10_byte_level_bpe": byte_level_bpe,
 }
 
 SQL = {
