@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetspark.llm import bpe, chat, classifier, huffman, rules, sharding
+from facetspark.llm import bpe, chat, classifier, decontamination, huffman, rules, sharding
 from facetspark.llm.common import table
 
 
+def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -71,6 +75,7 @@ def byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_benchmark_decontamination": benchmark_decontamination,
     "op2_quality_classifier": quality_classifier,
     "op3_chat_formatting": chat_formatting,
     "op4_quality_rules": quality_rules,

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from facetspark.llm.common import stored
+
 RACKS = 2
 SHARDS_A_RACK = 4
 #: Rows of a shard are numbered inside so many hash groups, which are then put end to end.
@@ -78,11 +80,12 @@ def shard_documents(docs: DataFrame, shards: int = 16, leaves: list[Leaf] | None
     now = leaves or topology(shards)
     later = now + [Leaf(1 + max(x.region for x in now), 0, 1 + max(x.shard for x in now))]
     raw = F.coalesce(F.encode(F.col("text"), "utf-8"), F.lit(b""))
-    rows = docs.select(
+    # the texts are read once; what is counted and numbered is a few numbers a row
+    rows = stored(docs.select(
         "doc_id", (F.length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"),
         assign(F.col("doc_id"), now).alias("shard"), assign(F.col("doc_id"), later).alias("grown_shard"),
         F.pmod(F.xxhash64(F.lit("slot"), "doc_id", F.length(raw)), F.lit(SLOT_GROUPS)).cast("int").alias("_group"),
-    )
+    ), "shards")
     counts = rows.groupBy("shard", "_group").agg(F.count(F.lit(1)).alias("_n"))
     # at most shards x SLOT_GROUPS rows
     before = Window.partitionBy("shard").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
