@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetspark.llm import bpe, chat, classifier, decontamination, huffman, rules, sharding
+from facetspark.llm import bpe, chat, classifier, decontamination, huffman, minhash, rules, sharding
 from facetspark.llm.common import table
 
 
@@ -60,6 +60,39 @@ def sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^ 	-
+]+') AS words
+  FROM documents
+),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle
+  FROM w
+),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY ALL
+),
+link AS MATERIALIZED (
+  SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)
+),
+both_ways AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(doc_id, other) AS (
+  SELECT a, a FROM both_ways UNION SELECT reach.doc_id, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.other
+),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least.component_id, w.doc_id) AS component_id,
+       coalesce(least.component_id, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)"""
+
+
 def token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return huffman.binary_output(table(spark, sf_dir, "documents"), path, end_id=2)
@@ -79,6 +112,7 @@ QUERIES = {
     "op2_quality_classifier": quality_classifier,
     "op3_chat_formatting": chat_formatting,
     "op4_quality_rules": quality_rules,
+    "op5_minhash_near_dedup": minhash_near_dedup,
     "op7_token_id_output": token_id_output,
     "op9_sharding": sharded,
     "op10_byte_level_bpe": byte_level_bpe,
@@ -86,4 +120,5 @@ QUERIES = {
 
 SQL = {
     "op3_chat_formatting": CHAT_SQL,
+    "op5_minhash_near_dedup": NEAR_SQL,
 }
