@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetspark.llm import bpe, chat, classifier, decontamination, huffman, minhash, rules, sharding
+from facetspark.llm import bpe, chat, classifier, decontamination, huffman, minhash, rules, sharding, suffix
 from facetspark.llm.common import table
 
 
@@ -93,6 +93,38 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least.component_id, w.
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)"""
 
 
+def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+#: Windows as hexadecimal text, two characters a byte.
+REPEATS_SQL = """
+WITH d AS MATERIALIZED (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+),
+w AS MATERIALIZED (
+  SELECT doc_id, p, md5(substr(h, 2 * p + 1, 100)) AS m FROM (SELECT doc_id, h, unnest(range(n - 49)) AS p FROM d WHERE n >= 50)
+),
+least AS (SELECT m, min(doc_id) AS doc_id FROM w GROUP BY m HAVING min(doc_id) < max(doc_id)),
+hit AS MATERIALIZED (SELECT w.doc_id, w.p FROM w JOIN least USING (m) WHERE least.doc_id < w.doc_id),
+island AS (
+  SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM (
+    SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS new FROM hit)
+),
+span AS MATERIALIZED (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS b FROM island GROUP BY doc_id, k),
+gap AS (
+  SELECT doc_id, a, substr(h, 2 * coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1,
+    2 * (a - coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0))) AS t FROM span JOIN d USING (doc_id)
+),
+cut AS (
+  SELECT doc_id, string_agg(t, '' ORDER BY a) AS t FROM gap GROUP BY doc_id
+),
+total AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS tail FROM span GROUP BY doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(cut.t, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN total USING (doc_id)"""
+
+
 def token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return huffman.binary_output(table(spark, sf_dir, "documents"), path, end_id=2)
@@ -113,6 +145,7 @@ QUERIES = {
     "op3_chat_formatting": chat_formatting,
     "op4_quality_rules": quality_rules,
     "op5_minhash_near_dedup": minhash_near_dedup,
+    "op6_suffix_array_dedup": suffix_array_dedup,
     "op7_token_id_output": token_id_output,
     "op9_sharding": sharded,
     "op10_byte_level_bpe": byte_level_bpe,
@@ -121,4 +154,5 @@ QUERIES = {
 SQL = {
     "op3_chat_formatting": CHAT_SQL,
     "op5_minhash_near_dedup": NEAR_SQL,
+    "op6_suffix_array_dedup": REPEATS_SQL,
 }
