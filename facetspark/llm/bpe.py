@@ -15,15 +15,13 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
-from facetspark.llm.chunks import encode_rows
-from facetspark.llm.common import map_rows
+from facetspark.llm.chunks import WordCache, encode_batches
+from facetspark.llm.common import map_batches, map_rows
 
 #: Words given to one recursive query, counted in bytes; bounds its memory.
 WORD_BYTES = 400_000
 #: Ids decoded by one query; a longer document is decoded by itself.
 DECODE_IDS = 400_000
-#: Words whose ids a partition remembers.
-KNOWN_WORDS = 400_000
 END = np.array([-1], np.int32)
 
 #: A row is a token and the one behind it in its word, with the id of the two merged if they can be. The merge at
@@ -74,8 +72,8 @@ class PartitionBpe:
         import pyarrow as pa
         import regex
 
-        self.pa, self.ranks, self.split = pa, ranks, regex.compile(pattern)
-        self.known: dict[bytes, bytes] = {}
+        self.pa, self.ranks = pa, ranks
+        self.encode_chunks = WordCache(regex.compile(pattern).findall, self.encode_words).encode
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         left, right, whole = merge_table(ranks)
@@ -87,8 +85,9 @@ class PartitionBpe:
         self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM incoming")
         self.con.unregister("incoming")
 
-    def encode_words(self, words: list[bytes]) -> list[bytes]:
+    def encode_words(self, texts: list[str]) -> list[bytes]:
         """Ids of each word; a word that is a token is that token, as in the public library."""
+        words = [t.encode() for t in texts]
         out: list = [None] * len(words)
         held, size = [], 0
         for k, word in enumerate(words):
@@ -123,15 +122,6 @@ class PartitionBpe:
             out[k] = ids[start:end]
             start = end
 
-    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        """Ids of each chunk; a word met before in the partition is not given to a query again."""
-        pieces = [[w.encode() for w in self.split.findall(c)] for c in chunks]
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        new = list(set().union(*pieces).difference(self.known))
-        self.known.update(zip(new, self.encode_words(new)))
-        return [b"".join(map(self.known.__getitem__, p)) for p in pieces]
-
     def decode(self, documents: list[bytes]) -> list[bytes]:
         tokens = np.concatenate([x for d in documents for x in (np.frombuffer(d, "<u4").astype(np.int32), END)] or [END])
         self.con.register("given", self.pa.table({"i": np.arange(len(tokens)), "tok": tokens}))
@@ -146,8 +136,8 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str) ->
     Input ``doc_id``, ``text``; other columns are ignored. A null or empty text has no ids; rows with
     null or repeated ids are encoded one by one; an empty table gives an empty result.
     """
-    return map_rows(
-        docs.select("doc_id", "text"), lambda rows: encode_rows(rows, PartitionBpe(ranks, pattern).encode_chunks),
+    return map_batches(
+        docs.select("doc_id", "text"), lambda parts: encode_batches(parts, PartitionBpe(ranks, pattern).encode_chunks, "<u4"),
         "doc_id long, ids binary",
     )
 
@@ -180,9 +170,9 @@ def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFr
     The cases of ``encode_documents`` hold; no text leaves the partition.
     """
 
-    def run(rows):
+    def run(parts):
         bpe = PartitionBpe(ranks, pattern)
-        for key, ids, text in decoded(encode_rows(rows, bpe.encode_chunks), bpe):
+        for key, ids, text in decoded(encode_batches(parts, bpe.encode_chunks, "<u4"), bpe):
             yield key, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()
 
-    return map_rows(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -55,6 +55,11 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterable[tuple]], dd
     return df.mapInArrow(run, ddl)
 
 
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[tuple]], ddl: str) -> DataFrame:
+    """As ``map_rows``, for functions that look at whole batches."""
+    return df.mapInArrow(lambda batches: batches_of(fn(batches), ddl), ddl)
+
+
 def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8")
 
@@ -93,7 +98,12 @@ TASK_GROUPS = 64
 
 
 def summed(df: DataFrame, fn, length: int, dtype: str = "int64"):
-    """Element-wise sum over all partitions of the vector that ``fn(rows)`` makes of one, as a numpy array.
+    """``summed_batches`` for a function of rows."""
+    return summed_batches(df, lambda batches: fn(rows_of(batches)), length, dtype)
+
+
+def summed_batches(df: DataFrame, fn, length: int, dtype: str = "int64"):
+    """Element-wise sum over all partitions of the vector that ``fn(batches)`` makes of one, as a numpy array.
 
     A vector of fixed ``length`` is cut into slices, which are summed in two rounds on the executors;
     only ``length`` numbers reach the driver, however many partitions there are.
@@ -105,7 +115,7 @@ def summed(df: DataFrame, fn, length: int, dtype: str = "int64"):
     def parts(batches):
         from pyspark import TaskContext
 
-        total = np.asarray(fn(rows_of(batches)), dtype)
+        total = np.asarray(fn(batches), dtype)
         group = TaskContext.get().partitionId() % TASK_GROUPS
         if total.any():
             yield from batches_of(((group, k, total[k * step:(k + 1) * step].tobytes()) for k in range(-(-length // step))), ddl)

@@ -9,21 +9,21 @@ table and moves all blocks of a segment forward together.
 
 from __future__ import annotations
 
-import os
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetspark.llm.chunks import encode_rows
-from facetspark.llm.common import batches_of, block_count, map_rows, rows_of, stored, summed
+from facetspark.llm.chunks import WordCache, encode_batches
+from facetspark.llm.common import batches_of, block_count, map_batches, map_rows, rows_of, stored, summed
 from facetspark.scale import scratch_path
 
 MAX_BITS = 18
 BLOCK = 256
 #: A segment is closed at so many ids.
-SEGMENT_IDS = 1 << 19
+SEGMENT_IDS = 1 << 20
 #: Bytes of stored ids a file holds about.
 FILE_BYTES = 32 << 20
 COUNT_BYTES = 8 << 20
@@ -74,18 +74,14 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbol and length for each value of the next MAX_BITS bits."""
-    codes = canonical_codes(lengths)
+def decode_table(lengths: np.ndarray) -> np.ndarray:
+    """For each value of the next MAX_BITS bits, the symbol times 32 plus the length of its code."""
     order = np.lexsort((np.arange(len(lengths)), lengths))
     order = order[lengths[order] > 0]
-    span = 1 << (MAX_BITS - lengths[order])
-    symbols, sizes = np.zeros(1 << MAX_BITS, np.int64), np.ones(1 << MAX_BITS, np.int64)
-    if len(order):
-        assert codes[order[0]] == 0
-        symbols[: span.sum()] = np.repeat(order, span)
-        sizes[: span.sum()] = np.repeat(lengths[order], span)
-    return symbols, sizes
+    span = 1 << (MAX_BITS - lengths[order])  # codes in canonical order fill the table from 0 on
+    table = np.ones(1 << MAX_BITS, np.int64)
+    table[: span.sum()] = np.repeat(order * 32 + lengths[order], span)
+    return table
 
 
 def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -103,67 +99,103 @@ def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes
     return words.astype(">u4").tobytes(), start[::BLOCK]
 
 
-def unpack(bits: bytes, checkpoints: np.ndarray, n: int, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def unpack(bits: bytes, checkpoints: np.ndarray, n: int, table: np.ndarray) -> np.ndarray:
     """The ``n`` ids of a segment; every block starts at its checkpoint."""
-    symbols, sizes = table
-    raw = np.frombuffer(bits + b"\0" * 8, np.uint8)
+    # the last block may be short and then reads on behind the end
+    raw = np.frombuffer(bits + bytes(BLOCK * MAX_BITS // 8 + 8), np.uint8)
     # the 32 bits from each byte on: an offset inside a byte and MAX_BITS fit
-    words = np.zeros(len(raw) - 3, np.uint32)
+    words = np.zeros(len(raw) - 3, np.int64)
     for k in range(4):
-        words |= raw[k: len(raw) - 3 + k].astype(np.uint32) << np.uint32(24 - 8 * k)
+        words |= raw[k: len(raw) - 3 + k].astype(np.int64) << (24 - 8 * k)
     at = np.array(checkpoints, np.int64)
-    out = np.zeros((BLOCK, len(at)), np.int64)
+    out = np.zeros((min(BLOCK, n), len(at)), np.uint32)
     mask, top = (1 << MAX_BITS) - 1, 32 - MAX_BITS
-    last = len(words) - 1
-    for k in range(min(BLOCK, n)):
-        value = (words[np.minimum(at >> 3, last)] >> (top - (at & 7)).astype(np.uint32)) & mask
-        out[k] = symbols[value]
-        at += sizes[value]
+    for row in out:
+        found = table[(words[at >> 3] >> (top - (at & 7))) & mask]
+        row[:] = found >> 5
+        at += found & 31
     return out.T.ravel()[:n]
 
 
-def tokenized(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
-    """``doc_id, ids`` by the tokenizer of ``path`` without special tokens, ``end_id`` behind each document."""
-    tail = b"" if end_id is None else end_id.to_bytes(4, "little")
+def byte_letters() -> str:
+    """The letter that the tokenizer file writes for each byte: visible Latin-1 as it is, the others from 256 on in order."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return "".join(chr(b if b in visible else next(others)) for b in range(256))
+
+
+def tokenized(docs: DataFrame, path: str, pattern: str, end_id: int | None) -> DataFrame:
+    """``doc_id, n, ids`` by the tokenizer of ``path`` without special tokens, ``end_id`` behind each document.
+
+    Each task adds a row with nothing but the ``counts`` of its ids.
+
+    The tokenizer must be a byte-level one that splits by ``pattern`` and has no normaliser. Its model
+    gets every distinct word once. Ids are little-endian unsigned numbers of ``id_type``.
+    """
     with open(path, encoding="utf-8") as f:
         spec = f.read()
+    kind, symbols = id_type(path, end_id), n_symbols(path, end_id)
+    width = int(kind[-1])
+    tail = b"" if end_id is None else np.array([end_id], kind).tobytes()
 
-    def run(rows):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    def run(parts):
+        import regex
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(spec)
-        tokenizer.encode_special_tokens = True
+        tokenize = Tokenizer.from_str(spec).model.tokenize
+        letters = byte_letters()
+
+        def encode_words(words):
+            return [
+                array(code, [t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))]).tobytes()
+                for w in words
+            ]
+
+        code = "H" if kind == "<u2" else "I"
+        cache = WordCache(regex.compile(pattern).findall, encode_words)
+        total, held, size = np.zeros(symbols, np.int64), [], 0
+        for key, ids in encode_batches(parts, cache.encode, kind):
+            ids += tail
+            held.append(ids)
+            size += len(ids)
+            if size >= COUNT_BYTES:
+                total += np.bincount(np.frombuffer(b"".join(held), kind), minlength=symbols)
+                held, size = [], 0
+            yield key, len(ids) // width, ids, None
+        total += np.bincount(np.frombuffer(b"".join(held), kind), minlength=symbols)
+        if total.any():
+            yield None, None, None, zlib.compress(total.astype("<i8").tobytes(), 1)
+
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n long, ids binary, counts binary")
+
 
-        def encode(chunks):
-            found = tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-            return [np.array(x.ids, "<u4").tobytes() for x in found]
+def n_symbols(path: str, end_id: int | None) -> int:
+    from tokenizers import Tokenizer
 
-        return ((key, ids + tail) for key, ids in encode_rows(rows, encode))
+    return max(Tokenizer.from_file(path).get_vocab_size(), (end_id or 0) + 1)
 
-    return map_rows(docs.select("doc_id", "text"), run, "doc_id long, ids binary")
+
+def id_type(path: str, end_id: int | None) -> str:
+    """Two bytes an id where the vocabulary allows it."""
+    return "<u2" if n_symbols(path, end_id) <= 1 << 16 else "<u4"
 
 
 def global_counts(ids: DataFrame, n_symbols: int) -> np.ndarray:
-    def count(rows):
-        total, held, size = np.zeros(n_symbols, np.int64), [], 0
-        for (value,) in rows:
-            held.append(value)
-            size += len(value)
-            if size >= COUNT_BYTES:
-                total += np.bincount(np.frombuffer(b"".join(held), "<u4"), minlength=n_symbols)
-                held, size = [], 0
-        return total + np.bincount(np.frombuffer(b"".join(held), "<u4"), minlength=n_symbols)
+    """Sum of the counts that the tasks of ``tokenized`` left in their last rows."""
+
+    def total(rows):
+        return sum((np.frombuffer(zlib.decompress(c), "<i8") for (c,) in rows), np.zeros(n_symbols, np.int64))
 
-    return summed(ids.select("ids"), count, n_symbols)
+    return summed(ids.where("counts IS NOT NULL").select("counts"), total, n_symbols)
 
 
-def write_segments(ids: DataFrame, lengths: np.ndarray, path: str) -> None:
-    """Writes ``doc_id, ids`` in ascending order of id to ``path``: one or more segments a range of ids.
+def write_segments(ids: DataFrame, kind: str, lengths: np.ndarray, path: str) -> None:
+    """Writes ``doc_id, n, ids`` in ascending order of id to ``path``: one or more segments a range of ids.
 
-    Rows with a null id come first; the order among equal ids is that of their bytes.
+    Rows with a null id come first; the order among equal ids is that of their lengths and bytes.
     """
     codes = canonical_codes(lengths)
+    width = int(kind[-1])
 
     def run(batches):
         from pyspark import TaskContext
@@ -174,7 +206,7 @@ def write_segments(ids: DataFrame, lengths: np.ndarray, path: str) -> None:
             held, size, number, first = [], 0, 0, 0
             for row in rows_of(batches):
                 held.append(row)
-                size += len(row[1]) // 4
+                size += len(row[1]) // width
                 if size >= SEGMENT_IDS:
                     yield segment(held, size, number, first)
                     held, number, first, size = [], number + 1, first + size, 0
@@ -184,8 +216,8 @@ def write_segments(ids: DataFrame, lengths: np.ndarray, path: str) -> None:
         def segment(held, size, number, first):
             known = np.array([r[0] if r[0] is not None else 0 for r in held], "<i8")
             # the lowest bit of a length says that the id is null
-            counts = np.array([len(r[1]) // 4 * 2 + (r[0] is None) for r in held], "<i8")
-            bits, checkpoints = pack(np.frombuffer(b"".join(r[1] for r in held), "<u4").astype(np.int64), lengths, codes)
+            counts = np.array([len(r[1]) // width * 2 + (r[0] is None) for r in held], "<i8")
+            bits, checkpoints = pack(np.frombuffer(b"".join(r[1] for r in held), kind).astype(np.int64), lengths, codes)
             return (
                 file, number, first, size, known.tobytes(), counts.tobytes(), bits, checkpoints.astype("<u8").tobytes(),
             )
@@ -193,8 +225,8 @@ def write_segments(ids: DataFrame, lengths: np.ndarray, path: str) -> None:
         return batches_of(segments(), SEGMENT_DDL)
 
     files = block_count(ids, FILE_BYTES)
-    ordered = ids.repartitionByRange(files, "doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id", "ids")
-    ordered.mapInArrow(run, SEGMENT_DDL).write.option("compression", "none").parquet(path)
+    ordered = ids.repartitionByRange(files, "doc_id", "n").sortWithinPartitions("doc_id", "n", "ids")
+    ordered.select("doc_id", "ids").mapInArrow(run, SEGMENT_DDL).write.option("compression", "none").parquet(path)
 
 
 def read_documents(segments: DataFrame, lengths: np.ndarray, finish, ddl: str) -> DataFrame:
@@ -219,10 +251,10 @@ def read_documents(segments: DataFrame, lengths: np.ndarray, finish, ddl: str) -
 
 
 def digest(doc_id, start, ids):
-    return doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())
+    return doc_id, start, len(ids), zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
 
 
-def binary_output(docs: DataFrame, path: str, end_id: int = 2, out: str | None = None) -> DataFrame:
+def binary_output(docs: DataFrame, path: str, pattern: str, end_id: int = 2, out: str | None = None) -> DataFrame:
     """Encodes, writes and reads back all documents: ``doc_id, start, n_tokens, ids_crc32``.
 
     Input ``doc_id``, ``text``; other columns are ignored. A null or empty text is the end id alone.
@@ -232,12 +264,10 @@ def binary_output(docs: DataFrame, path: str, end_id: int = 2, out: str | None =
     """
     spark = docs.sparkSession
     out = out or scratch_path(spark, "token-ids")
-    ids = stored(tokenized(docs, path, end_id), "token-id-lists")
-    from tokenizers import Tokenizer
-
-    counts = global_counts(ids, max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1))
-    lengths = code_lengths(counts)
-    write_segments(ids, lengths, f"{out}/segments")
+    kind = id_type(path, end_id)
+    ids = stored(tokenized(docs, path, pattern, end_id), "token-id-lists")
+    lengths = code_lengths(global_counts(ids, n_symbols(path, end_id)))
+    write_segments(ids.where("ids IS NOT NULL").select("doc_id", "n", "ids"), kind, lengths, f"{out}/segments")
     book = [(int(s), int(lengths[s])) for s in np.flatnonzero(lengths)]
     spark.createDataFrame(book, "symbol int, bits int").coalesce(1).write.parquet(f"{out}/code")
     return read_binary(spark, out, digest, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -127,7 +127,7 @@ FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN total USING (doc_id)"""
 
 def token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return huffman.binary_output(table(spark, sf_dir, "documents"), path, end_id=2)
+    return huffman.binary_output(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, end_id=2)
 
 
 def bpe_ranks() -> dict[bytes, int]:
