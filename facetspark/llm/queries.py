@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetspark.llm import bpe, chat, classifier, decontamination, huffman, minhash, rules, sharding, suffix
+from facetspark.llm import bpe, chat, classifier, decontamination, huffman, lines, minhash, rules, sharding, suffix
 from facetspark.llm.common import table
 
 
@@ -125,6 +125,43 @@ SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGI
 FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN total USING (doc_id)"""
 
 
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
+LINES_SQL = r"""
+WITH l AS MATERIALIZED (
+  SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, list_sort(list_distinct(regexp_extract_all(line, '[^ 	-
+]+'))) AS words
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents)
+),
+c AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, words, min((doc_id, line_no)) AS first, len(words) AS n FROM l WHERE len(words) > 0 GROUP BY words
+),
+w AS MATERIALIZED (SELECT k, n, unnest(words) AS word FROM c),
+freq AS (SELECT word, count(*) AS f FROM w GROUP BY word),
+ranked AS (SELECT k, n, word, row_number() OVER (PARTITION BY k ORDER BY f, word) AS pos FROM w JOIN freq USING (word)),
+p AS MATERIALIZED (SELECT * FROM ranked WHERE pos <= n - ceil(n * 80 / 100.0) + 1),
+maybe AS MATERIALIZED (
+  SELECT DISTINCT x.k AS a, y.k AS b FROM p x JOIN p y USING (word) WHERE x.k < y.k AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+),
+link AS MATERIALIZED (
+  SELECT a, b FROM maybe JOIN c x ON x.k = a JOIN c y ON y.k = b
+  WHERE 100 * len(list_intersect(x.words, y.words)) >= 80 * (x.n + y.n - len(list_intersect(x.words, y.words)))
+),
+both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+best AS (SELECT a AS k, min(c.first) AS partner, count(*) AS n_links FROM both_ways JOIN c ON c.k = b GROUP BY a),
+r AS (
+  SELECT l.doc_id, l.line_no, coalesce(n_links, 0) AS n_links,
+         c.first < (l.doc_id, l.line_no) OR coalesce(best.partner < (l.doc_id, l.line_no), false) AS removed
+  FROM l JOIN c USING (words) LEFT JOIN best USING (k)
+)
+SELECT d.doc_id, count(line_no) AS n_lines, CAST(count(*) FILTER (removed) AS BIGINT) AS n_removed,
+       CAST(coalesce(sum(n_links), 0) AS BIGINT) AS n_links,
+       coalesce(string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) FILTER (removed), '') AS removed_lines
+FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id"""
+
+
 def token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return huffman.binary_output(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, end_id=2)
@@ -147,6 +184,7 @@ QUERIES = {
     "op5_minhash_near_dedup": minhash_near_dedup,
     "op6_suffix_array_dedup": suffix_array_dedup,
     "op7_token_id_output": token_id_output,
+    "op8_line_dedup": line_dedup,
     "op9_sharding": sharded,
     "op10_byte_level_bpe": byte_level_bpe,
 }
@@ -155,4 +193,5 @@ SQL = {
     "op3_chat_formatting": CHAT_SQL,
     "op5_minhash_near_dedup": NEAR_SQL,
     "op6_suffix_array_dedup": REPEATS_SQL,
+    "op8_line_dedup": LINES_SQL,
 }
