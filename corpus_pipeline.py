@@ -1,23 +1,53 @@
-"""A corpus pipeline of the operators: each stage reads what its predecessor kept."""
+"""A corpus pipeline of the operators: each stage reads what its predecessor kept.
+
+Stages take ``(spark, docs, sf_dir)``; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetspark.llm import classifier
+from facetspark.llm import bpe, classifier, decontamination, lines, minhash
 from facetspark.llm.common import stored, table
+from facetspark.llm.queries import bpe_ranks
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
-    scored = classifier.score_quality(docs, table(spark, sf_dir, "labels"))
-    return docs.join(scored.where("predicted = 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    """Documents that the quality classifier accepts."""
+    return classifier.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that match an earlier one; a document that loses all of them stays, empty."""
+    return lines.drop_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that with the least id."""
+    return minhash.drop_near_duplicates(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return docs.where(~decontamination.is_contaminated(F.col("text"), table(spark, sf_dir, "benchmark")))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of what they decode to."""
+    return bpe.round_trip(docs, bpe_ranks(), public_tokenizers.PATTERN)
 
 
-STAGES = [("quality classifier", quality)]
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", line_dedup),
+    ("near dedup", near_dedup),
+    ("decontamination", decontaminate),
+    ("byte-level bpe", encode),
+]
 
-#: The first stage is a trained model, which SQL cannot express.
+#: The first stage is a trained model, which SQL cannot express; tests compare every stage with brute force.
 ORACLE_SQL = None
 
 

@@ -7,6 +7,7 @@ calibrated by an isotonic fit of the labels over fixed score bins.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -157,6 +158,17 @@ def fit(train: DataFrame) -> Model:
     return Model(mean, scale, weights, isotonic(*summed(train, histogram, 2 * BINS, "float64").reshape(2, BINS)))
 
 
+def fit_documents(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Model]:
+    """The statistics of all documents, and the model of the labelled ones that are not held out."""
+    stats = stored(text_statistics(docs), "quality-statistics")
+    known = (
+        labels.where("doc_id is not null and quality is not null").where(~held_out("doc_id"))
+        .groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))
+    )
+    train = stored(stats.join(known, "doc_id").select("x", "y"), "quality-train")
+    return stats, fit(train)
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """Calibrated quality of every document: ``doc_id, held_out, score, predicted``.
 
@@ -166,13 +178,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) ->
     Rows with null or repeated ids are scored one by one. Without labels every score is 0.5. An empty
     table gives an empty result.
     """
-    stats = stored(text_statistics(docs), "quality-statistics")
-    known = (
-        labels.where("doc_id is not null and quality is not null").where(~held_out("doc_id"))
-        .groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))
-    )
-    train = stored(stats.join(known, "doc_id").select("x", "y"), "quality-train")
-    model = fit(train)
+    stats, model = fit_documents(docs, labels)
 
     def score(rows):
         for held in _chunks(rows, 4096):
@@ -184,3 +190,20 @@ def score_quality(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) ->
         "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted")
     )
 
+
+def accepted(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
+    """The rows of ``docs`` that score ``accept`` or more, with all their columns.
+
+    Judges each row by its own text where it stands, so no text is shuffled.
+    """
+    import pandas as pd
+
+    _, model = fit_documents(docs, labels)
+
+    def judge(parts):
+        for part in parts:
+            x = [statistics(t) for t in part]
+            yield pd.Series(model.score(np.vstack(x)) >= accept if x else [], dtype=bool)
+
+    judge.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return docs.where(F.pandas_udf(judge, "boolean")("text"))

@@ -162,16 +162,19 @@ def find_contamination(docs: DataFrame, items: DataFrame, rate: float = ERROR_RA
 
 def is_contaminated(text: Column, items: DataFrame, rate: float = ERROR_RATE) -> Column:
     """Whether a text holds any of the items; for filters that keep the rows where they are."""
-    import pandas as pd
-
     condition = F.lit(False)
     for block in item_blocks(items):
+        condition = condition | F.pandas_udf(_holds_any(block, rate), "boolean")(text)
+    return condition
 
-        def run(parts, block=block):
-            matcher = Matcher(block, rate)
-            for part in parts:
-                yield pd.Series([next(matcher.matches(normalised(t)), None) is not None for t in part], dtype=bool)
 
-        run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-        condition = condition | F.pandas_udf(run, "boolean")(text)
-    return condition
+def _holds_any(block: list[tuple[int, str]], rate: float):
+    import pandas as pd
+
+    def run(parts):
+        matcher = Matcher(block, rate)
+        for part in parts:
+            yield pd.Series([next(matcher.matches(normalised(t)), None) is not None for t in part], dtype=bool)
+
+    run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return run

@@ -11,6 +11,7 @@ expanded into pairs.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,23 +91,23 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketches(rows) -> Iterator[tuple]:
-    """``(doc_id, text)`` as ``(doc_id, n_shingles, node, signature)``; the node is a 128-bit digest of the set."""
+    """``(doc_id, text)`` as ``(doc_id, crc, n_shingles, node, signature)``; the node is a 128-bit digest of the set."""
     import xxhash
 
     shingler, held, size = Shingler(), [], 0
 
     def flush():
-        full = [s for _, s in held if len(s)]
+        full = [s for _, _, s in held if len(s)]
         found = iter(signatures(full)) if full else iter(())
-        for doc_id, s in held:
+        for doc_id, crc, s in held:
             if len(s):
-                yield doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), next(found).tobytes()
+                yield doc_id, crc, len(s), xxhash.xxh3_128_digest(s.tobytes()), next(found).tobytes()
             else:
-                yield doc_id, 0, None, None
+                yield doc_id, crc, 0, None, None
 
     for doc_id, text in rows:
-        held.append((doc_id, shingler.hashes(text)))
-        size += len(held[-1][1])
+        held.append((doc_id, zlib.crc32(utf8(text)), shingler.hashes(text)))
+        size += len(held[-1][2])
         if size >= TOGETHER:
             yield from flush()
             held, size = [], 0
@@ -258,7 +259,7 @@ def _compare_blocks(rows):
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Components of near-duplicates: ``doc_id, n_shingles, component_id, kept``, one row a document.
+    """Components of near-duplicates: ``doc_id, n_shingles, component_id, kept, text_crc32``, one row a document.
 
     Input ``doc_id``, ``text``; other columns are ignored. Documents with 75 % or more of their five-word
     shingles (lower-cased A-Z) in common are linked; fewer than five words are one shingle; null, empty and
@@ -268,7 +269,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     empty table gives an empty result.
     """
     docs = docs.select("doc_id", "text")
-    sketch = stored(map_rows(docs, sketches, "doc_id long, n long, node binary, signature binary"), "sketches")
+    sketch = stored(map_rows(docs, sketches, "doc_id long, text_crc32 long, n long, node binary, signature binary"), "sketches")
     nodes = stored(
         sketch.where("node IS NOT NULL").groupBy("node")
         .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature")), "nodes"
@@ -289,8 +290,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "component").select("node", "component_id")
-    out = sketch.select("doc_id", F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
+    out = sketch.select("doc_id", "text_crc32", F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
+        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"),
+        "text_crc32",
     )
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns."""
+    gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_doc"), F.col("text_crc32").alias("_crc"))
+    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8"))
+    return docs.join(gone, F.col("_doc").eqNullSafe(docs["doc_id"]) & (F.col("_crc") == crc), "left_anti")

@@ -61,7 +61,7 @@ def sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_crc32")
 
 
 NEAR_SQL = r"""
