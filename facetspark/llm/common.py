@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from facetspark.scale import scratch_path
 
@@ -69,9 +70,16 @@ def words_of(data: bytes) -> list[bytes]:
     return data.split()
 
 
+#: From here on the planner does not know a size and says so by a huge one.
+UNKNOWN_BYTES = 1 << 55
+
+
 def estimated_bytes(df: DataFrame) -> int:
-    """The planner's size of ``df``; no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """The planner's size of ``df``; only where it knows none are the texts measured by a job."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size < UNKNOWN_BYTES:
+        return size
+    return df.select(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
 def block_count(df: DataFrame, block_bytes: int) -> int:

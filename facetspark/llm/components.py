@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetspark.llm.common import stored
+from facetspark.scale import broadcast_if_bounded
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -18,6 +19,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     edges = stored(edges.select("a", "b").where("a <> b").distinct(), "edges")
     labels = None
+    # tables of a known small size are broadcast; larger ones are joined by a shuffle
     for turn in range(1_000):
         if edges.isEmpty():
             return edges.selectExpr("a AS node", "b AS component") if labels is None else labels
@@ -26,16 +28,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
         points = stored(
             both.groupBy("a").agg(F.least(F.min(order("b")), order("a"))["node"].alias("to")), "pointers"
         )
+        near = broadcast_if_bounded(points)
         edges = stored(
-            edges.join(points.withColumnRenamed("to", "ta"), "a")
-            .join(points.selectExpr("a AS b", "to AS tb"), "b")
+            edges.join(near.withColumnRenamed("to", "ta"), "a")
+            .join(near.selectExpr("a AS b", "to AS tb"), "b")
             .selectExpr("least(ta, tb) AS a", "greatest(ta, tb) AS b").where("a <> b").distinct(),
             "edges",
         )
         if labels is None:
             labels = points.selectExpr("a AS node", "to AS component")
         else:
-            moved = points.selectExpr("a AS component", "to")
+            moved = near.selectExpr("a AS component", "to")
             labels = stored(
                 labels.join(moved, "component", "left").selectExpr("node", "coalesce(to, component) AS component"), "labels"
             )

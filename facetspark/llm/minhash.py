@@ -5,8 +5,8 @@ shingles, the second ranks them after a circular shift by the coordinate's numbe
 
 Equal shingle sets become one node. In every bucket of a band the nodes are compared with the bucket's
 hub, and what is confirmed on the full sets is contracted to components. Only then are the nodes of
-different components in one bucket compared with each other, so the copies of a large group are never
-expanded into pairs.
+different components in one bucket compared with each other, in blocks, so the copies of a large group
+are never expanded into pairs.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ COORDINATES = BANDS * ROWS
 LEAST_EQUAL = 74
 #: Nodes of a bucket that are compared together.
 BLOCK = 128
-BLOCK_COLUMNS = ("node", "component", "n", "signature")
+BLOCK_COLUMNS = ("node", "component", "signature", "shingles")
 #: Shingles whose signatures are made together.
 TOGETHER = 1 << 16
 KNOWN_WORDS = 500_000
@@ -114,17 +114,22 @@ def sketches(rows) -> Iterator[tuple]:
     yield from flush()
 
 
+def bucket_values(signs: np.ndarray) -> np.ndarray:
+    """The bucket of each band, one row a signature."""
+    parts = signs.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    value = np.repeat((np.arange(1, BANDS + 1, dtype=np.uint64) * _M3)[None, :], len(parts), 0)
+    for k in range(ROWS):
+        value = _mix(value ^ parts[:, :, k], _M1, _M2) * _M3
+    return value
+
+
 def buckets(rows) -> Iterator[tuple]:
     """``(node, signature)`` as ``(bucket, node)``, one row a band."""
-    salt = (np.arange(1, BANDS + 1, dtype=np.uint64) * _M3)[None, :]
     held = []
 
     def flush():
-        parts = np.frombuffer(b"".join(s for _, s in held), np.uint32).reshape(-1, BANDS, ROWS).astype(np.uint64)
-        value = np.repeat(salt, len(held), 0)
-        for k in range(ROWS):
-            value = _mix(value ^ parts[:, :, k], _M1, _M2) * _M3
-        for (node, _), own in zip(held, value.view(np.int64).tolist()):
+        signs = np.frombuffer(b"".join(s for _, s in held), np.uint32).reshape(-1, COORDINATES)
+        for (node, _), own in zip(held, bucket_values(signs).view(np.int64).tolist()):
             yield from ((bucket, node) for bucket in own)
 
     for row in rows:
@@ -136,16 +141,10 @@ def buckets(rows) -> Iterator[tuple]:
         yield from flush()
 
 
-def shingle_set(text: str | None) -> set:
-    """The shingles themselves."""
-    words = words_of(lowered(text))
-    if len(words) < SHINGLE:
-        return {tuple(words)} if words else set()
-    return set(zip(*(words[k:] for k in range(SHINGLE))))
-
-
-def similar(a: set, b: set) -> bool:
-    both = len(a & b)
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two full sets, sorted shingle hashes of 64 bits, are similar enough."""
+    at = np.searchsorted(b, a)
+    both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
     return both > 0 and 100 * both >= SIMILAR * (len(a) + len(b) - both)
 
 
@@ -160,20 +159,23 @@ def perhaps_in(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return df.join(F.broadcast(few), residue == F.col("_residue"), "left_semi")
 
 
-def fetch_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(node, text)`` of ``nodes (node, doc_id)``."""
-    some = perhaps_in(docs.select("doc_id", "text"), "doc_id", nodes)
-    found = some.join(nodes, some["doc_id"].eqNullSafe(nodes["doc_id"])).select("node", "text")
+def full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(node, shingles)`` of ``wanted (node)``: all shingle hashes of each, made again from a text that has them."""
+    wanted = wanted.select("node").distinct()
+    ids = stored(perhaps_in(nodes.select("node", "doc_id"), "node", wanted).join(wanted, "node"), "wanted-ids")
+    some = perhaps_in(docs.select("doc_id", "text"), "doc_id", ids)
+    found = some.join(ids, some["doc_id"].eqNullSafe(ids["doc_id"])).select("node", "text")
 
     def own(rows):  # equal ids may have several texts
         import xxhash
 
         shingler = Shingler()
         for node, text in rows:
-            if xxhash.xxh3_128_digest(shingler.hashes(text).tobytes()) == node:
-                yield node, text
+            shingles = shingler.hashes(text).tobytes()
+            if xxhash.xxh3_128_digest(shingles) == node:
+                yield node, shingles
 
-    return map_rows(found, own, "node binary, text string").dropDuplicates(["node"])
+    return stored(map_rows(found, own, "node binary, shingles binary").dropDuplicates(["node"]), "full-sets")
 
 
 def with_both(pairs: DataFrame, facts: DataFrame) -> DataFrame:
@@ -186,19 +188,14 @@ def with_both(pairs: DataFrame, facts: DataFrame) -> DataFrame:
 
 def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The ``pairs (a, b)`` that are similar on their full sets."""
-    wanted = pairs.selectExpr("a AS node").unionAll(pairs.selectExpr("b AS node")).distinct()
-    ids = perhaps_in(nodes.select("node", "doc_id"), "node", wanted).join(wanted, "node")
-    texts = stored(fetch_texts(docs, stored(ids, "wanted-ids")), "wanted-texts")
+    sets = full_sets(pairs.selectExpr("a AS node").unionAll(pairs.selectExpr("b AS node")), nodes, docs)
 
     def run(rows):
-        last, left = None, set()
-        for a, b, text_a, text_b in rows:
-            if a != last:
-                last, left = a, shingle_set(text_a)
-            if similar(left, shingle_set(text_b)):
+        for a, b, x, y in rows:
+            if similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)):
                 yield a, b
 
-    return map_rows(with_both(pairs, texts).select("a", "b", "text_a", "text_b"), run, "a binary, b binary")
+    return map_rows(with_both(pairs, sets).select("a", "b", "shingles_a", "shingles_b"), run, "a binary, b binary")
 
 
 def hub_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -217,44 +214,54 @@ def hub_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return map_rows(near.select("a", "b", "signature_a", "signature_b"), run, "a binary, b binary")
 
 
-def cross_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of nodes of one bucket in different components whose sizes and signatures allow the similarity.
+def cross_links(members: DataFrame, nodes: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between nodes of one bucket that are in different components, at least one a node and component.
 
-    The nodes outside a bucket's largest component are compared with all of the bucket, in blocks of BLOCK
-    nodes; a block is a row, so no task holds a bucket, and only likely pairs leave it.
+    The nodes outside a bucket's largest component are compared with all of the bucket, in blocks of BLOCK nodes
+    that carry their full sets. A block is a row, so no task holds a bucket; pairs are looked at inside a task, in
+    the first bucket they share, and only confirmed links leave it.
     """
     placed = members.join(labels, "node", "left").select(
         "bucket", "node", F.coalesce("component", "node").alias("component")
     )
     counts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = counts.groupBy("bucket").agg(
-        F.max_by("component", "n").alias("main"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("parts")
+        F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("parts")
     ).where("parts > 1").drop("parts")
     rest = stored(placed.join(mixed, "bucket"), "mixed-buckets")
-    facts = perhaps_in(nodes.select("node", "n", "signature"), "node", rest)
+    facts = perhaps_in(nodes.select("node", "signature"), "node", rest).join(full_sets(rest, nodes, docs), "node")
     salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("total") / BLOCK))
-    blocks = (
+    blocks = stored(
         rest.join(facts, "node")
         .groupBy("bucket", (F.col("component") == F.col("main")).alias("main"), salt.alias("salt"))
-        .agg(*[F.collect_list(c).alias(c) for c in ("node", "component", "n", "signature")])
+        .agg(*[F.collect_list(c).alias(c) for c in BLOCK_COLUMNS]),
+        "blocks",
     )
-    blocks = stored(blocks, "blocks")
     left = blocks.where("NOT main").select("bucket", *[F.col(c).alias(f"{c}_l") for c in ("salt", *BLOCK_COLUMNS)])
     joined = left.join(blocks, "bucket").where("main OR salt_l <= salt")
-    columns = [*(f"{c}_l" for c in BLOCK_COLUMNS), *BLOCK_COLUMNS]
+    columns = ["bucket", *(f"{c}_l" for c in BLOCK_COLUMNS), *BLOCK_COLUMNS]
     return map_rows(joined.select(columns), _compare_blocks, "a binary, b binary").distinct()
 
 
-
 def _compare_blocks(rows):
-    for nodes_l, parts_l, n_l, signatures_l, nodes, parts, n, signs in rows:
+    for bucket, nodes_l, parts_l, signatures_l, sets_l, nodes, parts, signs, sets in rows:
         right = np.frombuffer(b"".join(signs), np.uint32).reshape(len(nodes), COORDINATES)
-        sizes = np.array(n)
-        for node, part, size, signature in zip(nodes_l, parts_l, n_l, signatures_l):
-            equal = (right == np.frombuffer(signature, np.uint32)).sum(1)
-            fits = 100 * np.minimum(sizes, size) >= SIMILAR * np.maximum(sizes, size)
-            for k in np.flatnonzero((equal >= LEAST_EQUAL) & fits).tolist():
-                if parts[k] != part:
+        full = [np.frombuffer(s, np.uint64) for s in sets]
+        sizes = np.array([len(s) for s in full])
+        for node, part, signature, shingles in zip(nodes_l, parts_l, signatures_l, sets_l):
+            own, raw = np.frombuffer(shingles, np.uint64), np.frombuffer(signature, np.uint32)
+            equal = right == raw
+            fits = 100 * np.minimum(sizes, len(own)) >= SIMILAR * np.maximum(sizes, len(own))
+            likely = np.flatnonzero((equal.sum(1) >= LEAST_EQUAL) & fits)
+            if not len(likely):
+                continue
+            band = int(np.flatnonzero(bucket_values(raw[None, :])[0].view(np.int64) == bucket)[0])
+            first = equal[likely].reshape(-1, BANDS, ROWS).all(2).argmax(1)
+            linked = set()
+            for k in likely[first == band].tolist():
+                other = parts[k]
+                if other != part and other not in linked and similar(own, full[k]):
+                    linked.add(other)
                     yield min(node, nodes[k]), max(node, nodes[k])
 
 
@@ -281,8 +288,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = stored(hub_pairs(members, nodes), "likely-hub-pairs")
     links = stored(confirm(pairs, nodes, docs), "hub-links")
     labels = connected_components(links)
-    more = stored(cross_pairs(members, nodes, labels).join(pairs, ["a", "b"], "left_anti"), "likely-cross-pairs")
-    links = links.unionAll(confirm(more, nodes, docs))
+    links = links.unionAll(stored(cross_links(members, nodes, labels, docs), "cross-links"))
     labels = connected_components(links)
 
     named = nodes.select("node", "doc_id").join(labels, "node", "left").select(
