@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetspark.operators.normalize import FOUND, REMOVED
+from facetspark.scale import broadcast_if_bounded
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -24,9 +25,11 @@ def resolve_changes(events: DataFrame, snapshot: DataFrame, key: str, action: st
     """``(key, status, doc)``: what each changed id is now.
 
     ``doc`` is the whole document of the snapshot; an id that is gone from it, or whose event says
-    deleted, is removed.
+    deleted, is removed. The snapshot is first reduced to the ids that changed, by a broadcast of them while
+    they are few, so a batch of changes never moves the whole snapshot.
     """
-    found = snapshot.select(key, F.struct(*[F.col(f"`{c}`") for c in snapshot.columns]).alias("doc"))
+    asked = snapshot.join(broadcast_if_bounded(events.select(key).distinct()), key, "left_semi")
+    found = asked.select(key, F.struct(*[F.col(f"`{c}`") for c in snapshot.columns]).alias("doc"))
     gone = F.col("doc").isNull() | F.coalesce(F.lower(F.col(action)) == "deleted", F.lit(False))
     return events.join(found, key, "left").select(
         *[c for c in events.columns if c != action],

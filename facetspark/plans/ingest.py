@@ -26,12 +26,13 @@ def import_documents(
     raw: DataFrame, spec: CollectionSpec, base: str, buckets: int = 64, partial: bool = False,
     preprocess: Callable[[DataFrame], DataFrame] | None = None, denied: DataFrame | None = None,
 ) -> None:
-    """Full import into a new version behind the collection's name, or a partial one into the live version."""
+    """Full import into a new version behind the collection's name, or a partial one merged into the live version.
+
+    ``buckets`` is for full imports; a partial one keeps those of the live version.
+    """
     ready = prepare_import(raw, spec, preprocess, denied).accepted
     if partial:
-        merge_into_current(
-            raw.sparkSession, base, spec.name, ready, spec.id_field, spec.last_modified_field, buckets
-        )
+        merge_into_current(raw.sparkSession, base, spec.name, ready, spec.id_field, spec.last_modified_field)
     else:
         publish_version(ready, base, spec.name, spec.id_field, buckets)
 

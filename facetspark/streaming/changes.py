@@ -100,7 +100,6 @@ class ApplyChanges:
     alias: str
     key: str
     last_modified: str
-    buckets: int
     snapshot: Callable[[], DataFrame]
     prepare: Callable[[DataFrame], DataFrame] | None = None
     denied: frozenset[str] = frozenset()
@@ -127,9 +126,7 @@ class ApplyChanges:
                         "append"
                     ).json(self.retry_path)
                 found = found.where(status == FOUND).drop("status")
-            merge_into_current(
-                spark, self.base, self.alias, found, self.key, self.last_modified, self.buckets, deleted=removed
-            )
+            merge_into_current(spark, self.base, self.alias, found, self.key, self.last_modified, deleted=removed)
         finally:
             resolved.unpersist()
 
@@ -149,18 +146,12 @@ def run_changes(
     return writer.start()
 
 
-def newest_per_id(events: DataFrame, delay: str | None = None) -> DataFrame:
-    """Running newest event per id as a streaming aggregation (update mode).
+def newest_per_id(events: DataFrame) -> DataFrame:
+    """Newest event per id as a stream (update mode); an id comes out again whenever a newer event arrives.
 
-    With ``delay`` the events carry a ``ts`` whose watermark bounds the state: ids are followed
-    within hourly windows.
+    Late events count like any other and are never dropped. The state is one event an id ever met; it is kept
+    in the checkpoint folder's state store.
     """
     whole = F.struct(*[F.col(c) for c in events.columns])
     newest = F.max_by(whole, F.struct(*event_order(F.col("event_id")))).alias("_row")
-    if delay is None:
-        return events.groupBy("id").agg(newest).select("_row.*")
-    return events.withWatermark("ts", delay).groupBy(F.window("ts", "1 hour"), "id").agg(newest).select("_row.*")
-
-
-# Statuses a ``prepare`` step may give a row.
-STATUSES = (FOUND, REMOVED, RETRY, SKIP)
+    return events.groupBy("id").agg(newest).select("_row.*")

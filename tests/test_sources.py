@@ -65,14 +65,33 @@ def test_versions(spark, tmp_path):
     new = vs.publish_version(spark.createDataFrame([(i, "b", 1) for i in range(6)], DOCS), base, "docs", "id", 3)
     assert vs.current_version(spark, base, "docs") == new and vs.current_version(spark, base, "other") is None
     updates = spark.createDataFrame([(2, "c", 5), (9, "d", 5)], DOCS)
-    vs.merge_into_current(spark, base, "docs", updates, "id", "t", 3, deleted=spark.createDataFrame([(0,)], "id long"))
-    vs.merge_into_current(spark, base, "docs", updates, "id", "t", 3, deleted=spark.createDataFrame([(0,)], "id long"))
+    vs.merge_into_current(spark, base, "docs", updates, "id", "t", deleted=spark.createDataFrame([(0,)], "id long"))
+    vs.merge_into_current(spark, base, "docs", updates, "id", "t", deleted=spark.createDataFrame([(0,)], "id long"))
     assert rows(vs.read_current(spark, base, "docs").select("id", "name")) == [(1, "b"), (2, "c"), (3, "b"), (4, "b"), (5, "b"), (9, "d")]
     everything = vs.read_current(spark, base, "docs").select("id").collect()
-    vs.merge_into_current(spark, base, "docs", updates.limit(0), "id", "t", 3, deleted=spark.createDataFrame(everything, "id long"))
+    vs.merge_into_current(spark, base, "docs", updates.limit(0), "id", "t", deleted=spark.createDataFrame(everything, "id long"))
     assert vs.read_current(spark, base, "docs").count() == 0
     versions = spark.createDataFrame([(old,), (new,), ("elsewhere-1",), ("docsearch-1",)], "name string")
-    assert rows(vs.stale_versions(versions, vs.aliases(spark, base), "docs")) == [(old,)]
+    assert (old,) in rows(vs.stale_versions(versions, vs.versions_in_use(spark, base), "docs"))
+
+
+def test_merge_keeps_the_layout_and_old_readers(spark, tmp_path):
+    base = str(tmp_path)
+    first = vs.publish_version(spark.createDataFrame([(i, "a", 1) for i in range(20)], DOCS), base, "docs", "id", 4)
+    before = vs.read_current(spark, base, "docs")
+    change = spark.createDataFrame([(3, "b", 2), (40, "b", 2)], DOCS)
+    vs.merge_into_current(spark, base, "docs", change, "id", "t")
+    after = vs.read_current(spark, base, "docs")
+    assert sorted(r["id"] for r in after.collect()) == [*range(20), 40]
+    assert before.count() == 20 and rows(before.select("name").distinct()) == [("a",)]
+    new = vs.current_version(spark, base, "docs")
+    assert vs.layout(spark, base, new)["buckets"] == 4 and {first, new} <= {r["version"] for r in vs.versions_in_use(spark, base).collect()}
+
+    vs.publish_version(spark.createDataFrame([(1, "a", 1), (2, "a", 1)], DOCS), base, "plain")
+    vs.merge_into_current(spark, base, "plain", change, "id", "t", deleted=spark.createDataFrame([(1,)], "id long"))
+    assert rows(vs.read_current(spark, base, "plain")) == [(2, "a", 1), (3, "b", 2), (40, "b", 2)]
+    with pytest.raises(ValueError):
+        vs.merge_into_current(spark, base, "docs", change.withColumnRenamed("id", "t2").withColumnRenamed("t", "id"), "t2", "id")
 
 
 EVENTS = [
@@ -92,7 +111,7 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
 
     batch = str(tmp_path / "batch")
     vs.publish_version(start, batch, "docs", "id", 2)
-    apply = ch.ApplyChanges(batch, "docs", "id", "t", 2, lambda: now, denied=frozenset({"5"}))
+    apply = ch.ApplyChanges(batch, "docs", "id", "t", lambda: now, denied=frozenset({"5"}))
     log = spark.createDataFrame(EVENTS, ch.EVENT_SCHEMA)
     apply(log, 0)
     apply(log, 0)
@@ -104,7 +123,7 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     files.mkdir()
     vs.publish_version(start, base, "docs", "id", 2)
     apply = ch.ApplyChanges(
-        base, "docs", "id", "t", 2, lambda: now, denied=frozenset({"5"}), retry_path=str(tmp_path / "retry"),
+        base, "docs", "id", "t", lambda: now, denied=frozenset({"5"}), retry_path=str(tmp_path / "retry"),
         prepare=lambda df: df.withColumn("status", F.when(F.col("id") == 4, "FOUND").otherwise("FOUND")),
     )
     for part, chunk in enumerate((EVENTS[:3], EVENTS[3:])):
@@ -119,7 +138,7 @@ def test_retry_and_removed_statuses(spark, tmp_path):
     now = spark.createDataFrame([(1, "a", 9), (2, "b", 9), (3, "c", 9)], DOCS)
     vs.publish_version(spark.createDataFrame([(1, "old", 1), (2, "old", 1), (3, "old", 1)], DOCS), base, "docs", "id", 2)
     status = F.expr("case id when 1 then 'REMOVED' when 2 then 'RETRY' else 'SKIP' end")
-    apply = ch.ApplyChanges(base, "docs", "id", "t", 2, lambda: now, prepare=lambda df: df.withColumn("status", status), retry_path=str(tmp_path / "retry"))
+    apply = ch.ApplyChanges(base, "docs", "id", "t", lambda: now, prepare=lambda df: df.withColumn("status", status), retry_path=str(tmp_path / "retry"))
     apply(spark.createDataFrame([("1-0", "1", None), ("2-0", "2", None), ("3-0", "3", None)], ch.EVENT_SCHEMA), 4)
     assert live(spark, base) == [(2, "old"), (3, "old")]
     assert rows(spark.read.json(str(tmp_path / "retry")).select("id", "batch_id")) == [(2, 4)]

@@ -187,7 +187,7 @@ def publish_roundtrip(spark, d):
     base = scratch_path(spark, "published")
     vs.publish_version(customers(spark, d), base, "customers", version="customers-1")
     vs.publish_version(customers(spark, d), base, "customers", "id", 8)
-    vs.merge_into_current(spark, base, "customers", order_updates(spark, d), "id", "modified", 8, gone_customers(spark, d))
+    vs.merge_into_current(spark, base, "customers", order_updates(spark, d), "id", "modified", gone_customers(spark, d))
     return vs.read_current(spark, base, "customers").select("id", "amount", "segment", "modified")
 
 
@@ -245,7 +245,7 @@ def stream_upsert(spark, d):
     log = f"{base}/log"
     change_log(spark, d).repartitionByRange(3, "event_id").write.json(log)
     stream = ch.newest_per_id(ch.read_change_files(spark, log, max_files=2))
-    apply = ch.ApplyChanges(base, "customers", "id", "modified", 8, lambda: snapshot(spark, d))
+    apply = ch.ApplyChanges(base, "customers", "id", "modified", lambda: snapshot(spark, d))
     ch.run_changes(stream, apply, f"{base}/checkpoint", output_mode="update").awaitTermination()
     return vs.read_current(spark, base, "customers").select("id", "amount", "segment")
 
@@ -425,7 +425,7 @@ def import_partial(spark, d):
     feed = wide_documents(spark, d)
     import_documents(feed, FEED, base, buckets=4)
     some = feed.join(toxic_ids(spark, d), F.col("code") == F.col("id"), "left_semi")
-    import_documents(some.select("code", "lang", F.lit("new,newer").alias("tags"), "modified"), FEED, base, buckets=4, partial=True)
+    import_documents(some.select("code", "lang", F.lit("new,newer").alias("tags"), "modified"), FEED, base, partial=True)
     live = vs.read_current(spark, base, "feed")
     return live.select("code", F.array_join("labels", "|").alias("labels"), F.length(F.col("body")["main"]).alias("chars"))
 
