@@ -116,7 +116,7 @@ def label_facets(
 
     Tried in turn: the requested language, the language prefix of the entry's id, ``fallback_lang``,
     the key itself. A key without a language prefix stands for any entry ``*:key`` (the smallest id
-    is taken). Names are cut to the languages an item can use and aggregated before the join, and
+    that has a label is taken). Names are cut to the languages an item can use and aggregated before the join, and
     the facets are computed once.
     """
     pairs = F.create_map(*[F.lit(x) for pair in taxonomies.items() for x in pair]) if taxonomies else None
@@ -133,7 +133,7 @@ def label_facets(
         F.max(F.when(F.col("lang") == F.substring_index("key", ":", 1), F.col("name"))).alias("prefix"),
         F.max(F.when(F.col("lang") == fallback_lang, F.col("name"))).alias("fallback"),
     ).select("taxonomy", "key", "id", F.coalesce("own", "prefix", "fallback").alias("label"))
-    labels = per_entry.groupBy("taxonomy", "key").agg(F.min_by("label", "id").alias("label"))
+    labels = per_entry.where("label IS NOT NULL").groupBy("taxonomy", "key").agg(F.min_by("label", "id").alias("label"))
     return keyed.join(labels, ["taxonomy", "key"], "left").select(
         "field", "key", F.coalesce("label", "name").alias("name"), "count", "selected", "rank"
     )

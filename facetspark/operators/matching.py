@@ -225,7 +225,11 @@ def expand_fuzzy(vocab: DataFrame, words: DataFrame, distance: int) -> DataFrame
     ``words(query_id, clause, word, …)``. Both sides meet on a shared deletion variant, which every
     pair within the distance has, and the edit distance is then checked exactly.
     """
-    terms = vocab.select("term").distinct()
+    # only terms of a length near one asked for can be within the distance; a long junk term makes no variants
+    near = words.select(F.explode(F.sequence(F.length("word") - distance, F.length("word") + distance)).alias("_length")).distinct()
+    sizes = measure_request(near, "_length").values or []
+    fits = F.length("term").isin(sizes) if sizes else F.lit(False)
+    terms = vocab.select("term").where(fits).distinct()
     left = terms.select("term", F.explode(deletion_variants(F.col("term"), distance)).alias("_variant"))
     asked = words.withColumn("_variant", F.explode(deletion_variants(F.lower("word"), distance)))
     edits = F.levenshtein(F.col("term"), F.lower("word"), distance)

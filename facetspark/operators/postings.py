@@ -160,11 +160,6 @@ def field_stats(tokens: DataFrame) -> DataFrame:
     )
 
 
-def write_token_arrays(tokens: DataFrame, path: str) -> None:
-    """Store the token arrays by language, so that a request reads only its languages."""
-    tokens.write.mode("errorifexists").partitionBy("lang").parquet(path)
-
-
 def expand_words(queries: DataFrame, text_col: str, analyzer: Analyzer = STANDARD) -> DataFrame:
     """Query texts to clause rows ``(…, clause, term)``, one clause per word in text order."""
     others = [c for c in queries.columns if c != text_col]

@@ -527,12 +527,28 @@ def boost_phrases(query: Predicate, boost: float, slop: int = 0) -> Predicate:
     return query
 
 
-def scored_leaves(query: Predicate, boost: float = 1.0) -> list[tuple[Predicate, float]]:
-    """Leaves that add to the score with their boosts; those under NOT do not."""
+def scored_leaves(
+    query: Predicate, boost: float = 1.0, gates: tuple[Predicate, ...] = ()
+) -> list[tuple[Predicate, float, tuple[Predicate, ...]]]:
+    """Leaves that add to the score with their boosts and gates; those under NOT do not.
+
+    The gates of a leaf are the groups around it that a matching document may miss: parts of an OR. A leaf
+    counts only where all of them are met.
+    """
     if isinstance(query, (NoneOf, Everything)):
         return []
     if isinstance(query, Boosted):
-        return scored_leaves(query.part, boost * query.boost)
-    if isinstance(query, (AllOf, AnyOf)):
-        return [leaf for part in query.parts for leaf in scored_leaves(part, boost)]
-    return [(query, boost)]
+        return scored_leaves(query.part, boost * query.boost, gates)
+    if isinstance(query, AllOf):
+        return [leaf for part in query.parts for leaf in scored_leaves(part, boost, gates)]
+    if isinstance(query, AnyOf):
+        return [
+            leaf for part in query.parts
+            for leaf in scored_leaves(part, boost, (*gates, part) if _is_group(part) else gates)
+        ]
+    return [(query, boost, gates)]
+
+
+def _is_group(query: Predicate) -> bool:
+    """Whether parts of ``query`` can be met without the whole."""
+    return isinstance(query, AllOf) or isinstance(query, Boosted) and _is_group(query.part)

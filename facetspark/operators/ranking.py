@@ -161,19 +161,6 @@ def topk(scores: DataFrame, k: int, digits: int | None = None) -> DataFrame:
     return topk_per_group(scores, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
 
 
-def consecutive_words(items: Sequence[str | None]) -> list[list[int]]:
-    """Index runs of at least two neighbouring free words; ``None`` stands for any other clause."""
-    runs, run = [], []
-    for i, item in enumerate([*items, None]):
-        if item is not None:
-            run.append(i)
-            continue
-        if len(run) >= 2:
-            runs.append(run)
-        run = []
-    return runs
-
-
 def phrase_boost(words: DataFrame, boost: float, slop: int = 0) -> DataFrame:
     """Phrase clauses for the runs of free words of each query.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from facetspark.scale import topk_per_group
-from facetspark.specs import MAIN_LANG, CollectionSpec, Scorer
+from facetspark.specs import MAIN_LANG, Scorer, check_page_numbers
 
 
 def split_sign(sort_by: str) -> tuple[bool, str]:
@@ -40,13 +40,13 @@ def sort_documents(df: DataFrame, sort_by: str, id_col: str) -> DataFrame:
 
 def page(df: DataFrame, order: Sequence[Column], page: int, page_size: int) -> DataFrame:
     """One page of the ordered result; Spark keeps only the rows up to its end in each task."""
-    CollectionSpec.check_page(page, page_size)
+    check_page_numbers(page, page_size)
     return df.orderBy(*order).offset(page_size * (page - 1)).limit(page_size)
 
 
 def page_per_query(df: DataFrame, order: Sequence[Column], page: int, page_size: int) -> DataFrame:
     """The same page of each query of ``df(query_id, …)``, with ranks over the whole result."""
-    CollectionSpec.check_page(page, page_size)
+    check_page_numbers(page, page_size)
     top = topk_per_group(df, ["query_id"], list(order), page * page_size)
     return top.where(F.col("rank") > page_size * (page - 1))
 

@@ -109,23 +109,29 @@ def match_taxonomy(docs: DataFrame, id_col: str, field: str, queries: DataFrame,
 def resolver(spans: DataFrame) -> Callable[[str, str, Sequence[str]], list[str]]:
     """A lookup for single request texts: taxonomy, text and languages to the words and ids it means.
 
-    One small job per text reads only the synonyms made of the text's own words.
+    Small jobs read only the synonyms made of the text's own words: runs of no more words than the longest
+    synonym has, asked for in lists of bounded length, whatever the length of the text.
     """
+    longest: dict[str, int] = {}
+
     def resolve(taxonomy: str, text: str, langs: Sequence[str]) -> list[str]:
         spark = spans.sparkSession
         words = spark.range(1).select(TAXONOMY.tokens(F.lit(text)).alias("t")).first()["t"]
         if not words:
             return []
-        runs = sorted({" ".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, len(words) + 1)})
-        if len(runs) > LITERAL_VALUES:
-            raise ValueError("query text too long for a lookup; use match_taxonomy")
-        rows = spans.where(
-            (F.col("taxonomy") == taxonomy) & F.col("lang").isin(list(langs)) & F.col("words").isin(runs)
-        ).groupBy("words").agg(F.min("id").alias("id")).collect()
-        known = {r["words"]: r["id"] for r in rows}
+        own = spans.where(F.col("taxonomy") == taxonomy)
+        if taxonomy not in longest:
+            longest[taxonomy] = own.agg(F.max("n_words")).first()[0] or 0
+        most = longest[taxonomy]
+        runs = sorted({" ".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, min(i + most, len(words)) + 1)})
+        known = {}
+        for start in range(0, len(runs), LITERAL_VALUES):
+            rows = own.where(F.col("lang").isin(list(langs)) & F.col("words").isin(runs[start:start + LITERAL_VALUES]))
+            known |= {r["words"]: r["id"] for r in rows.groupBy("words").agg(F.min("id").alias("id")).collect()}
         out, i = [], 0
         while i < len(words):
-            end = next((j for j in range(len(words), i, -1) if " ".join(words[i:j]) in known), None)
+            ends = range(min(i + most, len(words)), i, -1)
+            end = next((j for j in ends if " ".join(words[i:j]) in known), None)
             out.append(known[" ".join(words[i:end])] if end else words[i])
             i = end or i + 1
         return out

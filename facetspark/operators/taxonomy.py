@@ -1,7 +1,7 @@
 """Taxonomies as tables: entries, parent edges, names, synonyms, and their closure.
 
 Tables: ``nodes(taxonomy, id, properties)``, ``edges(taxonomy, child, parent)``,
-``names(taxonomy, id, lang, name)``, ``synonyms(taxonomy, id, lang, synonym)``.
+``names(taxonomy, id, lang, name)``, ``synonyms(taxonomy, id, lang, synonym[, position])``.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ def taxonomy_tables(entries: DataFrame) -> TaxonomyTables:
     )
     synonyms = (
         entries.select("taxonomy", "id", F.explode("synonyms").alias("lang", "values"))
-        .select("taxonomy", "id", "lang", F.explode(F.array_distinct("values")).alias("synonym"))
+        .select("taxonomy", "id", "lang", F.posexplode(F.array_distinct("values")).alias("position", "synonym"))
         .where(F.col("synonym").isNotNull() & (F.col("synonym") != ""))
     )
     edges = entries.select(
@@ -51,32 +51,29 @@ def children(edges: DataFrame) -> DataFrame:
     return edges.select("taxonomy", "parent", "child").distinct()
 
 
-def ancestors(edges: DataFrame, max_depth: int = 64) -> DataFrame:
+def ancestors(edges: DataFrame) -> DataFrame:
     """``(taxonomy, id, ancestor, depth)``: every ancestor once, at its least depth.
 
-    Works one level per round: only pairs first met in the last round are joined again, and a pair
-    seen before (another path, or a cycle) is not followed. Each round is checkpointed, so neither
-    the plan nor what a lost executor costs grows with the depth.
+    Each round joins the paths known with themselves, so the reach doubles and a taxonomy of any depth takes a
+    logarithmic number of rounds; cycles end like any other path, when nothing gets shorter. Each round is
+    checkpointed, so neither the plan nor what a lost executor costs grows with the depth.
     """
-    step = edges.select("taxonomy", F.col("child").alias("id"), "parent").distinct()
-    step = cut_lineage(step)
-    frontier = step.select("taxonomy", "id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    seen = frontier
-    up = step.select("taxonomy", F.col("id").alias("ancestor"), F.col("parent").alias("next"))
-    for depth in range(2, max_depth + 1):
-        reached = (
-            frontier.join(up, ["taxonomy", "ancestor"])
-            .select("taxonomy", "id", F.col("next").alias("ancestor"))
-            .where(F.col("id") != F.col("ancestor"))
-            .distinct()
+    closure = cut_lineage(
+        edges.select("taxonomy", F.col("child").alias("id"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
+        .where("id <> ancestor").distinct()
+    )
+    size = closure.agg(F.count(F.lit(1)), F.sum("depth")).first()
+    while True:
+        above = closure.select("taxonomy", F.col("id").alias("ancestor"), F.col("ancestor").alias("next"), F.col("depth").alias("more"))
+        longer = closure.join(above, ["taxonomy", "ancestor"]).where("id <> next").select(
+            "taxonomy", "id", F.col("next").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth")
         )
-        frontier = cut_lineage(
-            reached.join(seen, ["taxonomy", "id", "ancestor"], "left_anti").withColumn("depth", F.lit(depth))
+        closure = cut_lineage(
+            closure.unionByName(longer).groupBy("taxonomy", "id", "ancestor").agg(F.min("depth").alias("depth"))
         )
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
-    raise ValueError(f"taxonomy deeper than {max_depth} levels")
+        last, size = size, closure.agg(F.count(F.lit(1)), F.sum("depth")).first()
+        if last == size:
+            return closure
 
 
 def is_descendant(pairs: DataFrame, closure: DataFrame) -> DataFrame:
@@ -104,20 +101,22 @@ def is_ancestor_of_any(candidates: DataFrame, closure: DataFrame, nodes: DataFra
 
 
 def deepest_tags(tags: DataFrame, closure: DataFrame) -> DataFrame:
-    """``(doc_id, tag)`` without the tags that are ancestors of another tag of the same document.
+    """``(taxonomy, doc_id, tag)`` without the tags that are ancestors of another tag of the same document.
 
-    ``tags(doc_id, tag)``. A document's tags and their ancestors meet in one aggregation, which the
-    map tasks begin, instead of in a self-join of the tags.
+    ``tags(taxonomy, doc_id, tag)``; only edges of a tag's own taxonomy count. A document's tags and their ancestors
+    meet in one aggregation, which the map tasks begin, instead of in a self-join of the tags.
     """
-    lineage = broadcast_if_bounded(closure.select(F.col("id").alias("tag"), "ancestor").distinct())
-    above = tags.join(lineage, "tag").select("doc_id", F.col("ancestor").alias("tag"), F.lit(False).alias("own"), F.lit(True).alias("above"))
-    own = tags.select("doc_id", "tag", F.lit(True).alias("own"), F.lit(False).alias("above"))
+    lineage = broadcast_if_bounded(closure.select("taxonomy", F.col("id").alias("tag"), "ancestor").distinct())
+    above = tags.join(lineage, ["taxonomy", "tag"]).select(
+        "taxonomy", "doc_id", F.col("ancestor").alias("tag"), F.lit(False).alias("own"), F.lit(True).alias("above")
+    )
+    own = tags.select("taxonomy", "doc_id", "tag", F.lit(True).alias("own"), F.lit(False).alias("above"))
     return (
         own.unionByName(above)
-        .groupBy("doc_id", "tag")
+        .groupBy("taxonomy", "doc_id", "tag")
         .agg(F.max("own").alias("own"), F.max("above").alias("above"))
         .where(F.col("own") & ~F.col("above"))
-        .select("doc_id", "tag")
+        .select("taxonomy", "doc_id", "tag")
     )
 
 
@@ -152,11 +151,11 @@ def fill_main_and_international(
 
     xx_names = names.where(plain & (F.col("lang") == ANY_LANG))
     xx_synonyms = synonyms.where(plain & (F.col("lang") == ANY_LANG))
-    # An entry with international synonyms only is named by the first of them.
+    # An entry with international synonyms only is named by the first of them (without positions, the least).
     unnamed = xx_synonyms.join(xx_names.select("taxonomy", "id"), ["taxonomy", "id"], "left_anti")
-    stand_in = xx_names.select("taxonomy", "id", "name").unionByName(
-        unnamed.groupBy("taxonomy", "id").agg(F.min("synonym").alias("name"))
-    )
+    first = F.min_by("synonym", "position") if "position" in synonyms.columns else F.min("synonym")
+    stand_in = xx_names.select("taxonomy", "id", "name").unionByName(unnamed.groupBy("taxonomy", "id").agg(first.alias("name")))
+    synonyms, xx_synonyms = (x.select("taxonomy", "id", "lang", "synonym") for x in (synonyms, xx_synonyms))
     own = names.unionByName(names.where(main_of).withColumn("lang", F.lit("main")))
     offered = stand_in.select("taxonomy", "id", fan_out.alias("lang"), "name")
     filled = (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -131,51 +132,75 @@ def _selections(query: Predicate, spec: CollectionSpec, facets: Sequence[str]) -
 def _scored(docs, matching, spec, query, scope, constant_score) -> DataFrame:
     """Matching documents with the sum of the scores of the clauses each one meets.
 
-    Text clauses score by BM25 with the statistics of the whole collection, other clauses by a
-    constant.
+    Text clauses score by BM25 with the statistics of the whole collection, other clauses by a constant. Texts and
+    query words of a language go through the same analyzer. A clause inside a group counts only where the whole
+    group is met. Scores join the matching documents by their id.
     """
     spark = docs.sparkSession
     constant = F.lit(0.0)
-    words, phrases = [], []
+    words, phrases, gated = [], [], {}
     text_fields = [f.name for f in spec.full_text_fields if f.type in ("text", "text_lang")]
-    for clause, (leaf, boost) in enumerate(scored_leaves(query)):
+    for clause, (leaf, boost, gates) in enumerate(scored_leaves(query)):
         is_free = isinstance(leaf, (MatchAny, PhraseAny))
         fields = text_fields if is_free else [getattr(leaf, "field", None)]
         is_text = is_free or (
             isinstance(leaf, (Match, Phrase)) and spec.resolve(leaf.field).type in ("text", "text_lang")
         )
+        open_ = reduce(lambda a, b: a & b, (F.coalesce(g.compile(scope), F.lit(False)) for g in gates), F.lit(True))
+        if gates:
+            gated[clause] = open_
+        bonus = F.lit(constant_score * boost)
         if not is_text:
-            constant = constant + F.when(F.coalesce(leaf.compile(scope), F.lit(False)), F.lit(constant_score * boost)).otherwise(F.lit(0.0))
+            met = F.coalesce(leaf.compile(scope), F.lit(False)) & open_
+            constant = constant + F.when(met, bonus).otherwise(F.lit(0.0))
             continue
-        row = (0, clause, leaf.text, list(fields), [*scope.supported_langs(), ""], float(boost))
+        row = (clause, leaf.text, list(fields), float(boost))
         if isinstance(leaf, (Phrase, PhraseAny)):
             phrases.append((*row, leaf.slop))
         else:
-            words.append(row)
+            words.append((*row, 0))
         taxonomy_fields = [f.name for f in spec.full_text_fields if f.type == "taxonomy"] if is_free and scope.resolver else []
         for name in taxonomy_fields:
-            met = (Match if isinstance(leaf, MatchAny) else Phrase)(name, leaf.text).compile(scope)
-            constant = constant + F.when(F.coalesce(met, F.lit(False)), F.lit(constant_score * boost)).otherwise(F.lit(0.0))
+            met = F.coalesce((Match if isinstance(leaf, MatchAny) else Phrase)(name, leaf.text).compile(scope), F.lit(False))
+            constant = constant + F.when(met & open_, bonus).otherwise(F.lit(0.0))
     base = matching.withColumn(SCORE, constant)
     if not words and not phrases:
         return base
 
-    asked = {f for row in [*words, *phrases] for f in row[3]}
+    asked = {f for row in [*words, *phrases] for f in row[2]}
     sources = [TextSource(f.name, by_lang=f.type == "text_lang") for f in spec.fields if f.name in asked]
-    tokens = token_arrays(docs, spec.id_field, sources, scope.default_analyzer, scope.supported_langs())
-    shape = "query_id int, clause int, text string, fields array<string>, langs array<string>, boost double"
-    analysed = scope.default_analyzer.tokens(F.col("text"))
-    scores = None
-    if words:
-        asked_words = spark.createDataFrame(words, shape).withColumn("term", F.explode(analysed)).drop("text")
-        scores = clause_scores(tokens, asked_words)
-    if phrases:
-        asked_phrases = spark.createDataFrame(phrases, shape + ", slop int").withColumn("words", analysed).drop("text")
-        more = phrase_scores(tokens, asked_phrases)
-        scores = more if scores is None else scores.unionByName(more)
-    per_doc = scores.groupBy("doc_id").agg(F.sum("score").alias("_text_score"))
-    return (
-        base.join(per_doc, base[spec.id_field] == per_doc.doc_id, "left")
-        .withColumn(SCORE, F.col(SCORE) + F.coalesce("_text_score", F.lit(0.0)))
-        .drop("doc_id", "_text_score")
+    groups: dict[int, tuple[Analyzer, list[str]]] = {}
+    for lang in [*scope.supported_langs(), ""]:
+        analyzer = scope.analyzer(lang)
+        groups.setdefault(id(analyzer), (analyzer, []))[1].append(lang)
+    shape = "query_id int, clause int, text string, fields array<string>, boost double, slop int"
+
+    def scored_by(analyzer: Analyzer, langs: list[str]) -> list[DataFrame]:
+        """Scores in the languages of one analyzer, which texts and queries both go through."""
+        tokens = token_arrays(docs, spec.id_field, sources, analyzer, scope.supported_langs()).where(F.col("lang").isin(langs))
+        asked = [
+            spark.createDataFrame([(0, *row) for row in rows], shape)
+            .withColumn("words", analyzer.tokens(F.col("text"), F.lit(langs[0]))).drop("text")
+            if rows else None
+            for rows in (words, phrases)
+        ]
+        parts = []
+        if asked[0] is not None:
+            parts.append(clause_scores(tokens, asked[0].drop("slop").withColumn("term", F.explode("words")).drop("words")))
+        if asked[1] is not None:
+            parts.append(phrase_scores(tokens, asked[1]))
+        return parts
+
+    scores = reduce(DataFrame.unionByName, (part for group in groups.values() for part in scored_by(*group)))
+    per_clause = scores.groupBy("doc_id", "clause").agg(F.max("score").alias("score"))
+    found = per_clause.groupBy("doc_id").agg(
+        F.sum(F.when(~F.col("clause").isin(list(gated)), F.col("score")) if gated else F.col("score")).alias("_open"),
+        *[F.max(F.when(F.col("clause") == c, F.col("score"))).alias(f"_gated_{c}") for c in gated],
     )
+    total = reduce(
+        lambda a, b: a + b,
+        (F.when(gate, F.coalesce(f"_gated_{c}", F.lit(0.0))).otherwise(F.lit(0.0)) for c, gate in gated.items()),
+        F.col(SCORE) + F.coalesce("_open", F.lit(0.0)),
+    )
+    joined = base.join(found, base[spec.id_field] == found.doc_id, "left")
+    return joined.withColumn(SCORE, total).drop("doc_id", "_open", *[f"_gated_{c}" for c in gated])

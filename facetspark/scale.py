@@ -64,12 +64,6 @@ def measure_request(df: DataFrame, column: str) -> Request:
     return Request(values, sum(r["n"] for r in counts) <= BROADCAST_ROWS)
 
 
-def bounded_values(df: DataFrame, column: str, max_values: int = LITERAL_VALUES) -> list | None:
-    """Distinct values of a request-sized column, or None when there are more than ``max_values``."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(max_values + 1).collect()
-    return None if len(rows) > max_values else sorted(r[0] for r in rows)
-
-
 def spread_small(df: DataFrame, max_bytes: int = SPREAD_BYTES) -> DataFrame:
     """Spread the rows of a small input over all cores before work that costs much per row.
 

@@ -118,6 +118,7 @@ class CollectionSpec:
     phrase_boost: float = 2.0
     phrase_slop: int = 0
     scorers: Mapping[str, Scorer] = field(default_factory=dict)
+    max_depth: int = MAX_DEPTH
 
     def __post_init__(self):
         names = [f.name for f in self.fields]
@@ -187,12 +188,16 @@ class CollectionSpec:
         if name not in self.scorers:
             self.resolve(name)
 
-    @staticmethod
-    def check_page(page: int, page_size: int, max_depth: int = MAX_DEPTH) -> None:
-        if page < 1 or page_size < 1:
-            raise SpecError("page and page_size start at 1")
-        if page * page_size > max_depth:
-            raise SpecError(f"page * page_size must not exceed {max_depth}")
+    def check_page(self, page: int, page_size: int) -> None:
+        """Whether a request may ask for this page; batch forms have no such bound."""
+        check_page_numbers(page, page_size)
+        if page * page_size > self.max_depth:
+            raise SpecError(f"page * page_size must not exceed {self.max_depth}")
+
+
+def check_page_numbers(page: int, page_size: int) -> None:
+    if page < 1 or page_size < 1:
+        raise SpecError("page and page_size start at 1")
 
 
 @dataclass(frozen=True)

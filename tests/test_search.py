@@ -1,9 +1,10 @@
 """Whole requests over a small collection: words, phrases, synonyms, languages, facets, charts."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from facetspark.operators.predicates import (
-    Everything, Match, MatchAny, Phrase, PhraseAny, Term, all_of, any_of, boost_phrases, ge, none_of, scored_leaves,
+    Everything, Match, MatchAny, Phrase, PhraseAny, Term, all_of, any_of, boost_phrases, ge, none_of,
 )
 from facetspark.operators.tagging import resolver, synonym_spans
 from facetspark.plans.search import Distribution, Scatter, SearchRequest, search
@@ -133,15 +134,44 @@ def free(*words):
     return all_of(*[MatchAny(w) for w in words])
 
 
+# Own cases, by the rule: each run of two or more neighbouring free words directly under one AND, and nothing else.
 @pytest.mark.parametrize("query,phrases", [
-    (free("milk"), []),
-    (free("whole", "milk"), ["whole milk"]),
-    (free("whole", "milk", "cream"), ["whole milk cream"]),
-    (any_of(MatchAny("whole"), MatchAny("milk")), []),
-    (all_of(MatchAny("cream"), all_of(Match("labels", "vegan"), Match("labels", "fair"))), []),
-    (all_of(MatchAny("a"), MatchAny("b"), PhraseAny("no gluten"), MatchAny("c"), MatchAny("d")), ["a b", "no gluten", "c d"]),
-    (all_of(MatchAny("cream"), any_of(Match("labels", "vegan"), free("whole", "milk").boosted(3.0))), ["whole milk"]),
+    (Everything(), []),
+    (any_of(free("river", "stone"), MatchAny("moss")), ["river stone"]),
+    (all_of(Term("kind", "tea"), MatchAny("river"), Term("sales", 100), MatchAny("stone")), []),
+    (all_of(MatchAny("river"), MatchAny("stone"), none_of(free("wet", "moss")), MatchAny("fern")), ["river stone", "wet moss"]),
+    (all_of(Phrase("title", "old oak"), free("bark", "beetle", "larva"), ge("sales", 1)), ["bark beetle larva"]),
+    (all_of(free("one", "two"), any_of(MatchAny("three"), all_of(MatchAny("four"), MatchAny("five")))), ["one two", "four five"]),
 ])
 def test_phrase_boost_runs(query, phrases):
-    leaves = scored_leaves(boost_phrases(query, 2.0, 3))
-    assert [leaf.text for leaf, _ in leaves if isinstance(leaf, PhraseAny)] == phrases
+    def inside(q):
+        return ([q.text] if isinstance(q, PhraseAny) else []) + [p for c in q.children() for p in inside(c)]
+
+    assert inside(boost_phrases(query, 2.0, 3)) == phrases
+
+
+def scores(docs, query, **options):
+    hits = search(docs, SPEC, SearchRequest(query), **options).hits
+    return {r["code"]: r["_score"] for r in hits.collect()}
+
+
+def test_parts_of_a_group_that_is_not_met_do_not_score(docs):
+    # a5 meets the second alternative only, though it has a word of the first; a2 has no word of it
+    query = any_of(all_of(MatchAny("dark"), Term("kind", "none")), Term("sales", 200), Term("sales", 500))
+    assert scores(docs, query) == {"a2": 1.0, "a5": 1.0}
+    met = any_of(all_of(MatchAny("dark"), Term("kind", "bread")), Term("sales", 200), Term("sales", 500))
+    got = scores(docs, met)
+    assert got["a2"] == 1.0 and got["a5"] > 2.0 and got["a4"] > 1.0
+
+
+def test_scores_use_the_analyzer_of_the_language(docs):
+    from facetspark.functions.text import STANDARD, Analyzer
+
+    first = Analyzer(stem=lambda t: F.left(t, F.lit(4)))
+    got = scores(docs, MatchAny("greenish"), analyzers={"en": first}, default_analyzer=STANDARD)
+    assert set(got) == {"a2"} and got["a2"] > 0
+
+
+def test_long_texts_resolve(lookup):
+    text = " ".join(f"word{k}" for k in range(1000)) + " organically grown"
+    assert lookup("labels", text, ["en"])[-2:] == ["word999", "en:bio"]

@@ -82,7 +82,11 @@ tags AS MATERIALIZED (
 
 
 def taxonomy_deepest(spark, d):
-    return tx.deepest_tags(order_places(spark, d), tx.ancestors(place_edges(spark, d)))
+    """Places of orders in two taxonomies with the same ids; the second knows only what lies in the world."""
+    edges, tags = place_edges(spark, d), order_places(spark, d)
+    both = edges.unionByName(edges.where("parent = 'en:world'").withColumn("taxonomy", F.lit("rough")))
+    tagged = tags.withColumn("taxonomy", F.explode(F.array(F.lit("places"), F.lit("rough"))))
+    return tx.deepest_tags(tagged, tx.ancestors(both))
 
 
 def trade_pairs(spark, d):
@@ -140,7 +144,9 @@ def part_entries(spark, d):
         F.array(F.lit("en"), F.lit("xx")),
         F.array(
             F.array(F.concat_ws("-", F.lower("p_type"), "p_name"), F.initcap("p_name")),
-            F.when(F.col("p_size") > 25, F.array(F.concat(F.lit("L'objet "), F.lower("p_brand")))).otherwise(F.array().cast("array<string>")),
+            F.when(F.col("p_size") > 25, F.array(
+                F.concat(F.lit("L'objet "), F.lower("p_brand")), F.concat(F.lit("Chose "), F.lower("p_type"))
+            )).otherwise(F.array().cast("array<string>")),
         ),
     )
     return part.select(
@@ -160,7 +166,8 @@ synonyms AS (
     SELECT 'en:part-' || p_partkey AS id, 'en' AS lang, lower(p_type) || '-' || p_name AS synonym FROM part
     UNION ALL SELECT 'en:part-' || p_partkey, 'en',
       array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') FROM part
-    UNION ALL SELECT 'en:part-' || p_partkey, 'xx', 'L''objet ' || lower(p_brand) FROM part WHERE p_size > 25)
+    UNION ALL SELECT 'en:part-' || p_partkey, 'xx', 'L''objet ' || lower(p_brand) FROM part WHERE p_size > 25
+    UNION ALL SELECT 'en:part-' || p_partkey, 'xx', 'Chose ' || lower(p_type) FROM part WHERE p_size > 25)
 )"""
 
 
@@ -186,7 +193,7 @@ WITH {PARTS_SQL},
 langs AS (SELECT unnest(['en', 'fr', 'de']) AS lang),
 xx AS (
   SELECT id, name FROM names WHERE lang = 'xx'
-  UNION ALL SELECT id, min(synonym) FROM synonyms WHERE lang = 'xx' AND id NOT IN (SELECT id FROM names WHERE lang = 'xx') GROUP BY id
+  UNION ALL SELECT id, synonym FROM synonyms WHERE lang = 'xx' AND synonym LIKE 'L''objet %' AND id NOT IN (SELECT id FROM names WHERE lang = 'xx')
 ),
 own AS (SELECT * FROM names UNION ALL SELECT id, 'main', name FROM names WHERE lang = split_part(id, ':', 1)),
 filled AS (
@@ -347,9 +354,14 @@ def taxonomy_match(spark, d):
 QUERIES = {
     "taxonomy_ancestors": Query(taxonomy_ancestors, f"WITH RECURSIVE {EDGES_SQL} SELECT id, ancestor, depth FROM closure"),
     "taxonomy_deepest": Query(taxonomy_deepest, f"""
-WITH RECURSIVE {EDGES_SQL}, {ORDER_PLACES_SQL}
-SELECT doc_id, tag FROM tags WHERE tag IS NOT NULL AND (doc_id, tag) NOT IN (
-  SELECT (doc_id, ancestor) FROM tags JOIN closure ON tags.tag = closure.id)"""),
+WITH RECURSIVE {EDGES_SQL}, {ORDER_PLACES_SQL},
+above AS (
+  SELECT DISTINCT 'places' AS taxonomy, doc_id, ancestor AS tag FROM tags JOIN closure ON tags.tag = closure.id
+  UNION SELECT 'rough', doc_id, parent FROM tags JOIN edges ON tags.tag = edges.child WHERE parent = 'en:world'
+)
+SELECT taxonomy, doc_id, tag FROM tags, (VALUES ('places'), ('rough')) t(taxonomy)
+WHERE tag IS NOT NULL AND NOT EXISTS (
+  SELECT 1 FROM above WHERE above.taxonomy = t.taxonomy AND above.doc_id = tags.doc_id AND above.tag = tags.tag)"""),
     "taxonomy_descendants": Query(taxonomy_descendants, f"""
 WITH RECURSIVE {EDGES_SQL}, {TRADE_SQL}
 SELECT t.id, t.other, c.id IS NOT NULL AS is_descendant FROM trade t LEFT JOIN closure c ON c.id = t.id AND c.ancestor = t.other"""),
