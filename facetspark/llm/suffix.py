@@ -33,9 +33,11 @@ GRAM = 20
 GRAMS = LENGTH - GRAM + 1
 #: Bytes of stored documents in a block (about twice that of text).
 BLOCK_BYTES = 4 << 20
-#: Windows looked at together; their numbers share a word with 44 bits of a hash.
-POSITION_BITS = 20
+#: Windows looked at together; their numbers share a word with 46 bits of a hash.
+POSITION_BITS = 18
 CHUNK = (1 << POSITION_BITS) - 2 * LENGTH
+#: Runs of windows marked together.
+RUNS = 1 << 14
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 NO_DOC = np.int64(2**63 - 1)
@@ -89,11 +91,11 @@ class Block:
         # rows without an id neither lose bytes nor take them from others
         known = int(self.ends[sum(i is not None for i in self.doc_ids) - 1]) if any(i is not None for i in self.doc_ids) else 0
         data = self.data[:known]
-        owner = np.repeat(np.arange(len(self.starts)), self.ends - self.starts)[:known]
+        bounds = self.ends.astype(np.int64)
         mask = np.uint64((1 << POSITION_BITS) - 1)
         for a in range(0, max(0, known - LENGTH + 1), CHUNK):
             piece = data[a:a + CHUNK + LENGTH - 1]
-            own = owner[a:a + CHUNK + LENGTH - 1]
+            own = np.searchsorted(bounds, np.arange(a, a + len(piece)), "right").astype(np.int32)
             n = len(piece) - LENGTH + 1
             hashes = gram_hashes(piece)
             keyed = (hashes & ~mask) | np.arange(len(hashes), dtype=np.uint64)
@@ -152,6 +154,10 @@ class Spans:
 
 
 def bucket_of(anchors: np.ndarray, buckets: int) -> np.ndarray:
+    """Anchors are least hashes, so small ones abound; they are mixed again to be dealt evenly."""
+    with np.errstate(over="ignore"):
+        anchors = (anchors ^ (anchors >> np.uint64(31))) * _M2
+        anchors = (anchors ^ (anchors >> np.uint64(29))) * _M1
     return (((anchors >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
@@ -416,14 +422,15 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, finish=None,
         least = np.full(int(windows.sum()), NO_DOC)
         for bucket, part in spans.dealt(blocks):
             least[ragged(starts[part], windows[part])] = np.frombuffer(zlib.decompress(found["least", bucket]), "<i8")
-        runs = spans.runs
-        n = block.run_windows[runs]
-        at = ragged(block.run_start[runs], n)
-        hit = least[ragged(starts[spans.span_of_run], n)] < np.repeat(block.ids[block.run_row[runs]], n)
-        edge = np.zeros(len(block.data) + LENGTH + 1, np.int32)
-        edge[at[hit]] = 1  # every window starts at a place of its own
+        edge = np.zeros(len(block.data) + LENGTH + 1, np.int8)
+        for first in range(0, len(spans.runs), RUNS):
+            runs, of = spans.runs[first:first + RUNS], spans.span_of_run[first:first + RUNS]
+            n = block.run_windows[runs]
+            hit = least[ragged(starts[of], n)] < np.repeat(block.ids[block.run_row[runs]], n)
+            edge[ragged(block.run_start[runs], n)[hit]] = 1  # every window starts at a place of its own
+        # a byte is covered when one of the LENGTH windows up to it was found
         edge[LENGTH:] -= edge[:-LENGTH].copy()
-        removed = np.cumsum(edge)[: len(block.data)] > 0
+        removed = np.cumsum(edge, dtype=np.int32)[: len(block.data)] > 0
         rows = (
             finish(i, block.data[a:b], removed[a:b])
             for i, a, b in zip(block.doc_ids, block.starts.tolist(), block.ends.tolist())
