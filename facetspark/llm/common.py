@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -101,7 +102,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Vectors are summed in slices, each first within so many groups of tasks.
-SLICE_BYTES = 1 << 13
+SLICE_BYTES = 1 << 16
 TASK_GROUPS = 64
 
 
@@ -120,23 +121,26 @@ def summed_batches(df: DataFrame, fn, length: int, dtype: str = "int64"):
 
     step = SLICE_BYTES // 8
 
+    def packed(values):
+        return zlib.compress(values.tobytes(), 1)
+
     def parts(batches):
         from pyspark import TaskContext
 
         total = np.asarray(fn(batches), dtype)
         group = TaskContext.get().partitionId() % TASK_GROUPS
-        if total.any():
-            yield from batches_of(((group, k, total[k * step:(k + 1) * step].tobytes()) for k in range(-(-length // step))), ddl)
+        pieces = ((k, total[k * step:(k + 1) * step]) for k in range(-(-length // step)))
+        yield from batches_of(((group, k, packed(piece)) for k, piece in pieces if piece.any()), ddl)
 
     def add(table):
-        total = sum(np.frombuffer(v, dtype) for v in table.column("v").to_pylist())
-        row = (table.column("g")[0].as_py(), table.column("k")[0].as_py(), total.tobytes())
+        total = sum(np.frombuffer(zlib.decompress(v.as_py()), dtype) for v in table.column("v"))
+        row = (table.column("g")[0].as_py(), table.column("k")[0].as_py(), packed(total))
         return pa.Table.from_batches(list(batches_of([row], ddl)))
 
     ddl = "g int,k int,v binary"
     within = df.mapInArrow(parts, ddl).groupBy("g", "k").applyInArrow(add, ddl)
     out = np.zeros(length, dtype)
     for row in within.groupBy("k").applyInArrow(add, ddl).collect():
-        piece = np.frombuffer(bytes(row["v"]), dtype)
+        piece = np.frombuffer(zlib.decompress(bytes(row["v"])), dtype)
         out[row["k"] * step:row["k"] * step + len(piece)] = piece
     return out

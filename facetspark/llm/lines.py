@@ -17,19 +17,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetspark.llm.common import arrow_schema, batches_of, block_count, map_batches, map_rows, stored, summed_batches, utf8
+from facetspark.llm.common import arrow_schema, batches_of, block_count, map_batches, map_rows, stored, summed, utf8
 from facetspark.llm.minhash import perhaps_in, with_both
 
 #: Jaccard similarity of two lines' words from which they match, in percent.
 SIMILAR = 80
 #: Counters of the rarity table.
-COUNTERS = 1 << 21
+COUNTERS = 1 << 20
 #: Bytes of stored documents a bucket of postings stands for; texts and postings handled together.
 BUCKET_BYTES = 4 << 20
 SLICE_BYTES = 4 << 20
 POSTINGS = 400_000
 #: Pairs looked at together.
-PAIRS = 1 << 20
+PAIRS = 1 << 19
 #: A word in more lines is dealt to a grid of buckets, in each of which two parts of its postings meet.
 HOT_LINES = 50_000
 KNOWN = 500_000
@@ -64,10 +64,12 @@ class LineSets:
 
     def digests(self) -> tuple[np.ndarray, np.ndarray]:
         """Two independent sums over each line's words: equal sets have equal digests."""
+        first = np.flatnonzero(np.append(True, self.line[1:] != self.line[:-1])) if len(self.line) else []
         out = []
         for k in (1, 2):
             total = np.zeros(self.n_lines, np.uint64)
-            np.add.at(total, self.line, mix(self.word + np.uint64(k)))
+            if len(first):
+                total[self.line[first]] = np.add.reduceat(mix(self.word + np.uint64(k)), first)
             out.append(mix(total))
         return out[0], out[1]
 
@@ -98,16 +100,13 @@ def counter_of(words: np.ndarray) -> np.ndarray:
     return (words >> np.uint64(20)).astype(np.int64) & (COUNTERS - 1)
 
 
-def rarity(docs: DataFrame) -> np.ndarray:
-    """Lines that hold a word of each counter."""
+def rarity(lines: DataFrame) -> np.ndarray:
+    """Lines that hold a word of each counter: the sum of what the tasks of ``line_classes`` left in their last rows."""
 
-    def count(batches):
-        total, known = np.zeros(COUNTERS, np.int64), {}
-        for part in slices(batches):
-            total += np.bincount(counter_of(LineSets(part.column(1), known).word), minlength=COUNTERS)
-        return total
+    def total(rows):
+        return sum((np.frombuffer(zlib.decompress(c), "<i8") for (c,) in rows), np.zeros(COUNTERS, np.int64))
 
-    return summed_batches(docs.select("doc_id", "text"), count, COUNTERS)
+    return summed(lines.where("counts IS NOT NULL").select("counts"), total, COUNTERS)
 
 
 def prefix_length(size):
@@ -211,16 +210,20 @@ def candidates(found: dict[str, np.ndarray]):
         start = stop
 
 
-LINE_DDL = "doc_id long, line_no int, cls long, digest long, size int"
+LINE_DDL = "doc_id long, line_no int, cls long, digest long, counts binary"
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
-    """Every line with a word: its document, number and set (two digests), and the set's size."""
+    """Every line with a word: its document, number and set (two digests).
+
+    Each task adds a row with nothing but its counts of lines by word counter.
+    """
 
     def run(batches):
-        known = {}
+        known, total = {}, np.zeros(COUNTERS, np.int64)
         for part in slices(batches):
             sets = LineSets(part.column(1), known)
+            total += np.bincount(counter_of(sets.word), minlength=COUNTERS)
             one, two = sets.digests()
             doc_ids = part.column(0).to_pylist()
             doc = np.repeat(np.arange(len(doc_ids)), sets.lines_of)
@@ -228,8 +231,10 @@ def line_classes(docs: DataFrame) -> DataFrame:
             full = np.flatnonzero(sets.size)
             yield from zip(
                 [doc_ids[k] for k in doc[full].tolist()], number[full].tolist(), one[full].view(np.int64).tolist(),
-                two[full].view(np.int64).tolist(), sets.size[full].tolist(),
+                two[full].view(np.int64).tolist(), [None] * len(full),
             )
+        if total.any():
+            yield None, None, None, None, zlib.compress(total.astype("<i8").tobytes(), 1)
 
     return map_batches(docs.select("doc_id", "text"), run, LINE_DDL)
 
@@ -269,16 +274,18 @@ def likely_pairs(docs: DataFrame, counts: np.ndarray, buckets: int) -> DataFrame
         if held:
             yield from flush()
 
-    def meet(group):
-        def rows():
-            for a, b in candidates(unpacked(group.column("payload").to_pylist())):
-                yield from zip(a.tolist(), b.tolist())
+    schema = arrow_schema("a long, b long")
 
-        batches = list(batches_of(set(rows()), "a long, b long"))
-        return pa.Table.from_batches(batches, schema=arrow_schema("a long, b long"))
+    def meet(group):
+        found = unpacked(group.column("payload").to_pylist())
+        batches = []
+        for a, b in candidates(found):
+            pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0)  # a pair may share several words
+            batches.append(pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema))
+        return pa.Table.from_batches(batches, schema=schema)
 
     posted = map_batches(docs.select("doc_id", "text"), post, ddl)
-    return posted.groupBy("bucket").applyInArrow(meet, "a long, b long").where("a <> b").distinct()
+    return posted.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
 
 
 def line_words(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -333,14 +340,15 @@ def matched_lines(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     place = F.struct(F.coalesce("doc_id", F.lit(NO_DOC)).alias("doc"), F.col("line_no").alias("line"))
-    lines = stored(line_classes(docs), "lines")
+    found = stored(line_classes(docs), "lines")
+    lines = found.where("cls IS NOT NULL").drop("counts")
     classes = stored(
         lines.groupBy("cls", "digest").agg(
             F.min(F.struct(place.alias("place"), F.col("doc_id"))).alias("first")
         ).select(F.col("cls").alias("node"), "digest", F.col("first.place").alias("first"), F.col("first.doc_id").alias("doc_id")),
         "line-classes",
     )
-    pairs = stored(likely_pairs(docs, rarity(docs), block_count(docs, BUCKET_BYTES)), "line-pairs")
+    pairs = stored(likely_pairs(docs, rarity(found), block_count(docs, BUCKET_BYTES)), "line-pairs")
     both = pairs.unionAll(pairs.selectExpr("b AS a", "a AS b"))
     ends = both.selectExpr("a AS node").distinct()
     wanted = perhaps_in(classes, "node", ends).join(ends, "node", "left_semi")
