@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,8 +15,9 @@ from facetspark.operators.normalize import (
 )
 from facetspark.operators.predicates import Match, MatchAny, Phrase, Term, all_of, any_of, ge, terms_any
 from facetspark.operators.shape import flatten_languages, fold_languages
+from facetspark.operators.taxonomy import taxonomy_tables
 from facetspark.operators.upsert import latest_per_key, resolve_changes, upsert_documents
-from facetspark.plans.ingest import import_documents
+from facetspark.plans.ingest import INDEXED_AT, import_documents, import_taxonomy, prepare_import
 from facetspark.plans.search import Distribution, Scatter, SearchRequest, search
 from facetspark.scale import scratch_path
 from facetspark.sources import documents as src
@@ -129,6 +133,62 @@ def read_jsonl(spark, d):
     return parsed.documents.select("code", "source", F.md5("text").alias("text"))
 
 
+def first_rows(spark, d):
+    """How many rows a limited read gives, and how many of them are whole."""
+    raw = src.read_documents(spark, jsonl(spark, d), RAW, limit=100)
+    return raw.agg(F.count(F.lit(1)).alias("n"))
+
+
+def stamped(spark, d):
+    """Documents with the time they were normalised at, upper-cased tags by a step before."""
+    upper = lambda df: df.withColumn("tags", F.upper("tags"))
+    ready = prepare_import(wide_documents(spark, d), FEED, upper).accepted
+    return ready.agg(
+        F.count(F.lit(1)).alias("n"), F.count(INDEXED_AT).alias("n_stamped"),
+        F.count_if(F.exists("labels", lambda t: t != F.upper(t))).alias("n_lower"),
+    )
+
+
+def taxonomy_import(spark, d):
+    """Nations as a taxonomy file, read, changed by a step before, published as tables and read back."""
+    nation = table(spark, d, "nation")
+    entry = F.struct(
+        F.create_map(F.lit("en"), F.col("n_name")).alias("name"),
+        F.create_map(F.lit("en"), F.array(F.lower("n_name"), F.col("n_name"))).alias("synonyms"),
+        F.array(F.concat(F.lit("en:region-"), F.col("n_regionkey").cast("string"))).alias("parents"),
+    )
+    pair = F.struct(F.concat(F.lit("en:nation-"), F.col("n_nationkey").cast("string")).alias("key"), entry.alias("value"))
+    base = scratch_path(spark, "taxonomy")
+    nation.agg(F.to_json(F.map_from_entries(F.collect_list(pair))).alias("value")).coalesce(1).write.text(f"{base}/file")
+    tables = taxonomy_tables(src.read_taxonomy(spark, f"{base}/file", "places"))
+    import_taxonomy(tables, base, "places", lambda t: replace(t, names=t.names.where("name <> 'FRANCE'")))
+    found = [vs.read_current(spark, base, f"places-{part}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(part).alias("part"), "n")
+             for part in ("nodes", "edges", "names", "synonyms")]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+def merge_other_buckets(spark, d):
+    """Two merges into a version with a number of buckets of its own."""
+    base = scratch_path(spark, "merged")
+    vs.publish_version(customers(spark, d), base, "customers", "id", 5)
+    vs.merge_into_current(spark, base, "customers", order_updates(spark, d), "id", "modified")
+    vs.merge_into_current(spark, base, "customers", order_updates(spark, d), "id", "modified", gone_customers(spark, d))
+    return vs.read_current(spark, base, "customers").select("id", "amount", "segment", "modified")
+
+
+def stream_restarted(spark, d):
+    """The change log applied in two runs of a stream with one checkpoint; the second starts where the first ended."""
+    base = scratch_path(spark, "restarted")
+    vs.publish_version(customers(spark, d), base, "customers", "id", 4)
+    log, events = f"{base}/log", change_log(spark, d)
+    apply = ch.ApplyChanges(base, "customers", "id", "modified", lambda: snapshot(spark, d))
+    for half in (0, 1):
+        events.where(F.pmod(F.crc32(F.col("event_id").cast("binary")), F.lit(2)) == half).coalesce(1).write.mode("append").json(log)
+        stream = ch.newest_per_id(ch.read_change_files(spark, log))
+        ch.run_changes(stream, apply, f"{base}/checkpoint", output_mode="update").awaitTermination()
+    return vs.read_current(spark, base, "customers").select("id", "amount", "segment")
+
+
 def batch_lookup(spark, d):
     wanted = table(spark, d, "lineitem").where("l_quantity >= 49").select(F.col("l_orderkey").alias("o_orderkey"))
     return src.lookup_documents(table(spark, d, "orders"), "o_orderkey", wanted).select("o_orderkey", "o_totalprice")
@@ -419,6 +479,25 @@ SELECT doc_id AS id, round(s + 1 + CASE WHEN source = 'src8' THEN 1.5 ELSE 0 END
 ORDER BY s + CASE WHEN source = 'src8' THEN 1.5 ELSE 0 END DESC, doc_id LIMIT 25"""
 
 
+def search_nested(spark, d):
+    """An OR of a group and single clauses; words of a group that is not met do not count."""
+    query = any_of(all_of(MatchAny("erenst"), Term("source", "src8")), ge("size", 9000), Term("source", "src9"))
+    return search(catalog(spark, d), CATALOG, request(query, page_size=5000)).hits.select("id", F.round("_score", 6).alias("score"))
+
+
+NESTED_SQL = f"""
+WITH corpus AS MATERIALIZED (SELECT doc_id, lang, source, n_chars, {tokens_sql('text', fold=False)} AS tokens FROM documents WHERE lang IN ('en', 'fr')),
+tf AS MATERIALIZED (SELECT doc_id, lang, len(tokens) AS length, len(list_filter(tokens, lambda x: x = 'erenst')) AS tf
+  FROM corpus WHERE list_contains(tokens, 'erenst')),
+df AS (SELECT lang, count(*) AS doc_freq FROM tf GROUP BY ALL),
+stats AS (SELECT lang, count(*) AS n_docs, avg(len(tokens)) AS avg_length FROM corpus GROUP BY ALL),
+w AS (SELECT *, ln(1 + (n_docs - doc_freq + 0.5) / (doc_freq + 0.5)) AS idf FROM tf JOIN df USING (lang) JOIN stats USING (lang)),
+s AS (SELECT doc_id, {BM25_SQL} AS s FROM w)
+SELECT documents.doc_id AS id, round(CASE WHEN source = 'src8' AND s IS NOT NULL THEN s + 1 ELSE 0 END
+  + CASE WHEN n_chars >= 9000 THEN 1 ELSE 0 END + CASE WHEN source = 'src9' THEN 1 ELSE 0 END, 6) AS score
+FROM documents LEFT JOIN s USING (doc_id) WHERE (source = 'src8' AND s IS NOT NULL) OR n_chars >= 9000 OR source = 'src9'"""
+
+
 def import_partial(spark, d):
     """A full import of the feed, then a partial one of the toxic documents with new tags only."""
     base = scratch_path(spark, "import")
@@ -459,6 +538,15 @@ SELECT CASE WHEN lang = 'de' THEN 'corrupt' WHEN source = 'src0' THEN 'missing i
   count(*) AS n FROM documents WHERE lang <> 'es' GROUP BY ALL"""),
     "read_documents": Query(read_jsonl, """
 SELECT CASE WHEN source <> 'src0' THEN CAST(doc_id AS VARCHAR) END AS code, source, md5(text) AS text FROM documents WHERE lang NOT IN ('de', 'es')"""),
+    "first_rows": Query(first_rows, "SELECT CAST(least(count(*), 100) AS BIGINT) AS n FROM documents WHERE lang <> 'es'"),
+    "stamped_import": Query(stamped, f"""
+SELECT count(*) AS n, count(*) AS n_stamped, CAST(0 AS BIGINT) AS n_lower FROM documents WHERE {FEED_OK}"""),
+    "taxonomy_import": Query(taxonomy_import, """
+SELECT * FROM (VALUES ('nodes', 0), ('edges', 0), ('names', -1), ('synonyms', NULL)) v(part, more)
+JOIN LATERAL (SELECT CASE WHEN part = 'synonyms' THEN count(*) * 2 WHEN part = 'names' THEN count(*) FILTER (n_name <> 'FRANCE') ELSE count(*) END AS n
+  FROM nation) ON true""".replace("SELECT *", "SELECT part, CAST(n AS BIGINT) AS n", 1)),
+    "merge_other_buckets": Query(merge_other_buckets, UPSERT_SQL),
+    "stream_restarted": Query(stream_restarted, STREAM_SQL),
     "batch_lookup": Query(batch_lookup, """
 SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 49)"""),
     "route_by_status": Query(status_routes, """
@@ -497,4 +585,5 @@ UNION ALL SELECT p_partkey, CASE WHEN p_type = 'SMALL' THEN 'nutrition_fr' ELSE
     "search_charts": Query(search_charts, f"SELECT CAST(id AS DOUBLE) AS x, CAST(size AS DOUBLE) AS y FROM ({SORTED_BASE}) ORDER BY size DESC, id LIMIT 10 OFFSET 10"),
     "search_summary": Query(search_summary, f"SELECT count(*) AS count, CAST(ceil(count(*) / 10.0) AS BIGINT) AS page_count, true AS is_count_exact FROM ({SORTED_BASE})"),
     "search_ranked": Query(search_ranked, RANKED_SQL),
+    "search_nested": Query(search_nested, NESTED_SQL),
 }

@@ -259,6 +259,13 @@ found AS MATERIALIZED (
   JOIN vocab ON left(term, 2) = left(w, 2) AND substr(term, 4) = substr(w, 4) AND length(term) = length(w)
   UNION SELECT '*' || right(w, 5), term FROM words JOIN vocab ON right(term, 5) = right(w, 5)
 )"""
+def fuzzy_two_edits(spark, d):
+    vocab = vocabulary(term_frequencies(corpus(spark, d)))
+    words = items(spark, d).select(F.explode("words").alias("word")).distinct().select("word", F.lit(0).alias("query_id"), F.lit(0).alias("clause"))
+    return matching.expand_fuzzy(vocab, words, 2).select("word", "term", "edits")
+
+
+QUERIES["fuzzy_two_edits"] = Query(fuzzy_two_edits, QUERIES["fuzzy_terms"].sql.replace("<= 1", "<= 2"))
 QUERIES["wildcard_terms"] = Query(wildcard_terms, f"WITH {CORPUS_SQL}, {ITEMS_SQL}, {PATTERNS_SQL} SELECT pattern, term FROM found")
 QUERIES["wildcard_documents"] = Query(wildcard_documents, f"""
 WITH {CORPUS_SQL}, {ITEMS_SQL}, {PATTERNS_SQL}
