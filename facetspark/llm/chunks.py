@@ -105,7 +105,8 @@ class WordCache:
         self.known: dict[str, bytes] = {}
 
     def encode(self, chunks: list[str]) -> list[bytes]:
-        pieces = [split_words(c, self.split) for c in chunks]
+        split = self.split
+        pieces = [(c,) if c[:1] == " " and c[1:].isalpha() else split_words(c, split) for c in chunks]
         if len(self.known) > self.most:
             self.known.clear()
         new = list(set().union(*pieces).difference(self.known))

@@ -145,11 +145,15 @@ def tokenized(docs: DataFrame, path: str, pattern: str, end_id: int | None) -> D
         tokenize = Tokenizer.from_str(spec).model.tokenize
         letters = byte_letters()
 
+        space = letters[32]
+
+        def spelled(word):
+            if word[:1] == " " and word[1:].isalpha() and word.isascii():  # its letters stand for themselves
+                return space + word[1:]
+            return word.encode().decode("latin-1").translate(letters)
+
         def encode_words(words):
-            return [
-                array(code, [t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))]).tobytes()
-                for w in words
-            ]
+            return [array(code, [t.id for t in tokenize(spelled(w))]).tobytes() for w in words]
 
         code = "H" if kind == "<u2" else "I"
         cache = WordCache(regex.compile(pattern).findall, encode_words)
