@@ -210,11 +210,16 @@ def candidates(found: dict[str, np.ndarray]):
         start = stop
 
 
-LINE_DDL = "doc_id long, line_no int, cls long, digest long, counts binary"
+LINE_DDL = "doc_id long, text_hash long, line_no int, cls long, digest long, counts binary"
+
+
+def text_hash():
+    """Tells rows with the same id, or without one, from each other; rows equal in both lose the same lines."""
+    return F.xxhash64("text")
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
-    """Every line with a word: its document, number and set (two digests).
+    """Every line with a word: its document, the hash of the text it stands in, its number and set (two digests).
 
     Each task adds a row with nothing but its counts of lines by word counter.
     """
@@ -225,18 +230,19 @@ def line_classes(docs: DataFrame) -> DataFrame:
             sets = LineSets(part.column(1), known)
             total += np.bincount(counter_of(sets.word), minlength=COUNTERS)
             one, two = sets.digests()
-            doc_ids = part.column(0).to_pylist()
+            doc_ids, hashes = part.column(0).to_pylist(), part.column(2).to_pylist()
             doc = np.repeat(np.arange(len(doc_ids)), sets.lines_of)
             number = np.arange(sets.n_lines) - np.repeat(np.cumsum(sets.lines_of) - sets.lines_of, sets.lines_of)
             full = np.flatnonzero(sets.size)
+            own = doc[full].tolist()
             yield from zip(
-                [doc_ids[k] for k in doc[full].tolist()], number[full].tolist(), one[full].view(np.int64).tolist(),
-                two[full].view(np.int64).tolist(), [None] * len(full),
+                [doc_ids[k] for k in own], [hashes[k] for k in own], number[full].tolist(),
+                one[full].view(np.int64).tolist(), two[full].view(np.int64).tolist(), [None] * len(full),
             )
         if total.any():
-            yield None, None, None, None, zlib.compress(total.astype("<i8").tobytes(), 1)
+            yield None, None, None, None, None, zlib.compress(total.astype("<i8").tobytes(), 1)
 
-    return map_batches(docs.select("doc_id", "text"), run, LINE_DDL)
+    return map_batches(docs.select("doc_id", "text", text_hash()), run, LINE_DDL)
 
 
 def likely_pairs(docs: DataFrame, counts: np.ndarray, buckets: int) -> DataFrame:
@@ -289,17 +295,18 @@ def likely_pairs(docs: DataFrame, counts: np.ndarray, buckets: int) -> DataFrame
 
 
 def line_words(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``node, words`` of ``classes (node, doc_id, line_no, digest)``: the distinct words of a class's line."""
-    wanted = classes.groupBy("doc_id").agg(F.collect_list(F.struct("node", "line_no", "digest")).alias("lines"))
-    some = perhaps_in(docs.select("doc_id", "text"), "doc_id", classes)
-    found = some.join(wanted, some["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "lines")
+    """``node, words`` of ``classes (node, doc_id, text_hash, line_no, digest)``: the distinct words of a class's line."""
+    wanted = classes.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("node", "line_no", "digest")).alias("lines"))
+    some = perhaps_in(docs.select("doc_id", "text", text_hash().alias("text_hash")), "text_hash", classes)
+    same = some["doc_id"].eqNullSafe(wanted["doc_id"]) & (some["text_hash"] == wanted["text_hash"])
+    found = some.join(wanted, same).select("text", "lines")
 
     def run(rows):
         for text, lines in rows:
             own = utf8(text).split(b"\n")
             for line in lines:
                 words = set(own[line["line_no"]].split()) if line["line_no"] < len(own) else set()
-                # equal ids may have several texts; the digest tells whose line it is
+                # texts may have equal hashes; the digest tells whose line it is
                 if words and digest_of(words) == (line["node"], line["digest"]):
                     yield line["node"], b" ".join(words)
 
@@ -328,7 +335,7 @@ def confirmed(pairs: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def matched_lines(docs: DataFrame) -> DataFrame:
-    """Every line with a word: ``doc_id, line_no, class_doc, class_line, n_links, removed``.
+    """Every line with a word: ``doc_id, text_hash, line_no, class_doc, class_line, n_links, removed``.
 
     Input ``doc_id``, ``text``; other columns are ignored. Lines end at \\n, words are runs of anything but ASCII
     white space. Two lines match when their sets of words have a Jaccard similarity of 0.8 or more. A class is a
@@ -344,15 +351,18 @@ def matched_lines(docs: DataFrame) -> DataFrame:
     lines = found.where("cls IS NOT NULL").drop("counts")
     classes = stored(
         lines.groupBy("cls", "digest").agg(
-            F.min(F.struct(place.alias("place"), F.col("doc_id"))).alias("first")
-        ).select(F.col("cls").alias("node"), "digest", F.col("first.place").alias("first"), F.col("first.doc_id").alias("doc_id")),
+            F.min(F.struct(place.alias("place"), F.col("doc_id"), F.col("text_hash"))).alias("first")
+        ).select(
+            F.col("cls").alias("node"), "digest", F.col("first.place").alias("first"), F.col("first.doc_id").alias("doc_id"),
+            F.col("first.text_hash").alias("text_hash"),
+        ),
         "line-classes",
     )
     pairs = stored(likely_pairs(docs, rarity(found), block_count(docs, BUCKET_BYTES)), "line-pairs")
     both = pairs.unionAll(pairs.selectExpr("b AS a", "a AS b"))
     ends = both.selectExpr("a AS node").distinct()
     wanted = perhaps_in(classes, "node", ends).join(ends, "node", "left_semi")
-    wanted = wanted.select("node", "doc_id", F.col("first.line").alias("line_no"), "digest")
+    wanted = wanted.select("node", "doc_id", "text_hash", F.col("first.line").alias("line_no"), "digest")
     links = stored(confirmed(pairs, stored(line_words(docs, stored(wanted, "wanted-lines")), "line-words")), "line-links")
     both = links.unionAll(links.selectExpr("b AS a", "a AS b"))
     firsts = perhaps_in(classes.select("node", "first"), "node", both.selectExpr("b AS node"))
@@ -364,7 +374,7 @@ def matched_lines(docs: DataFrame) -> DataFrame:
         F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("doc_id").alias("class_doc"),
     )
     return lines.join(facts, ["cls", "digest"]).select(
-        "doc_id", "line_no", "class_doc", F.col("first.line").alias("class_line"), "n_links", (F.col("least") < place).alias("removed")
+        "doc_id", "text_hash", "line_no", "class_doc", F.col("first.line").alias("class_line"), "n_links", (F.col("least") < place).alias("removed")
     )
 
 
@@ -387,10 +397,15 @@ def line_report(docs: DataFrame) -> DataFrame:
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with the removed lines cut from ``text``; all columns and rows stay."""
-    gone = matched_lines(docs).where("removed").groupBy("doc_id").agg(F.collect_list("line_no").alias("_gone"))
+    """``docs`` with the removed lines cut from ``text``; all columns and rows stay.
+
+    Each row loses the lines that ``matched_lines`` removes from its own text, also where rows have the same id or none.
+    """
+    gone = matched_lines(docs).where("removed").groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(
+        F.collect_set("line_no").alias("_gone")  # equal rows have the same numbers
+    )
     kept = F.array_join(F.filter(
         F.transform(F.split("text", "\n", -1), lambda line, k: F.when(~F.array_contains("_gone", k), line)), lambda line: line.isNotNull()
     ), "\n")
-    joined = docs.join(gone.withColumnRenamed("doc_id", "_doc"), F.col("_doc").eqNullSafe(docs["doc_id"]), "left")
+    joined = docs.join(gone, F.col("_doc").eqNullSafe(docs["doc_id"]) & (F.col("_hash") == text_hash()), "left")
     return joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).select(docs.columns)

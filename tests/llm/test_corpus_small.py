@@ -437,6 +437,33 @@ def test_lines_are_cut_from_texts(spark):
     assert got == {1: "one two three\nfour", 2: "five six\n", 3: None, 4: ""}
 
 
+def plain_cuts(rows):
+    """The text of every row without the lines that match one at an earlier place."""
+    found = []
+    for row, (i, t) in enumerate(rows):
+        for k, line in enumerate((t or "").split("\n")):
+            if words := frozenset(line.encode().split()):
+                found.append((row, (2**63 - 1 if i is None else i, k), words))
+    gone = {
+        (row, place[1]) for row, place, words in found
+        if any(p < place and 100 * len(words & v) >= 80 * len(words | v) for _, p, v in found)
+    }
+    return Counter(
+        (i, t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (row, k) not in gone))
+        for row, (i, t) in enumerate(rows)
+    )
+
+
+def test_rows_with_one_id_or_none_lose_their_own_lines_only(spark, odd):
+    cuts = lambda df: Counter((r.doc_id, r.text) for r in lines.drop_lines(df).collect())
+    rows = [(None, "a b c d e\nunique one two"), (None, "zzz\na b c d e"), (None, "zzz\na b c d e"), (7, "p q\nr s"), (7, "t\np q")]
+    assert cuts(documents(spark, rows)) == plain_cuts(rows)
+    assert cuts(documents(spark, rows))[None, "a b c d e\nunique one two"] == 1
+    assert cuts(odd) == plain_cuts(odd_rows())
+    some = [(None if k % 3 == 0 else i // 2, t) for k, (i, t) in enumerate(line_rows(random.Random(19)))]
+    assert cuts(documents(spark, some)) == plain_cuts(some)
+
+
 # --- shards ---------------------------------------------------------------------
 
 def test_shards(spark, odd, empty):
