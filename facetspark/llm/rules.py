@@ -19,8 +19,6 @@ SMOOTHING = 1.0
 UNIT = 1 << 20
 #: A text is kept unless its n-grams are on average exp(0.25) times likelier in the corpus than in the trusted texts.
 THRESHOLD = -0.25
-#: The trusted model is fitted on at most so many labelled documents, those with the least hash of their id.
-TRUSTED_DOCS = 50_000
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = b"#*$%&|<>"
@@ -42,30 +40,24 @@ def ngram_buckets(data: bytes) -> np.ndarray:
 
 
 def bucket_counts(rows) -> np.ndarray:
-    """Counts of the corpus and, behind them, of the trusted texts; ``rows`` are (text, trusted)."""
-    counts = np.zeros((2, BUCKETS), np.int64)
-    held: list[list[np.ndarray]] = [[], []]
-    sizes = [0, 0]
-
-    def add(k):
-        if held[k]:
-            counts[k] += np.bincount(np.concatenate(held[k]), minlength=BUCKETS)
-            held[k], sizes[k] = [], 0
-
-    for text, trusted in rows:
-        found = ngram_buckets(utf8(text))
-        for k in (0, 1) if trusted else (0,):
-            held[k].append(found)
-            sizes[k] += len(found)
-            if sizes[k] >= CHUNK:
-                add(k)
-    add(0), add(1)
-    return counts.ravel()
-
-
-def log_ratios(counts: np.ndarray) -> np.ndarray:
+    """Counts of the texts; ``rows`` are (text,)."""
+    counts = np.zeros(BUCKETS, np.int64)
+    held: list[np.ndarray] = []
+    size = 0
+    for (text,) in rows:
+        held.append(ngram_buckets(utf8(text)))
+        size += len(held[-1])
+        if size >= CHUNK:
+            counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
+            held, size = [], 0
+    if held:
+        counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
+    return counts
+
+
+def log_ratios(corpus: np.ndarray, trusted: np.ndarray) -> np.ndarray:
     """Fixed-point ``log(p_trusted / p_corpus)`` of each bucket, both add-one smoothed; zeros without trusted texts."""
-    corpus, trusted = counts.reshape(2, BUCKETS).astype(float)
+    corpus, trusted = corpus.astype(float), trusted.astype(float)
     if not trusted.any():
         return np.zeros(BUCKETS, np.int64)
     p = (trusted + SMOOTHING) / (trusted.sum() + SMOOTHING * BUCKETS)
@@ -73,18 +65,14 @@ def log_ratios(counts: np.ndarray) -> np.ndarray:
     return np.rint(np.log(p / q) * UNIT).astype(np.int64)
 
 
-def fit_ratios(docs: DataFrame, trusted: DataFrame, max_trusted: int = TRUSTED_DOCS) -> np.ndarray:
+def fit_ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     """The ratio table from all ``docs (doc_id, text)`` and the ids in ``trusted (doc_id)``.
 
-    At most ``max_trusted`` trusted ids are used, so the broadcast has a fixed bound; the corpus counts
-    cover every document.
+    The corpus counts cover every document, the trusted counts every document with one of the ids.
     """
-    ids = (
-        trusted.select("doc_id").where("doc_id is not null").distinct()
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted).select("doc_id", F.lit(True).alias("_trusted"))
-    )
-    marked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left").select("text", "_trusted")
-    return log_ratios(summed(marked, bucket_counts, 2 * BUCKETS))
+    ids = trusted.select("doc_id").where("doc_id is not null").distinct()
+    known = docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id").select("text")  # ids may be too many to broadcast
+    return log_ratios(*(summed(df, bucket_counts, BUCKETS) for df in (docs.select("text"), known)))
 
 
 def repeated_words(words: list[bytes]) -> int:

@@ -213,6 +213,11 @@ def test_ratios_and_verdicts(spark, odd, empty):
     assert not rules.fit_ratios(odd, trusted.limit(0)).any()
 
 
+def test_all_trusted_ids_count(spark):
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    assert not rules.fit_ratios(docs, docs.select("doc_id")).any()  # the trusted texts are the corpus
+
+
 # --- near-duplicates ------------------------------------------------------------
 
 def plain_components(rows):
