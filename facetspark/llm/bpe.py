@@ -20,7 +20,7 @@ from facetspark.llm.common import map_batches, map_rows
 
 #: Words given to one recursive query, counted in bytes; bounds its memory.
 WORD_BYTES = 400_000
-#: Ids decoded by one query; a longer document is decoded by itself.
+#: Ids decoded by one query; a longer document takes several.
 DECODE_IDS = 400_000
 END = np.array([-1], np.int32)
 
@@ -124,10 +124,14 @@ class PartitionBpe:
 
     def decode(self, documents: list[bytes]) -> list[bytes]:
         tokens = np.concatenate([x for d in documents for x in (np.frombuffer(d, "<u4").astype(np.int32), END)] or [END])
+        text = "".join(self._hex(tokens[a:a + DECODE_IDS]) for a in range(0, len(tokens), DECODE_IDS))
+        return [bytes.fromhex(part) for part in text.split(",")[:len(documents)]]
+
+    def _hex(self, tokens: np.ndarray) -> str:
         self.con.register("given", self.pa.table({"i": np.arange(len(tokens)), "tok": tokens}))
         text = self.con.execute(DECODE_SQL).fetchall()[0][0]
         self.con.unregister("given")
-        return [bytes.fromhex(part) for part in text.split(",")[:len(documents)]]
+        return text
 
 
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:

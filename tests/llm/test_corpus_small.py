@@ -518,5 +518,24 @@ def test_ids_and_texts_of_odd_tables(spark, odd, empty):
     assert bpe.round_trip(empty, ranks, public_tokenizers.PATTERN).count() == 0
 
 
+def test_a_document_of_millions_of_ids_is_decoded():
+    own = bpe.PartitionBpe(bpe_ranks(), public_tokenizers.PATTERN)
+    ids = own.encode_chunks([" some", " words", " 12"])
+    text = b"".join(own.decode(ids))
+    assert text == b" some words 12"
+    times = 12_000_000 // (len(b"".join(ids)) // 4) + 1
+    assert own.decode([ids[0], b"".join(ids) * times, b"", ids[1]]) == [b" some", text * times, b"", b" words"]
+
+
+def test_a_long_word_is_one_pretoken():
+    import tiktoken
+
+    ranks = bpe_ranks()
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    word = dict((i, t) for i, t in odd_rows() if i)[13]
+    got = bpe.PartitionBpe(ranks, public_tokenizers.PATTERN).encode_chunks([word])[0]
+    assert len(word) == 5000 and np.frombuffer(got, "<u4").tolist() == library.encode_ordinary(word)
+
+
 def test_words_are_runs_of_anything_but_ascii_space():
     assert words_of("a\u00a0b\x1c c\x0b\x0cd\u2003".encode()) == ["a\u00a0b\x1c".encode(), b"c", "d\u2003".encode()]
