@@ -226,10 +226,14 @@ def expand_fuzzy(vocab: DataFrame, words: DataFrame, distance: int) -> DataFrame
     pair within the distance has, and the edit distance is then checked exactly.
     """
     # only terms of a length near one asked for can be within the distance; a long junk term makes no variants
-    near = words.select(F.explode(F.sequence(F.length("word") - distance, F.length("word") + distance)).alias("_length")).distinct()
-    sizes = measure_request(near, "_length").values or []
-    fits = F.length("term").isin(sizes) if sizes else F.lit(False)
-    terms = vocab.select("term").where(fits).distinct()
+    length = F.length(F.lower("word"))  # may be longer than the word
+    near = words.select(F.explode(F.sequence(length - distance, length + distance)).alias("_length")).distinct()
+    sizes = measure_request(near, "_length").values
+    terms = vocab.select("term").distinct()
+    if sizes is None:  # too many lengths for a list
+        terms = terms.join(near, F.length("term") == F.col("_length"), "left_semi")
+    else:
+        terms = terms.where(F.length("term").isin(sizes) if sizes else F.lit(False))
     left = terms.select("term", F.explode(deletion_variants(F.col("term"), distance)).alias("_variant"))
     asked = words.withColumn("_variant", F.explode(deletion_variants(F.lower("word"), distance)))
     edits = F.levenshtein(F.col("term"), F.lower("word"), distance)

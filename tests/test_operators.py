@@ -312,3 +312,17 @@ def test_upsert_replaces_whole_documents_and_is_idempotent(spark):
     expected = [(1, "new", None, 7), (3, "c", None, 9), (4, "d", None, 1)]
     assert rows(once) == expected
     assert rows(upsert_documents(once, updates, "id", "t", deleted, only_newer=True)) == expected
+
+
+def test_fuzzy_words_of_many_lengths_and_longer_in_lower_case(spark, monkeypatch):
+    from facetspark import scale
+    from facetspark.operators.matching import expand_fuzzy
+
+    vocab = spark.createDataFrame([("i\u0307ab",), ("bread",), ("x" * 12,)], "term string")
+    words = spark.createDataFrame([("\u0130a", 0, "\u0130a"), ("brad", 0, "brad")], "query_id string, clause int, word string")
+    want = {("\u0130a", "i\u0307ab", 1), ("brad", "bread", 1)}
+    odd = words.where("word <> 'brad'")
+    found = lambda asked: {(r.word, r.term, r.edits) for r in expand_fuzzy(vocab, asked, 1).collect()}
+    assert found(odd) == {w for w in want if w[0] != "brad"}
+    monkeypatch.setattr(scale, "LITERAL_VALUES", 1)
+    assert found(words) == want
