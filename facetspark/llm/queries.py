@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from facetspark.llm import bpe, chat, classifier, decontamination, huffman, lines, minhash, rules, sharding, suffix
 from facetspark.llm.common import table
+from facetspark.llm.repair_query import REPAIR_SQL, conversation_repair
 
 
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,6 +188,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup,
     "op9_sharding": sharded,
     "op10_byte_level_bpe": byte_level_bpe,
+    "op11_conversation_repair": conversation_repair,
 }
 
 SQL = {
@@ -194,4 +196,5 @@ SQL = {
     "op5_minhash_near_dedup": NEAR_SQL,
     "op6_suffix_array_dedup": REPEATS_SQL,
     "op8_line_dedup": LINES_SQL,
+    "op11_conversation_repair": REPAIR_SQL,
 }
