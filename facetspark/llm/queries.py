@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from facetspark.llm import bpe, chat, classifier, decontamination, huffman, lines, minhash, rules, sharding, suffix
 from facetspark.llm.common import table
 from facetspark.llm.repair_query import REPAIR_SQL, conversation_repair
+from facetspark.llm.variants_query import VARIANTS_SQL, spelling_variant_grouping
 
 
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,6 +190,7 @@ QUERIES = {
     "op9_sharding": sharded,
     "op10_byte_level_bpe": byte_level_bpe,
     "op11_conversation_repair": conversation_repair,
+    "op12_spelling_variant_grouping": spelling_variant_grouping,
 }
 
 SQL = {
@@ -197,4 +199,5 @@ SQL = {
     "op6_suffix_array_dedup": REPEATS_SQL,
     "op8_line_dedup": LINES_SQL,
     "op11_conversation_repair": REPAIR_SQL,
+    "op12_spelling_variant_grouping": VARIANTS_SQL,
 }
