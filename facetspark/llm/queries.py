@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetspark.llm import bpe, chat, classifier, decontamination, huffman, lines, minhash, rules, sharding, suffix
+from facetspark.llm import bpe, chat, classifier, decontamination, huffman, lines, minhash, partenum, rules, sharding, suffix
 from facetspark.llm.common import table
 from facetspark.llm.repair_query import REPAIR_SQL, conversation_repair
 from facetspark.llm.variants_query import VARIANTS_SQL, spelling_variant_grouping
@@ -178,6 +178,15 @@ def byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), bpe_ranks(), public_tokenizers.PATTERN)
 
 
+def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.ngram_join(table(spark, sf_dir, "documents")).drop("text_crc32")
+
+
+#: As for near-duplicates, from 80 % on.
+JOIN_SQL = NEAR_SQL.replace(">= 75 *", ">= 80 *").replace(""",
+       coalesce(least.component_id, w.doc_id) = w.doc_id AS kept""", "")
+
+
 QUERIES = {
     "op1_benchmark_decontamination": benchmark_decontamination,
     "op2_quality_classifier": quality_classifier,
@@ -191,6 +200,7 @@ QUERIES = {
     "op10_byte_level_bpe": byte_level_bpe,
     "op11_conversation_repair": conversation_repair,
     "op12_spelling_variant_grouping": spelling_variant_grouping,
+    "op13_ngram_jaccard_join": ngram_jaccard_join,
 }
 
 SQL = {
@@ -200,4 +210,5 @@ SQL = {
     "op8_line_dedup": LINES_SQL,
     "op11_conversation_repair": REPAIR_SQL,
     "op12_spelling_variant_grouping": VARIANTS_SQL,
+    "op13_ngram_jaccard_join": JOIN_SQL,
 }
