@@ -21,10 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetspark.llm.common import block_count, map_rows, stored, utf8
+from facetspark.llm.common import arrow_schema, batches_of, block_count, map_rows, stored, utf8
 from facetspark.llm.components import connected_components
 from facetspark.llm.minhash import Shingler, full_sets, perhaps_in, with_both
 
@@ -34,14 +35,16 @@ SIMILAR = 80
 FEW_APART = 8
 #: Groups beyond those needed, in percent; see ``Layout``.
 SPARE = 10
-#: Bits of a parity sketch for each element, and the most of them.
-SKETCH_BITS = 4
+#: Bits of a parity sketch for each element, at least, and the most of them.
+SKETCH_BITS = 1
 MOST_BITS = 1 << 17
 #: Signatures a task packs together; stored bytes of documents a bucket of signatures stands for.
-PACKED = 1 << 21
+PACKED = 1 << 20
 BUCKET_BYTES = 8 << 20
 #: Elements whose signatures are made together.
-TOGETHER = 1 << 18
+TOGETHER = 1 << 17
+#: Members that are compared with their hub in one go; a hub with more is sent several times.
+MEMBERS = 1024
 #: Nodes of a block in which lists are compared.
 BLOCK = 256
 HASH_BYTES = 5
@@ -175,17 +178,6 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 # --- signatures on Spark ---------------------------------------------------------
 
 
-def set_rows(rows) -> Iterator[tuple]:
-    """``(doc_id, text)`` as ``(doc_id, text_crc32, n, node, sketch)``; the node is a 128-bit digest of the set."""
-    import xxhash
-
-    shingler = Shingler()
-    for doc_id, text in rows:
-        own = shingler.hashes(text)
-        node, sketch = (xxhash.xxh3_128_digest(own.tobytes()), parity_sketch(own)) if len(own) else (None, None)
-        yield doc_id, zlib.crc32(utf8(text)), len(own), node, sketch
-
-
 class Packer:
     """Signatures of a task, packed by bucket: the nodes, how many signatures each has, and those."""
 
@@ -229,9 +221,12 @@ def unpacked(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]
     return np.concatenate(hashes), np.repeat(own, np.concatenate(counts)), names
 
 
-#: A hub, the nodes that share a signature with it, and the lists of three nodes and more (numbers of ``members``).
-STAR_DDL = "hub binary, members array<binary>, lists binary"
-STAR_SCHEMA = pa.schema([("hub", pa.binary()), ("members", pa.list_(pa.binary())), ("lists", pa.binary())])
+#: A row is the set of a document, or a hub, the nodes that share a signature with it, and the lists of three nodes
+#: and more (numbers of ``members``).
+SET_DDL = "doc_id long, text_crc32 long, n long, node binary, sketch binary"
+POST_DDL = SET_DDL + ", bucket int, payload binary"
+FOUND_DDL = SET_DDL + ", hub binary, members array<binary>, lists binary"
+NO_SET = (None,) * 5
 
 
 def stars(hashes: np.ndarray, owner: np.ndarray, names: list[bytes]) -> Iterator[tuple]:
@@ -258,17 +253,14 @@ def stars(hashes: np.ndarray, owner: np.ndarray, names: list[bytes]) -> Iterator
         yield names[hub[part[0]]], [names[k] for k in members.tolist()], zlib.compress(packed, 1) if long else None
 
 
-def star_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows) if rows else ([], [], [])
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, STAR_SCHEMA)], schema=STAR_SCHEMA)
-
+def signed_sets(docs: DataFrame) -> DataFrame:
+    """``FOUND_DDL`` of ``docs (doc_id, text)``: the set of each row, and what shares signatures.
 
-def shared_signatures(docs: DataFrame, largest: int) -> DataFrame:
-    """``STAR_DDL`` of the sets of ``docs (doc_id, text)``, none of which has more than ``largest`` elements."""
+    A node is the 128-bit digest of a set. Texts are read once: sets go along with the signatures.
+    """
     import bisect
 
-    ends = band_ends(largest)
-    ends.append((ends[-1] + 1) * 100 // SIMILAR)
+    ends = band_ends(1 << 40)
     layouts = [layout(k, end) for k, end in enumerate(ends)]
     buckets = block_count(docs, BUCKET_BYTES)
 
@@ -282,10 +274,15 @@ def shared_signatures(docs: DataFrame, largest: int) -> DataFrame:
             hashes, own = signatures(sets, lays)
             packer.add(hashes, np.array(owners, np.int64)[own] if len(own) else own, nodes)
 
-        for _, text in rows:
+        for doc_id, text in rows:
             own = shingler.hashes(text)
+            crc = zlib.crc32(utf8(text))
+            if not len(own):
+                yield doc_id, crc, 0, None, None, crc % buckets, None
+                continue
             node = xxhash.xxh3_128_digest(own.tobytes())
-            if not len(own) or node in seen:  # a set is posted once
+            yield doc_id, crc, len(own), node, parity_sketch(own), crc % buckets, None
+            if node in seen:  # a set is posted once
                 continue
             if len(seen) >= 500_000:
                 seen.clear()
@@ -302,42 +299,109 @@ def shared_signatures(docs: DataFrame, largest: int) -> DataFrame:
                 add()
                 sets, lays, owners, nodes, size = [], [], [], [], 0
                 if packer.n >= PACKED:
-                    yield from packer.flush()
+                    yield from ((*NO_SET, *row) for row in packer.flush())
         if sets:
             add()
-        yield from packer.flush()
+        yield from ((*NO_SET, *row) for row in packer.flush())
+
+    schema = arrow_schema(FOUND_DDL)
 
     def meet(group):
-        rows = list(stars(*unpacked(group.column("payload").to_pylist())))
-        return pa.Table.from_batches([star_batch(rows[k:k + 4096]) for k in range(0, len(rows), 4096)], schema=STAR_SCHEMA)
+        is_set = pc.is_null(group.column("payload"))
+        own = group.filter(is_set).drop_columns(["bucket", "payload"])
+        none = {f.name: pa.nulls(len(own), f.type) for f in list(schema)[5:]}
+        rows = ()
+        if len(own) < len(group):
+            rows = ((*NO_SET, *star) for star in stars(*unpacked(group.filter(pc.invert(is_set)).column("payload").to_pylist())))
+        own = pa.table({f.name: own.column(f.name) if f.name in own.column_names else none[f.name] for f in schema}, schema=schema)
+        return pa.concat_tables([own, pa.Table.from_batches(list(batches_of(rows, FOUND_DDL)), schema=schema)])
 
-    posted = map_rows(docs.select("doc_id", "text"), post, "bucket int, payload binary")
-    return posted.groupBy("bucket").applyInArrow(meet, STAR_DDL)
+    posted = map_rows(docs.select("doc_id", "text"), post, POST_DDL)
+    return posted.groupBy("bucket").applyInArrow(meet, FOUND_DDL)
 
 
 # --- confirming and contracting --------------------------------------------------
 
 
+def compared(rows) -> Iterator[tuple]:
+    """``(key, hub, node, n, low)`` with a hub before its members, as ``(a, b, sure)`` for members that are similar.
+
+    ``low`` has 32 bits of each element, so the overlap found is never too small; where it exceeds what is needed by
+    no more than chance might add, the pair is not sure.
+    """
+    key = own = None
+    for at, is_hub, node, n, low in rows:
+        low = np.frombuffer(low, "<u4")
+        if is_hub:
+            key, own, n_own = at, low, n
+        elif at == key:
+            place = np.searchsorted(own, low)
+            both = int((own[np.minimum(place, len(own) - 1)] == low).sum())
+            need = -(-SIMILAR * (n + n_own) // (100 + SIMILAR))
+            if both >= need:
+                yield key, node, both >= need + 2 + 8 * n * n_own // 2**32
+
+
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The distinct ``pairs (a, b)`` that are similar on their full sets; sizes and sketches are looked at first."""
+    """The distinct ``pairs (a, b)`` that are similar on their full sets; sizes and sketches are looked at first.
+
+    Sets are made again where the texts are read and sent to the hub ``a`` of each pair once; a hub with many members
+    is salted. Each element is sent as 32 bits; pairs that these leave open are decided on all 64.
+    """
+    if pairs.isEmpty():
+        return pairs
     ends = pairs.selectExpr("a AS node").unionAll(pairs.selectExpr("b AS node")).distinct()
-    facts = perhaps_in(nodes.select("node", "n", "sketch"), "node", ends)
+    sizes = perhaps_in(nodes.select("node", "n"), "node", ends)
+    fit = with_both(pairs, sizes).where(f"100 * least(n_a, n_b) >= {SIMILAR} * greatest(n_a, n_b)")
+    fit = stored(fit.select("a", "b", "n_a", "n_b"), "fitting-pairs")
+    ends = fit.selectExpr("a AS node").unionAll(fit.selectExpr("b AS node")).distinct()
+    sketches = perhaps_in(nodes.select("node", "sketch"), "node", ends)
 
     def near(rows):
         for a, b, n_a, n_b, x, y in rows:
             if perhaps_similar(n_a, x, n_b, y):
                 yield a, b
 
-    both = with_both(pairs, facts).where(f"100 * least(n_a, n_b) >= {SIMILAR} * greatest(n_a, n_b)")
-    likely = stored(map_rows(both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b"), near, "a binary, b binary"), "likely")
-    sets = full_sets(likely.selectExpr("a AS node").unionAll(likely.selectExpr("b AS node")), nodes, docs)
+    both = with_both(fit, sketches).select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+    likely = stored(map_rows(both, near, "a binary, b binary"), "likely")
+    salts = likely.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("salts"))
+    hubs = salts.select(
+        F.col("a").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"),
+        F.lit(True).alias("hub"), F.col("a").alias("node"),
+    )
+    members = likely.join(salts, "a").select(
+        F.col("a").alias("key"), F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), F.lit(False).alias("hub"), F.col("b").alias("node")
+    )
+    roles = stored(hubs.unionAll(members), "roles")
+    ids = perhaps_in(nodes.select("node", "doc_id"), "node", roles).join(roles.select("node").distinct(), "node")
+
+    def low_bits(rows):
+        import xxhash
+
+        shingler = Shingler()
+        for _, text in rows:
+            own = shingler.hashes(text)
+            yield xxhash.xxh3_128_digest(own.tobytes()), len(own), (own >> np.uint64(32)).astype("<u4").tobytes()
+
+    sets = map_rows(perhaps_in(docs.select("doc_id", "text"), "doc_id", ids), low_bits, "node binary, n long, low binary")
+    placed = roles.join(sets, "node").repartition("key", "salt").sortWithinPartitions("key", "salt", F.desc("hub"))
+    found = stored(
+        map_rows(placed.select("key", "hub", "node", "n", "low"), compared, "a binary, b binary, sure boolean").distinct(), "links"
+    )
+    return found.where("sure").select("a", "b").unionAll(confirmed_in_full(found.where("NOT sure").select("a", "b"), nodes, docs))
+
+
+def confirmed_in_full(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    if pairs.isEmpty():
+        return pairs
+    sets = full_sets(pairs.selectExpr("a AS node").unionAll(pairs.selectExpr("b AS node")), nodes, docs)
 
     def run(rows):
         for a, b, x, y in rows:
             if similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)):
                 yield a, b
 
-    return stored(map_rows(with_both(likely, sets).select("a", "b", "shingles_a", "shingles_b"), run, "a binary, b binary"), "links")
+    return stored(map_rows(with_both(pairs, sets).select("a", "b", "shingles_a", "shingles_b"), run, "a binary, b binary"), "full-links")
 
 
 def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -410,6 +474,21 @@ def cross_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame, closest
     return stored(map_rows(joined.select(columns), run, "a binary, b binary").distinct(), "cross-pairs")
 
 
+def with_more(links: DataFrame, labels: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The links with ``more``, and the components they make: those known are contracted further."""
+    if more.isEmpty():
+        return links, labels
+    named = more
+    for side in ("a", "b"):
+        known = labels.selectExpr(f"node AS {side}", f"component AS known_{side}")
+        named = named.join(known, side, "left").withColumn(f"c_{side}", F.coalesce(f"known_{side}", side))
+    moved = connected_components(named.selectExpr("c_a AS a", "c_b AS b"))
+    moved = stored(moved.withColumnsRenamed({"node": "old", "component": "new"}), "moved")
+    grown = labels.join(moved, labels["component"] == moved["old"], "left").select("node", F.coalesce("new", "component").alias("component"))
+    fresh = moved.selectExpr("old AS node", "new AS component").join(labels, "node", "left_anti")
+    return links.unionAll(more), stored(grown.unionAll(fresh), "labels")
+
+
 def ngram_join(docs: DataFrame) -> DataFrame:
     """Components of documents with similar n-grams: ``doc_id, n_shingles, component_id, text_crc32``, a row a document.
 
@@ -420,25 +499,27 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     texts; null ids name no component that has another id. An empty table gives an empty result.
     """
     docs = docs.select("doc_id", "text")
-    sketched = stored(map_rows(docs, set_rows, "doc_id long, text_crc32 long, n long, node binary, sketch binary"), "sets")
+    found = stored(signed_sets(docs), "signed-sets")
+    sketched = found.where("hub IS NULL").select("doc_id", "text_crc32", "n", "node", "sketch")
     nodes = stored(
         sketched.where("node IS NOT NULL").groupBy("node")
         .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "set-nodes",
     )
-    largest = nodes.agg(F.max("n")).first()[0] or 1
-    found = stored(shared_signatures(docs, largest), "stars")
+    found = found.where("hub IS NOT NULL").select("hub", "members", "lists")
 
     # one hub a node first: that contracts most of a group
     pairs = stored(found.select(F.col("hub").alias("a"), F.explode("members").alias("b")).distinct(), "star-pairs")
     links = confirmed(stored(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first-pairs"), nodes, docs)
-    labels = connected_components(links)
-    links = links.unionAll(confirmed(stored(apart(pairs, labels), "second-pairs"), nodes, docs))
-    labels = connected_components(links)
-    hubs = apart(pairs, labels).selectExpr("a AS hub").distinct()
+    labels = stored(connected_components(links), "labels")
+    more = stored(apart(pairs, labels), "second-pairs")
+    links, labels = with_more(links, labels, confirmed(more, nodes, docs))
+    hubs = apart(more, labels).selectExpr("a AS hub").distinct()
     members = stored(list_members(found, hubs), "lists")
     for closest in (True, False):  # what is left after the closest pairs is looked at in full
-        links = links.unionAll(confirmed(cross_pairs(members, nodes, labels, closest), nodes, docs))
-        labels = connected_components(links)
+        more = cross_pairs(members, nodes, labels, closest)
+        if more.isEmpty():
+            break
+        links, labels = with_more(links, labels, confirmed(more, nodes, docs))
 
     named = nodes.select("node", "doc_id").join(labels, "node", "left").select(
         "node", "doc_id", F.coalesce("component", "node").alias("component")
