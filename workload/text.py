@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from facetspark.functions.text import FOLDED, Analyzer
 from facetspark.operators import matching, ranking
+from facetspark.operators.bounded_topk import stored_page, stored_topk
 from facetspark.operators.postings import TextSource, field_stats, positions, term_frequencies, token_arrays, vocabulary
 from facetspark.operators.predicates import Match, Phrase, Scope, Wildcard, all_of, any_of, none_of
+from facetspark.scale import scratch_path
+from facetspark.sources.token_index import TokenIndex, open_token_index, write_token_index
 from workload.common import (
     BM25_SQL, CORPUS_SQL, ITEMS_SQL, SENTENCES_SQL, STATS_SQL, Query, corpus, items, sentences, table, tokens_sql,
 )
@@ -270,3 +273,81 @@ QUERIES["wildcard_terms"] = Query(wildcard_terms, f"WITH {CORPUS_SQL}, {ITEMS_SQ
 QUERIES["wildcard_documents"] = Query(wildcard_documents, f"""
 WITH {CORPUS_SQL}, {ITEMS_SQL}, {PATTERNS_SQL}
 SELECT pattern AS query_id, count(DISTINCT doc_id) AS n_docs FROM found JOIN tf USING (term) GROUP BY ALL""")
+
+
+# --- ranked search over a stored index --------------------------------------------
+
+def stored_index(spark, tokens) -> TokenIndex:
+    """The index of ``tokens``, written and opened again."""
+    path = scratch_path(spark, "token-index")
+    write_token_index(tokens, path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return open_token_index(spark, path)
+
+
+def bm25_topk_stored(spark, d):
+    """As ``bm25_topk``, over stored postings and by score bounds."""
+    return stored_topk(stored_index(spark, corpus(spark, d)), one_clause(items(spark, d)), 10, digits=6)
+
+
+def title_and_text(spark, d):
+    """Tokens of two fields: the first line of a document and its text."""
+    docs = table(spark, d, "documents").withColumn("title", F.split_part("text", F.lit("\n"), F.lit(1)))
+    return token_arrays(docs, "doc_id", [TextSource("title", lang="lang"), TextSource("text", lang="lang")], FOLDED)
+
+
+def word_clauses(spark, d):
+    """The distinct words of each benchmark text, each a clause of its own; every third one counts twice."""
+    words = items(spark, d).select("query_id", F.posexplode(F.array_distinct("words")).alias("clause", "term"))
+    return words.withColumn("boost", F.when(F.col("clause") % 3 == 0, 2.0).otherwise(1.0))
+
+
+def bm25_two_fields(spark, d):
+    """The better of two fields for each word."""
+    return ranking.topk(ranking.bm25_scores(title_and_text(spark, d), word_clauses(spark, d)), 10, digits=6)
+
+
+def bm25_two_fields_stored(spark, d):
+    return stored_topk(stored_index(spark, title_and_text(spark, d)), word_clauses(spark, d), 10, digits=6)
+
+
+def search_stored(spark, d):
+    """The documents behind the best hits for sentences whose words are all required; scores come from the index alone."""
+    queries = clauses(sentences(spark, d)).select(
+        "*", F.lit(True).alias("required"), F.when(F.col("clause") == 0, 3.0).otherwise(1.0).alias("boost")
+    )
+    docs = table(spark, d, "documents")
+    page = stored_page(stored_index(spark, corpus(spark, d)), docs, "doc_id", queries, 10, digits=6)
+    return page.select("query_id", "rank", "score", "doc_id", "source", F.length("text").alias("text_length"))
+
+
+TWO_FIELDS_SQL = f"""
+WITH {ITEMS_SQL},
+corpus AS MATERIALIZED (
+  SELECT doc_id, lang, 'text' AS field, {tokens_sql('text')} AS tokens FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT doc_id, lang, 'title', {tokens_sql("split_part(text, chr(10), 1)")} FROM documents WHERE text IS NOT NULL
+),
+tf AS MATERIALIZED (
+  SELECT doc_id, lang, field, length, term, count(*) AS tf
+  FROM (SELECT doc_id, lang, field, len(tokens) AS length, unnest(tokens) AS term FROM corpus) GROUP BY ALL
+),
+df AS (SELECT lang, field, term, count(*) AS doc_freq FROM tf GROUP BY ALL),
+stats AS (SELECT lang, field, count(*) AS n_docs, avg(len(tokens)) AS avg_length FROM corpus GROUP BY ALL),
+w AS (
+  SELECT doc_id, tf.lang, tf.field, tf.term, length, tf, avg_length, ln(1 + (n_docs - doc_freq + 0.5) / (doc_freq + 0.5)) AS idf
+  FROM tf JOIN df USING (lang, field, term) JOIN stats USING (lang, field)
+),
+q AS (
+  SELECT query_id, term, CASE WHEN clause % 3 = 0 THEN 2.0 ELSE 1.0 END AS boost FROM (
+    SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY min(i)) - 1 AS clause FROM (
+      SELECT query_id, unnest(words) AS term, unnest(range(len(words))) AS i FROM items) GROUP BY query_id, term)
+),
+best AS (SELECT query_id, term, doc_id, max(boost * {BM25_SQL}) AS s FROM q JOIN w USING (term) GROUP BY ALL),
+scores AS (SELECT query_id, doc_id, sum(s) AS score FROM best GROUP BY ALL)
+{TOP_SQL}"""
+
+QUERIES["bm25_topk_stored"] = Query(bm25_topk_stored, QUERIES["bm25_topk"].sql)
+QUERIES["bm25_two_fields"] = Query(bm25_two_fields, TWO_FIELDS_SQL)
+QUERIES["bm25_two_fields_stored"] = Query(bm25_two_fields_stored, TWO_FIELDS_SQL)
+QUERIES["search_stored"] = Query(search_stored, f"""
+WITH hits AS ({QUERIES["bm25_required"].sql})
+SELECT query_id, rank, score, doc_id, source, CAST(length(text) AS INTEGER) AS text_length FROM hits JOIN documents USING (doc_id)""")
