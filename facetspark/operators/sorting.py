@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from facetspark.scale import topk_per_group
+from facetspark.scale import broadcast_if_bounded, topk_per_group
 from facetspark.specs import MAIN_LANG, Scorer, check_page_numbers
 
 
@@ -79,3 +79,26 @@ def score_by_profiles(df: DataFrame, scorer: Scorer, profiles: Mapping[str, Mapp
         for profile, params in sorted(profiles.items())
     ])
     return df.select("*", F.inline(scores))
+
+
+def score_by_params_table(
+    df: DataFrame, scorer: Scorer, params: DataFrame, key: str = "query_id", name: str = "score"
+) -> DataFrame:
+    """The scorer with the parameters that a table holds for each row's ``key``.
+
+    ``params(key, param, value)`` is of the size of the requests: its rows become one map a key, which is broadcast
+    while it is small and met by equality. As with :func:`score_by` the parameters of a key must be exactly those the
+    scorer declares, or the job fails and names the key; static ones win. Rows whose key has no parameters are
+    dropped, as a request without them cannot be asked.
+    """
+    asked = sorted(scorer.params)
+    maps = params.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("param", "value"))).alias("_params"))
+    given = F.array_sort(F.map_keys("_params"))
+    wanted = F.array(*[F.lit(p) for p in asked]).cast("array<string>")
+    wrong = F.concat(
+        F.lit("parameters of "), F.col(key).cast("string"), F.lit(" are "), F.array_join(given, ", "),
+        F.lit("; expected " + ", ".join(asked)),
+    )
+    checked = maps.withColumn("_params", F.when(given == wanted, F.col("_params")).otherwise(F.raise_error(wrong)))
+    joined = df.join(broadcast_if_bounded(checked), key)
+    return joined.withColumn(name, scorer.build({**{p: F.col("_params")[p] for p in asked}, **scorer.static_params})).drop("_params")

@@ -54,26 +54,34 @@ def children(edges: DataFrame) -> DataFrame:
 def ancestors(edges: DataFrame) -> DataFrame:
     """``(taxonomy, id, ancestor, depth)``: every ancestor once, at its least depth.
 
-    Each round joins the paths known with themselves, so the reach doubles and a taxonomy of any depth takes a
-    logarithmic number of rounds; cycles end like any other path, when nothing gets shorter. Each round is
-    checkpointed, so neither the plan nor what a lost executor costs grows with the depth.
+    Round ``k`` knows all paths of up to ``2**k`` edges and the walks of exactly so many, at first the edges. Walks
+    joined with paths give the paths twice as long, walks joined with walks the next ones. So a taxonomy of any depth
+    takes a logarithmic number of rounds, and a round makes no more rows than it adds, but for ancestors reached on
+    several ways. Cycles end like any other path, when nothing new is reached. Rounds are checkpointed, so neither the
+    plan nor what a lost executor costs grows with the depth.
     """
-    closure = cut_lineage(
-        edges.select("taxonomy", F.col("child").alias("id"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-        .where("id <> ancestor").distinct()
+    walks = cut_lineage(
+        edges.select("taxonomy", F.col("child").alias("id"), F.col("parent").alias("ancestor")).where("id <> ancestor").distinct()
     )
-    size = closure.agg(F.count(F.lit(1)), F.sum("depth")).first()
+    closure, length = walks.withColumn("depth", F.lit(1)), 1
+    known = walks.count()
     while True:
-        above = closure.select("taxonomy", F.col("id").alias("ancestor"), F.col("ancestor").alias("next"), F.col("depth").alias("more"))
-        longer = closure.join(above, ["taxonomy", "ancestor"]).where("id <> next").select(
-            "taxonomy", "id", F.col("next").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth")
+        onward = closure.select("taxonomy", F.col("id").alias("ancestor"), F.col("ancestor").alias("next"), "depth")
+        longer = walks.join(onward, ["taxonomy", "ancestor"]).where("id <> next").select(
+            "taxonomy", "id", F.col("next").alias("ancestor"), (F.col("depth") + length).alias("depth")
         )
         closure = cut_lineage(
             closure.unionByName(longer).groupBy("taxonomy", "id", "ancestor").agg(F.min("depth").alias("depth"))
         )
-        last, size = size, closure.agg(F.count(F.lit(1)), F.sum("depth")).first()
-        if last == size:
+        last, known = known, closure.count()
+        if last == known:
             return closure
+        steps = walks.select("taxonomy", F.col("id").alias("ancestor"), F.col("ancestor").alias("next"))
+        walks = cut_lineage(
+            walks.join(steps, ["taxonomy", "ancestor"]).where("id <> next")
+            .select("taxonomy", "id", F.col("next").alias("ancestor")).distinct()
+        )
+        length *= 2
 
 
 def is_descendant(pairs: DataFrame, closure: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
@@ -146,6 +147,22 @@ def run_changes(
     return writer.start()
 
 
+def applied_rows(query: StreamingQuery) -> int:
+    """Events that a running query has read since it was started, by the progress it reports."""
+    return sum(p["numInputRows"] for p in query.recentProgress)
+
+
+def wait_until_applied(query: StreamingQuery, rows: int, seconds: float = 300.0) -> None:
+    """Block until a running query has read ``rows`` events and is idle; fails if the query does or time runs out."""
+    end = time.monotonic() + seconds
+    while applied_rows(query) < rows or query.status["isTriggerActive"]:
+        if query.exception():
+            raise query.exception()
+        if not query.isActive or time.monotonic() > end:
+            raise TimeoutError(f"{applied_rows(query)} of {rows} events applied")
+        time.sleep(0.1)
+
+
 def newest_per_id(events: DataFrame) -> DataFrame:
     """Newest event per id as a stream (update mode); an id comes out again whenever a newer event arrives.
 

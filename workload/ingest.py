@@ -189,6 +189,35 @@ def stream_restarted(spark, d):
     return vs.read_current(spark, base, "customers").select("id", "amount", "segment")
 
 
+def stream_tail(spark, d):
+    """A tail that keeps running while events arrive, is stopped, and goes on from its checkpoint when started again."""
+    base = scratch_path(spark, "tail")
+    vs.publish_version(customers(spark, d), base, "customers", "id", 4)
+    log, events = f"{base}/log", change_log(spark, d)
+    part = F.pmod(F.crc32(F.col("event_id").cast("binary")), F.lit(3))
+    sizes = dict(events.groupBy(part.alias("part")).count().collect())  # three numbers
+    apply = ch.ApplyChanges(base, "customers", "id", "modified", lambda: snapshot(spark, d))
+
+    def arrive(k):
+        events.where(part == k).coalesce(1).write.mode("append").json(log)
+
+    def start():
+        stream = ch.newest_per_id(ch.read_change_files(spark, log))
+        return ch.run_changes(stream, apply, f"{base}/checkpoint", forever=True, every="0 seconds", output_mode="update")
+
+    arrive(0)
+    query = start()
+    ch.wait_until_applied(query, sizes.get(0, 0))
+    arrive(1)  # while the query runs
+    ch.wait_until_applied(query, sizes.get(0, 0) + sizes.get(1, 0))
+    query.stop()
+    arrive(2)  # while it does not
+    query = start()
+    ch.wait_until_applied(query, sizes.get(2, 0))
+    query.stop()
+    return vs.read_current(spark, base, "customers").select("id", "amount", "segment")
+
+
 def batch_lookup(spark, d):
     wanted = table(spark, d, "lineitem").where("l_quantity >= 49").select(F.col("l_orderkey").alias("o_orderkey"))
     return src.lookup_documents(table(spark, d, "orders"), "o_orderkey", wanted).select("o_orderkey", "o_totalprice")
@@ -547,6 +576,7 @@ JOIN LATERAL (SELECT CASE WHEN part = 'synonyms' THEN count(*) * 2 WHEN part = '
   FROM nation) ON true""".replace("SELECT *", "SELECT part, CAST(n AS BIGINT) AS n", 1)),
     "merge_other_buckets": Query(merge_other_buckets, UPSERT_SQL),
     "stream_restarted": Query(stream_restarted, STREAM_SQL),
+    "stream_tail": Query(stream_tail, STREAM_SQL),
     "batch_lookup": Query(batch_lookup, """
 SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 49)"""),
     "route_by_status": Query(status_routes, """

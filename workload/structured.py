@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from facetspark.functions.scoring import weighted_grade_score, with_tables
+from facetspark.operators import sorting
 from facetspark.operators.charts import distribution, scatter, scatter_bins
 from facetspark.operators.facets import facet_counts, facet_matches, label_facets
 from facetspark.operators.predicates import (
@@ -213,6 +214,27 @@ def score_by_grades(spark, d):
     )
 
 
+def score_by_params_table(spark, d):
+    """The best orders of each brand's own weights, which a table of parameters holds."""
+    part, orders = table(spark, d, "part"), table(spark, d, "orders")
+    weights = part.groupBy(F.col("p_brand").alias("query_id")).agg(
+        F.min("p_size").cast("double").alias("speed"), F.max("p_size").cast("double").alias("done")
+    )
+    params = weights.select("query_id", F.inline(F.array(*[
+        F.struct(F.lit(p).alias("param"), F.col(p).alias("value")) for p in ("speed", "done")
+    ])))
+    scorer = Scorer(
+        lambda p: F.when(F.col("o_orderpriority") == "1-URGENT", F.lit(p["speed"])).otherwise(0.0)
+        + F.when(F.col("o_orderstatus") == "F", F.lit(p["done"])).otherwise(0.0) + F.lit(p["base"]) * F.col("o_custkey") % 7,
+        params={"speed": 1.0, "done": 1.0}, static_params={"base": 2},
+    )
+    brand = F.concat(F.lit("Brand#"), (F.col("o_custkey") % 60).cast("string"))  # some have no parameters
+    scored = sorting.score_by_params_table(orders.withColumn("query_id", brand), scorer, params)
+    return page_per_query(scored, [F.desc("score"), F.desc("o_totalprice"), F.asc("o_orderkey")], 1, 5).select(
+        "query_id", "o_orderkey", "score", "rank"
+    )
+
+
 def user_transform(spark, d):
     cheap = Scorer(lambda p: F.lit(p["top"]) - F.col("p_retailprice"), params={"top": 2000.0})
     steps = [
@@ -292,6 +314,13 @@ QUERIES = {
               UNION ALL SELECT 'done', *, CAST(pg * 0.5 + sg * 3.0 AS DOUBLE) FROM g)
         SELECT * FROM (SELECT query_id, o_orderkey, score, CAST(row_number() OVER (
             PARTITION BY query_id ORDER BY score DESC, o_totalprice DESC, o_orderkey) AS INTEGER) AS rank FROM s) WHERE rank <= 40"""),
+    "score_by_params_table": Query(score_by_params_table, """
+        WITH p AS (SELECT p_brand AS query_id, CAST(min(p_size) AS DOUBLE) AS speed, CAST(max(p_size) AS DOUBLE) AS done FROM part GROUP BY 1),
+        s AS (SELECT query_id, o_orderkey, o_totalprice, CASE WHEN o_orderpriority = '1-URGENT' THEN speed ELSE 0.0 END
+                + CASE WHEN o_orderstatus = 'F' THEN done ELSE 0.0 END + 2 * o_custkey % 7 AS score
+              FROM orders JOIN p ON query_id = 'Brand#' || (o_custkey % 60))
+        SELECT query_id, o_orderkey, CAST(score AS DOUBLE) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (
+          PARTITION BY query_id ORDER BY score DESC, o_totalprice DESC, o_orderkey) AS rank FROM s) WHERE rank <= 5"""),
     "user_transform": Query(user_transform, """
         SELECT p_partkey, round(2500.0 - p_retailprice, 2) AS margin, p_brand || ' / ' || p_name AS label FROM part"""),
 }

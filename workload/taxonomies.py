@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from facetspark.functions.text import FOLDED
@@ -89,6 +90,36 @@ def taxonomy_deepest(spark, d):
     return tx.deepest_tags(tagged, tx.ancestors(both))
 
 
+#: The places have four levels at most, so plain joins give all ancestors.
+DEEPEST_SQL = f"""
+WITH {EDGES_SQL.split("walk AS")[0].rstrip().rstrip(",")}, {ORDER_PLACES_SQL},
+two AS (SELECT a.child AS id, b.parent AS ancestor FROM edges a JOIN edges b ON a.parent = b.child),
+above AS MATERIALIZED (
+  SELECT 'places' AS taxonomy, child AS id, parent AS ancestor FROM edges
+  UNION SELECT 'places', id, ancestor FROM two
+  UNION SELECT 'places', two.id, edges.parent FROM two JOIN edges ON two.ancestor = edges.child
+  UNION SELECT 'places', a.id, b.ancestor FROM two a JOIN two b ON a.ancestor = b.id
+  UNION SELECT 'rough', child, parent FROM edges WHERE parent = 'en:world'
+),
+own AS (SELECT taxonomy, doc_id, tag FROM tags, (VALUES ('places'), ('rough')) t(taxonomy) WHERE tag IS NOT NULL),
+gone AS (SELECT DISTINCT own.taxonomy, doc_id, ancestor AS tag FROM own JOIN above ON above.taxonomy = own.taxonomy AND above.id = own.tag)
+SELECT taxonomy, doc_id, tag FROM own ANTI JOIN gone USING (taxonomy, doc_id, tag)"""
+
+
+def taxonomy_chain(spark, d):
+    """A deep taxonomy: the orders of each customer, each below the one before it; how far up its ancestors go."""
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    chain = table(spark, d, "orders").select(
+        F.lit("orders").alias("taxonomy"), F.col("o_orderkey").cast("string").alias("child"), before.cast("string").alias("parent")
+    ).where("parent is not null")
+    return tx.ancestors(chain).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("top")).select("id", "n", "top")
+
+
+CHAIN_SQL = """
+SELECT CAST(o_orderkey AS VARCHAR) AS id, k - 1 AS n, CAST(k - 1 AS INTEGER) AS top
+FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) WHERE k > 1"""
+
+
 def trade_pairs(spark, d):
     """Pairs of a supplier and the region of a customer it delivered to."""
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
@@ -279,6 +310,22 @@ SELECT query_id, m.id, m.input AS text, coalesce(n.name, '') AS name, m.weight A
 FROM merged m LEFT JOIN names n ON n.id = m.id AND n.lang = 'en'"""
 
 
+def complete_chosen(spark, d):
+    """Completion within chosen taxonomies: a third of the texts names none, the others one or two."""
+    t = parts(spark, d)
+    half = F.when(F.col("id").rlike("[02468]$"), "even").otherwise("odd")
+    shown = sg.suggest_table(t.names, t.synonyms, ["en", "fr"]).withColumn("taxonomy", half)
+    chosen = F.when(F.length("query_id") % 3 == 1, F.array(F.lit("even"))).when(
+        F.length("query_id") % 3 == 2, F.array(F.lit("odd"), F.lit("none"))
+    )
+    queries = typed_texts(spark, d, "end").withColumn("taxonomies", chosen)
+    return sg.complete(queries, shown, t.names.withColumn("taxonomy", half), ["en", "fr"], 5).drop("taxonomy")
+
+
+CHOSEN_SQL = complete_sql("left(p_name, length(p_name) - 2)", 0).replace("FROM qk, keyed)", """FROM qk, keyed
+  WHERE length(query_id) % 3 = 0 OR (length(query_id) % 3 = 1) = regexp_matches(id, '[02468]$'))""")
+
+
 def suggestion_labels(spark, d):
     t = parts(spark, d)
     s = sg.suggest_table(t.names, t.synonyms, ["en"])
@@ -353,15 +400,9 @@ def taxonomy_match(spark, d):
 
 QUERIES = {
     "taxonomy_ancestors": Query(taxonomy_ancestors, f"WITH RECURSIVE {EDGES_SQL} SELECT id, ancestor, depth FROM closure"),
-    "taxonomy_deepest": Query(taxonomy_deepest, f"""
-WITH RECURSIVE {EDGES_SQL}, {ORDER_PLACES_SQL},
-above AS (
-  SELECT DISTINCT 'places' AS taxonomy, doc_id, ancestor AS tag FROM tags JOIN closure ON tags.tag = closure.id
-  UNION SELECT 'rough', doc_id, parent FROM tags JOIN edges ON tags.tag = edges.child WHERE parent = 'en:world'
-)
-SELECT taxonomy, doc_id, tag FROM tags, (VALUES ('places'), ('rough')) t(taxonomy)
-WHERE tag IS NOT NULL AND NOT EXISTS (
-  SELECT 1 FROM above WHERE above.taxonomy = t.taxonomy AND above.doc_id = tags.doc_id AND above.tag = tags.tag)"""),
+    "taxonomy_deepest": Query(taxonomy_deepest, DEEPEST_SQL),
+    "taxonomy_chain": Query(taxonomy_chain, CHAIN_SQL),
+    "complete_chosen": Query(complete_chosen, CHOSEN_SQL),
     "taxonomy_descendants": Query(taxonomy_descendants, f"""
 WITH RECURSIVE {EDGES_SQL}, {TRADE_SQL}
 SELECT t.id, t.other, c.id IS NOT NULL AS is_descendant FROM trade t LEFT JOIN closure c ON c.id = t.id AND c.ancestor = t.other"""),
