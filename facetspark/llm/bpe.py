@@ -73,7 +73,7 @@ class PartitionBpe:
         import regex
 
         self.pa, self.ranks = pa, ranks
-        self.encode_chunks = WordCache(regex.compile(pattern).findall, self.encode_words).encode
+        self.cache = WordCache(regex.compile(pattern).findall)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         left, right, whole = merge_table(ranks)
@@ -85,6 +85,17 @@ class PartitionBpe:
         self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM incoming")
         self.con.unregister("incoming")
 
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        """A worker runs several tasks; nothing of one is left when the next begins."""
+        self.con.close()
+        self.cache = None
+
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        return self.cache.encode(chunks, self.encode_words)
+
     def encode_words(self, texts: list[str]) -> list[bytes]:
         """Ids of each word; a word that is a token is that token, as in the public library."""
         words = [t.encode() for t in texts]
@@ -140,10 +151,11 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str) ->
     Input ``doc_id``, ``text``; other columns are ignored. A null or empty text has no ids; rows with
     null or repeated ids are encoded one by one; an empty table gives an empty result.
     """
-    return map_batches(
-        docs.select("doc_id", "text"), lambda parts: encode_batches(parts, PartitionBpe(ranks, pattern).encode_chunks, "<u4"),
-        "doc_id long, ids binary",
-    )
+    def run(parts):
+        with PartitionBpe(ranks, pattern) as bpe:
+            yield from encode_batches(parts, bpe.encode_chunks, "<u4")
+
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, ids binary")
 
 
 def decoded(rows, bpe: PartitionBpe) -> Iterator[tuple]:
@@ -162,8 +174,9 @@ def decode_documents(encoded: DataFrame, ranks: dict[bytes, int], pattern: str)
     """Texts of ``encode_documents``' result: ``doc_id, text``; bytes that are no UTF-8 are replaced."""
 
     def run(rows):
-        for key, _, text in decoded(rows, PartitionBpe(ranks, pattern)):
-            yield key, text.decode("utf-8", "replace")
+        with PartitionBpe(ranks, pattern) as bpe:
+            for key, _, text in decoded(rows, bpe):
+                yield key, text.decode("utf-8", "replace")
 
     return map_rows(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
 
@@ -175,8 +188,8 @@ def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFr
     """
 
     def run(parts):
-        bpe = PartitionBpe(ranks, pattern)
-        for key, ids, text in decoded(encode_batches(parts, bpe.encode_chunks, "<u4"), bpe):
-            yield key, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()
+        with PartitionBpe(ranks, pattern) as bpe:
+            for key, ids, text in decoded(encode_batches(parts, bpe.encode_chunks, "<u4"), bpe):
+                yield key, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()
 
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

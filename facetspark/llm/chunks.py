@@ -19,8 +19,10 @@ _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+\Z")
 _ODD = re.compile(r"[^\S \n]|\x00")
 #: Texts that are not cut at every space and before every line feed.
 _UNEVEN = r"[\t\x0b\x0c\r\x00\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]| $"
-#: Chunks remembered by a task, and the texts (bytes) looked at together.
-KNOWN_CHUNKS = 700_000
+#: What a task remembers of chunks, and of words, is bounded in bytes, objects counted; and the texts (bytes) looked at together.
+KNOWN_BYTES = 96 << 20
+#: What a remembered text and its ids take besides their own bytes.
+ENTRY_BYTES = 190
 TOGETHER = 16 << 20
 #: A chunk is named by its text without the leading space; this stands before one that has neither space nor line feed there.
 _BARE = "\x00"
@@ -56,13 +58,12 @@ def encode_batches(
     ``encode`` turns new chunks into the bytes of their ids, numbers of the numpy type ``kind``. Cutting, finding the
     distinct chunks and putting ids together are vectorised; Python sees each distinct chunk once a batch.
     """
-    known: dict[str, bytes] = {}
+    known = Remembered()
 
     def ids_of(names: list[str]) -> list[bytes]:
-        if len(known) + len(names) > KNOWN_CHUNKS:
-            known.clear()
+        known.make_room()
         new = [name for name in names if name not in known]
-        known.update(zip(new, encode([chunk_of(name) for name in new])))
+        known.add(new, encode([chunk_of(name) for name in new]))
         return list(map(known.__getitem__, names))
 
     def whole(texts: pa.Array) -> list[bytes]:
@@ -97,19 +98,32 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
     return ((a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a)
 
 
+class Remembered(dict):
+    """Texts and their ids, emptied when they take more than KNOWN_BYTES."""
+
+    size = 0
+
+    def make_room(self):
+        if self.size > KNOWN_BYTES:
+            self.clear()
+            self.size = 0
+
+    def add(self, texts: list[str], ids: list[bytes]):
+        self.update(zip(texts, ids))
+        self.size += ENTRY_BYTES * len(texts) + sum(map(len, texts)) + sum(map(len, ids))
+
+
 class WordCache:
     """Chunks by way of their words, each of which is encoded once while it is remembered."""
 
-    def __init__(self, split: Callable[[str], list[str]], encode_words: Callable[[list[str]], list[bytes]], most: int = 500_000):
-        self.split, self.encode_words, self.most = split, encode_words, most
-        self.known: dict[str, bytes] = {}
+    def __init__(self, split: Callable[[str], list[str]]):
+        self.split, self.known = split, Remembered()
 
-    def encode(self, chunks: list[str]) -> list[bytes]:
+    def encode(self, chunks: list[str], encode_words: Callable[[list[str]], list[bytes]]) -> list[bytes]:
         split = self.split
         pieces = [(c,) if c[:1] == " " and c[1:].isalpha() else split_words(c, split) for c in chunks]
-        if len(self.known) > self.most:
-            self.known.clear()
+        self.known.make_room()
         new = list(set().union(*pieces).difference(self.known))
-        self.known.update(zip(new, self.encode_words(new)))
+        self.known.add(new, encode_words(new))
         get = self.known.__getitem__
         return [get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in pieces]

@@ -9,6 +9,7 @@ table and moves all blocks of a segment forward together.
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 
@@ -130,12 +131,14 @@ def tokenized(docs: DataFrame, path: str, pattern: str, end_id: int | None) -> D
     Each task adds a row with nothing but the ``counts`` of its ids.
 
     The tokenizer must be a byte-level one that splits by ``pattern`` and has no normaliser. Its model
-    gets every distinct word once. Ids are little-endian unsigned numbers of ``id_type``.
+    gets every distinct word once. Added tokens of the file are recognised inside texts, as the library does by
+    default, and what stands between them is split by itself. Ids are little-endian unsigned numbers of ``id_type``.
     """
     with open(path, encoding="utf-8") as f:
         spec = f.read()
     kind, symbols = id_type(path, end_id), n_symbols(path, end_id)
     width = int(kind[-1])
+    added = {t["content"]: t["id"] for t in json.loads(spec).get("added_tokens") or []}
     tail = b"" if end_id is None else np.array([end_id], kind).tobytes()
 
     def run(parts):
@@ -144,6 +147,13 @@ def tokenized(docs: DataFrame, path: str, pattern: str, end_id: int | None) -> D
 
         tokenize = Tokenizer.from_str(spec).model.tokenize
         letters = byte_letters()
+        matches = regex.compile(pattern).findall
+        between = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+
+        def split(chunk):
+            if between is None or not between.search(chunk):
+                return matches(chunk)
+            return [w for part in between.split(chunk) for w in ([part] if part in added else matches(part))]
 
         space = letters[32]
 
@@ -153,12 +163,17 @@ def tokenized(docs: DataFrame, path: str, pattern: str, end_id: int | None) -> D
             return word.encode().decode("latin-1").translate(letters)
 
         def encode_words(words):
-            return [array(code, [t.id for t in tokenize(spelled(w))]).tobytes() for w in words]
+            return [
+                array(code, [added[w]] if w in added else [t.id for t in tokenize(spelled(w))]).tobytes() for w in words
+            ]
+
+        def encode(chunks):
+            return cache.encode(chunks, encode_words)
 
         code = "H" if kind == "<u2" else "I"
-        cache = WordCache(regex.compile(pattern).findall, encode_words)
+        cache = WordCache(split)
         total, held, size = np.zeros(symbols, np.int64), [], 0
-        for key, ids in encode_batches(parts, cache.encode, kind):
+        for key, ids in encode_batches(parts, encode, kind):
             ids += tail
             held.append(ids)
             size += len(ids)
