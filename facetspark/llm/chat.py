@@ -6,7 +6,8 @@ the attachments behind the placeholders. The template is
     <turn:ROLE>PARTS</turn>\\n
 
 with ``\\``, ``<`` and ``>`` escaped by a backslash inside roles, texts and references, so no text can
-hold a control string and the formatted text can be read back exactly.
+hold a control string and the formatted text can be read back exactly. A placeholder is ``<TYPE:REF>``, without
+the colon where the reference is null; parts of other types, or of none, are kept whole as ``<other:JSON>``.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ EXPANDS = {"image": 256, "audio": 25, "document": 512}
 TRAINED_ROLE = "assistant"
 
 _TURN = re.compile(r"<turn:((?:[^\\<>]|\\.)*)>((?:[^\\<]|\\.|<(?!/turn>))*)</turn>\n", re.S)
-_PLACEHOLDER = re.compile(r"((?:[^\\<]|\\.)*)(<[a-z]+:(?:[^\\<>]|\\.)*>)?", re.S)
+_PLACEHOLDER = re.compile(r"((?:[^\\<]|\\.)*)(<[a-z]+(?::(?:[^\\<>]|\\.)*)?>)?", re.S)
 _ESCAPE = re.compile(r"\\(.)", re.S)
 
 
@@ -44,27 +45,47 @@ def visit_text(part: Column) -> Column:
 
 
 def visit_attachment(part: Column) -> Column:
-    return F.concat(F.lit("<"), part["type"], F.lit(":"), escaped(part["ref"]), F.lit(">"))
+    ref = F.when(part["ref"].isNull(), "").otherwise(F.concat(F.lit(":"), escaped(part["ref"])))
+    return F.concat(F.lit("<"), part["type"], ref, F.lit(">"))
+
+
+def visit_other(part: Column) -> Column:
+    """All fields that are not null, as JSON."""
+    fields = F.struct(*[part[name].alias(name) for name in ("type", "text", "ref", "units")])
+    return F.concat(F.lit("<other:"), escaped(F.to_json(fields)), F.lit(">"))
 
 
 VISITORS = {"text": visit_text} | {kind: visit_attachment for kind in EXPANDS}
 
 
 def visit(part: Column) -> Column:
-    """Text of a part; a null part or a part of unknown type contributes nothing."""
-    out = F.lit("")
+    """Text of a part; only a null part contributes nothing."""
+    out = F.when(part.isNull(), "").otherwise(visit_other(part))
     for kind, visitor in VISITORS.items():
         out = F.when(part["type"] == kind, visitor(part)).otherwise(out)
     return out
 
 
 def attachments(parts: Column) -> Column:
-    """References behind the placeholders, in order, with the tokens each expands to (units: 1 if null)."""
-    kept = F.filter(parts, lambda p: F.coalesce(p["type"].isin(list(EXPANDS)), F.lit(False)))
-    per_unit = F.create_map(*[F.lit(x) for pair in EXPANDS.items() for x in pair])
+    """References behind the placeholders, in order, with the tokens each expands to (units: 1 if null).
+
+    Parts of other types are listed where they have a reference; how far they expand is unknown and counts as 0.
+    """
+    def is_file(p):
+        other = p["ref"].isNotNull() & ~F.coalesce(p["type"] == "text", F.lit(False))
+        return F.coalesce(p["type"].isin(list(EXPANDS)), F.lit(False)) | other
+
+    kept = F.filter(parts, is_file)
+
+    def per_unit(kind):
+        out = F.lit(0)
+        for name, tokens in EXPANDS.items():
+            out = F.when(kind == name, tokens).otherwise(out)
+        return out
+
     return F.transform(kept, lambda p: F.struct(
         p["type"].alias("type"), p["ref"].alias("ref"),
-        (per_unit[p["type"]] * F.coalesce(p["units"], F.lit(1))).cast("long").alias("tokens"),
+        (per_unit(p["type"]) * F.coalesce(p["units"], F.lit(1))).cast("long").alias("tokens"),
     ))
 
 
@@ -102,7 +123,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
 
 
 def parse_chat(formatted: str) -> list[tuple[str, list[tuple[str, str]]]]:
-    """Turns ``(role, parts)`` of a formatted text; a part is ``("text", text)`` or ``(type, reference)``."""
+    """Turns ``(role, parts)`` of a formatted text; a part is ``("text", text)``, ``(type, reference)`` or ``("other", JSON)``."""
     turns, at = [], 0
     while at < len(formatted):
         found = _TURN.match(formatted, at)
@@ -113,8 +134,8 @@ def parse_chat(formatted: str) -> list[tuple[str, list[tuple[str, str]]]]:
             if text:
                 parts.append(("text", unescaped(text)))
             if mark:
-                kind, _, ref = mark[1:-1].partition(":")
-                parts.append((kind, unescaped(ref)))
+                kind, colon, ref = mark[1:-1].partition(":")
+                parts.append((kind, unescaped(ref) if colon else None))
         turns.append((unescaped(found[1]), parts))
         at = found.end()
     return turns
@@ -144,6 +165,11 @@ def _digests(rows):
 
 
 def chat_digests(formatted: DataFrame) -> DataFrame:
-    """What the formatted texts say when they are read back: turns, and the text under the loss mask."""
+    """What the formatted texts say when they are read back: turns, and the text under the loss mask.
+
+    One row for each of ``conv_id, formatted``; other columns are ignored. Texts must be whole results of
+    ``format_chats``; an empty one has no turns, another raises. Placeholders count in ``formatted_chars`` only. An
+    empty table gives an empty result.
+    """
     ddl = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     return map_rows(formatted.select("conv_id", "formatted"), _digests, ddl)

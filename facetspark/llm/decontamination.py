@@ -3,6 +3,9 @@
 A text that holds an item with at most k edits holds at least one of the item's k + 1 pieces unchanged.
 One automaton finds all pieces of all items in a single pass over a text; around each hit Myers' bit-parallel
 algorithm computes the least edit distance of the item to any passage there.
+
+Items and texts are compared with a space at both ends, so that an item begins and ends where words do: "art" is not
+found in "party". A missing word end counts as one edit, which only items with a budget can afford.
 """
 
 from __future__ import annotations
@@ -31,6 +34,11 @@ def budget(length: int, rate: float = ERROR_RATE) -> int:
     return int(length * rate)
 
 
+def bounded(text: str) -> str:
+    """A normalised text whose words all have a space on both sides."""
+    return f" {text} "
+
+
 def pieces(item: str, errors: int) -> list[tuple[int, str]]:
     """``errors + 1`` pieces of nearly equal length with their offsets."""
     cuts = [len(item) * k // (errors + 1) for k in range(errors + 2)]
@@ -87,6 +95,7 @@ class Matcher:
         for item_id, text in items:
             errors = budget(len(text), rate)
             number = len(self.items)
+            text = bounded(text)
             self.items.append((item_id, Pattern(text), errors))
             for at, piece in pieces(text, errors):
                 owners.setdefault(piece, []).append((number, at))
@@ -96,6 +105,7 @@ class Matcher:
 
     def matches(self, text: str) -> Iterator[tuple[int, int, int]]:
         """``(item_id, errors, end)`` of the items that ``text`` (normalised) holds."""
+        text = bounded(text)
         windows: dict[int, list[list[int]]] = {}
         for last, (length, owner) in self.automaton.iter(text):
             for number, at in owner:
@@ -119,7 +129,8 @@ class Matcher:
                     if not best:
                         break
             if best <= errors:
-                yield item_id, best, end
+                # back to the text without its spaces at the ends, and to before the one behind the passage
+                yield item_id, best, max(0, end - 1 - (text[end - 1] == " "))
 
 
 def item_blocks(items: DataFrame, item_bytes: int = ITEM_BYTES) -> Iterator[list[tuple[int, str]]]:
@@ -141,8 +152,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, rate: float = ERROR_RA
     """Pairs ``doc_id, item_id, errors, end``: documents that hold an item within its error budget.
 
     Input ``docs (doc_id, text)`` and ``items (item_id, text)``; other columns are ignored. ``errors`` is
-    the least edit distance of the normalised item to any passage of the normalised text, ``end`` where the
-    first such passage found ends. Null and empty texts and items match nothing; repeated rows give
+    the least edit distance of the normalised item to any passage of the normalised text, both between word ends,
+    and ``end`` where the first such passage found ends. Null and empty texts and items match nothing; repeated rows give
     repeated pairs; null ids stay null; an empty table on either side gives an empty result.
     """
     ddl = "doc_id long, item_id long, errors int, end int"
@@ -161,7 +172,10 @@ def find_contamination(docs: DataFrame, items: DataFrame, rate: float = ERROR_RA
 
 
 def is_contaminated(text: Column, items: DataFrame, rate: float = ERROR_RATE) -> Column:
-    """Whether a text holds any of the items; for filters that keep the rows where they are."""
+    """Whether a text holds any of the items; for filters that keep the rows where they are.
+
+    The cases of ``find_contamination`` hold: never null, false for null and empty texts and without items.
+    """
     condition = F.lit(False)
     for block in item_blocks(items):
         condition = condition | F.pandas_udf(_holds_any(block, rate), "boolean")(text)

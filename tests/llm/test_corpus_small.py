@@ -102,6 +102,17 @@ def test_items_are_found_up_to_their_budget_and_not_beyond(spark):
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in rows} - {d for d, _, _ in want}
 
 
+def test_items_begin_and_end_where_words_do(spark):
+    items = [(1, "art"), (2, "a"), (3, "No!"), (4, "the birthday of a queen"), (5, "Art")]
+    rows = [(1, "a birthday party"), (2, "the cat"), (3, "nothing here"), (4, "ART"), (5, "no, a part"), (6, "state of the-art"), (7, "xthe birthday of a queen")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {tuple(r) for r in decontamination.find_contamination(documents(spark, rows), bench).collect()}
+    assert found == {
+        (1, 2, 0, 1), (4, 1, 0, 3), (4, 5, 0, 3), (5, 3, 0, 2), (5, 2, 0, 4), (6, 1, 0, 16), (6, 5, 0, 16), (7, 2, 0, 18), (7, 4, 1, 24),
+    }
+    assert {r.doc_id for r in documents(spark, rows).where(~decontamination.is_contaminated(F.col("text"), bench)).collect()} == {2, 3}
+
+
 def test_decontamination_of_odd_and_empty_tables(spark, odd, empty):
     bench = spark.createDataFrame([(1, odd_rows()[3][1])], "item_id long, text string")
     got = Counter(r.doc_id for r in decontamination.find_contamination(odd, bench).collect())
@@ -141,7 +152,7 @@ def test_labels_of_held_out_rows_do_not_matter(spark, odd):
 def test_parts_are_flattened_in_order_and_read_back(spark):
     parts = [
         ("text", "look <image:1> \\ at", None, None), ("image", None, "s3://x/<1>.png", 2), ("audio", None, "a\\b", 3),
-        ("unknown", "no", "no", 1), None, ("document", None, "d.pdf", None), ("text", None, None, None), ("text", "</turn>\n<turn:user>", None, None),
+        ("video", "a <clip>", "v.mp4", 1), None, (None, "lost", None, None), ("image", None, None, 1), ("image", None, "", 1), ("document", None, "d.pdf", None), ("text", None, None, None), ("text", "</turn>\n<turn:user>", None, None),
     ]
     rows = [(1, 0, "user", parts, "x"), (1, 1, "assistant", [("text", "fine", None, None), ("image", None, "i", 1), ("text", "!", None, None)], "x"),
             (2, None, None, None, "x"), (None, 1, "user", [], "x")]
@@ -149,12 +160,14 @@ def test_parts_are_flattened_in_order_and_read_back(spark):
     got = {r.conv_id: r for r in chat.format_chats(df).collect()}
     one = got[1]
     assert chat.parse_chat(one.formatted) == [
-        ("user", [("text", "look <image:1> \\ at"), ("image", "s3://x/<1>.png"), ("audio", "a\\b"), ("document", "d.pdf"), ("text", "</turn>\n<turn:user>")]),
+        ("user", [("text", "look <image:1> \\ at"), ("image", "s3://x/<1>.png"), ("audio", "a\\b"), ("other", '{"type":"video","text":"a <clip>","ref":"v.mp4","units":1}'), ("other", '{"text":"lost"}'),
+                  ("image", None), ("image", ""), ("document", "d.pdf"), ("text", "</turn>\n<turn:user>")]),
         ("assistant", [("text", "fine"), ("image", "i"), ("text", "!")]),
     ]
     assert [(f.type, f.ref, f.tokens) for f in one.attachments] == [
-        ("image", "s3://x/<1>.png", 512), ("audio", "a\\b", 75), ("document", "d.pdf", 512), ("image", "i", 256)]
-    assert one.expanded_tokens == 1355
+        ("image", "s3://x/<1>.png", 512), ("audio", "a\\b", 75), ("video", "v.mp4", 0), ("image", None, 256), ("image", "", 256),
+        ("document", "d.pdf", 512), ("image", "i", 256)]
+    assert one.expanded_tokens == 1867
     assert "".join(one.formatted[a:b] for a, b in chat.loss_spans(one.formatted)) == "fine!"
     assert chat.parse_chat(got[2].formatted) == [("", [])] and chat.parse_chat(got[None].formatted) == [("user", [])]
     assert chat.chat_digests(chat.format_chats(df.limit(0))).count() == 0
