@@ -7,9 +7,10 @@ A byte is removed when a string of LENGTH bytes that covers it also starts in a
    windows share anchors, so a text has one anchor for about 16 bytes.
 2. Blocks send their distinct anchors, anchors that two documents have come back marked.
 3. For marked anchors, blocks send the bytes that their windows span, each distinct span once. The windows of an
-   anchor at the same offset are suffixes to be sorted: prefix polynomial hashes and binary search give the
-   common extension of two suffixes, by which a merge sort compares them in logarithmic time. Windows found equal
-   are compared byte by byte; the least document of each comes back.
+   anchor at the same offset are suffixes to be sorted, but for those whose prefix hash occurs once there, which
+   equal nothing: prefix polynomial hashes and binary search give the common extension of two suffixes, by which a
+   merge sort compares them in logarithmic time. Windows found equal are compared byte by byte; the least document of
+   each comes back.
 4. Blocks mark the windows that a smaller document has, and cut.
 
 What is sent grows with the number of blocks a string occurs in, never with its number of copies, and texts are
@@ -206,6 +207,19 @@ class Suffixes:
             step >>= 1
         return found
 
+    def repeated(self, at, segments):
+        """Which windows may equal another one of their segment: those whose hash of LENGTH bytes occurs again there."""
+        top = len(self.powers) - 1
+        with np.errstate(over="ignore"):
+            key = (self.prefix[at + LENGTH] - self.prefix[at]) * self.powers[top - at]
+            key = (key ^ (segments.astype(np.uint64) * _M1)) * _M2
+        order = np.argsort(key)
+        same = key[order[1:]] == key[order[:-1]]
+        again = np.zeros(len(at), bool)
+        again[order[1:][same]] = True
+        again[order[:-1][same]] = True
+        return again
+
     def less(self, a, b):
         at = self.common(a, b)
         return (at < LENGTH) & (self.data[a + at] < self.data[b + at])
@@ -275,11 +289,13 @@ def least_documents(texts: list[bytes], anchor: np.ndarray, offset: np.ndarray,
         window = ragged(starts[open_], windows[open_])
         distance = np.repeat(offset[first[open_]], windows[open_]) - ragged(np.zeros(len(open_), np.int64), windows[open_])
         segment = np.repeat(group[open_], windows[open_]) * GRAMS + distance
-        dealt = np.argsort(segment, kind="stable")
+        again = np.flatnonzero(suffixes.repeated(at, segment))
+        dealt = again[np.argsort(segment[again], kind="stable")]
         at, window, segment = at[dealt], window[dealt], segment[dealt]
         order = suffixes.sort(at, segment)
         at, window = at[order], window[order]
-        same = np.append(False, (segment[1:] == segment[:-1]) & (suffixes.common(at[1:], at[:-1]) >= LENGTH))
+        same = (segment[1:] == segment[:-1]) & (suffixes.common(at[1:], at[:-1]) >= LENGTH)
+        same = np.append(np.zeros(min(1, len(at)), bool), same)
         check = np.flatnonzero(same)
         wrong = check[~suffixes.bytes_equal(at[check], at[check - 1])]
         if len(wrong):  # unequal windows with equal hashes: sort those segments by their bytes
