@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from facetspark.scale import broadcast_if_bounded, topk_per_group
+from facetspark.scale import broadcast_if_bounded, cut_lineage, topk_per_group
 from facetspark.specs import MAIN_LANG, Scorer, check_page_numbers
 
 
@@ -38,6 +38,26 @@ def sort_documents(df: DataFrame, sort_by: str, id_col: str) -> DataFrame:
     return df.orderBy(sort_key(df, sort_by), F.asc(id_col))
 
 
+#: Bits of ``monotonically_increasing_id`` that number the rows within a partition.
+ROW_BITS = 33
+
+
+def with_places(ordered: DataFrame, name: str = "place") -> DataFrame:
+    """The rows of a sorted result with their place in it, from 1.
+
+    The sort deals ranges to the partitions, so a row's place is its number within its partition behind all rows of
+    the partitions before. Only the partitions' counts, a row each, are summed up in one task. The sorted rows are
+    checkpointed: sorting again might draw other ranges.
+    """
+    numbered = cut_lineage(ordered.withColumn("_at", F.monotonically_increasing_id()))
+    numbered = numbered.withColumn("_part", F.shiftrightunsigned("_at", ROW_BITS))
+    counts = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << ROW_BITS) - 1)) + 1
+    return numbered.join(broadcast_if_bounded(starts), "_part").select(*ordered.columns, place.alias(name))
+
+
 def page(df: DataFrame, order: Sequence[Column], page: int, page_size: int) -> DataFrame:
     """One page of the ordered result; Spark keeps only the rows up to its end in each task."""
     check_page_numbers(page, page_size)

@@ -17,7 +17,7 @@ from facetspark.operators.predicates import (
     selected_facets, terms_all, terms_any,
 )
 from facetspark.operators.shape import fold_languages
-from facetspark.operators.sorting import score_by, sort_documents
+from facetspark.operators.sorting import score_by, sort_documents, with_places
 from facetspark.operators.tagging import synonym_spans, tag_entities
 from facetspark.operators.upsert import upsert_documents
 from facetspark.scale import topk_per_group
@@ -326,3 +326,12 @@ def test_fuzzy_words_of_many_lengths_and_longer_in_lower_case(spark, monkeypatch
     assert found(odd) == {w for w in want if w[0] != "brad"}
     monkeypatch.setattr(scale, "LITERAL_VALUES", 1)
     assert found(words) == want
+
+
+def test_places_follow_the_order(spark):
+    draw = [(k * 7919) % 1000 for k in range(1000)] + [None, None]
+    df = spark.createDataFrame(list(zip(draw, range(len(draw)))), "x int, id int").repartition(7)
+    got = with_places(sort_documents(df, "-x", "id")).collect()
+    want = sorted(zip(draw, range(len(draw))), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    assert {(r.x, r.id, r.place) for r in got} == {(x, i, k) for k, (x, i) in enumerate(want, 1)}
+    assert with_places(sort_documents(df.limit(0), "x", "id")).collect() == []

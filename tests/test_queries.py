@@ -16,6 +16,7 @@ SELECTION = [
     "postings_stats", "phrase_match", "bm25_topk", "taxonomy_deepest", "synonym_rules", "complete_prefix",
     "normalize_documents", "upsert_merge", "replay_changes", "search_hits", "image_urls",
     "search_nested", "merge_other_buckets", "fill_international", "sorted_documents", "stamped_import", "first_rows",
+    "sorted_by_array", "taxonomy_import_lines", "wildcard_inner", "phrase_slop_long",
 ]
 NAMES = sorted(entry.queries()) if os.environ.get("FACETSPARK_ALL") else SELECTION
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test data not there")

@@ -167,6 +167,32 @@ def taxonomy_import(spark, d):
     return reduce(lambda a, b: a.unionByName(b), found)
 
 
+def taxonomy_import_lines(spark, d):
+    """Parts as a taxonomy in JSON lines, read, changed by a step before, published as tables; all rows of these."""
+    part = table(spark, d, "part")
+    size = F.col("p_size").cast("string")
+    entries = part.select(
+        F.concat(F.lit("en:part-"), F.col("p_partkey").cast("string")).alias("id"),
+        F.create_map(F.lit("en"), F.col("p_name"), F.lit("fr"), F.when(F.col("p_size") % 2 == 0, size).otherwise("")).alias("name"),
+        F.create_map(F.lit("xx"), F.array(F.lower("p_brand"), F.col("p_brand"), F.lower("p_brand")), F.lit("en"), F.array(F.lit(""), size))
+        .alias("synonyms"),
+        F.array(F.lower("p_type"), F.lower("p_brand"), F.lower("p_type")).alias("parents"),
+    )
+    base = scratch_path(spark, "taxonomy-lines")
+    entries.write.json(f"{base}/file")
+    tables = taxonomy_tables(src.read_taxonomy_lines(spark, f"{base}/file", "parts"))
+    import_taxonomy(tables, base, "parts", lambda t: replace(t, names=t.names.where("lang <> 'en' OR id NOT LIKE '%7'")))
+    nodes, edges, names, synonyms = (vs.read_current(spark, base, f"parts-{t}") for t in ("nodes", "edges", "names", "synonyms"))
+    none = F.lit(None).cast("string")
+    rows = (
+        nodes.select(F.lit("nodes").alias("part"), "taxonomy", "id", none.alias("lang"), none.alias("value")),
+        edges.select(F.lit("edges"), "taxonomy", "child", none, "parent"),
+        names.select(F.lit("names"), "taxonomy", "id", "lang", "name"),
+        synonyms.select(F.lit("synonyms"), "taxonomy", "id", "lang", F.concat_ws(":", F.col("position").cast("string"), "synonym")),
+    )
+    return reduce(lambda a, b: a.unionAll(b), rows)
+
+
 def merge_other_buckets(spark, d):
     """Two merges into a version with a number of buckets of its own."""
     base = scratch_path(spark, "merged")
@@ -574,6 +600,18 @@ SELECT count(*) AS n, count(*) AS n_stamped, CAST(0 AS BIGINT) AS n_lower FROM d
 SELECT * FROM (VALUES ('nodes', 0), ('edges', 0), ('names', -1), ('synonyms', NULL)) v(part, more)
 JOIN LATERAL (SELECT CASE WHEN part = 'synonyms' THEN count(*) * 2 WHEN part = 'names' THEN count(*) FILTER (n_name <> 'FRANCE') ELSE count(*) END AS n
   FROM nation) ON true""".replace("SELECT *", "SELECT part, CAST(n AS BIGINT) AS n", 1)),
+    "taxonomy_import_lines": Query(taxonomy_import_lines, """
+WITH p AS (SELECT 'en:part-' || p_partkey AS id, * FROM part),
+found AS (
+  SELECT 'nodes' AS part, id, CAST(NULL AS VARCHAR) AS lang, CAST(NULL AS VARCHAR) AS value FROM p
+  UNION ALL SELECT 'edges', id, NULL, lower(p_type) FROM p
+  UNION ALL SELECT 'edges', id, NULL, lower(p_brand) FROM p WHERE lower(p_brand) <> lower(p_type)
+  UNION ALL SELECT 'names', id, 'en', p_name FROM p WHERE p_name <> '' AND id NOT LIKE '%7'
+  UNION ALL SELECT 'names', id, 'fr', CAST(p_size AS VARCHAR) FROM p WHERE p_size % 2 = 0
+  UNION ALL SELECT 'synonyms', id, 'xx', '0:' || lower(p_brand) FROM p
+  UNION ALL SELECT 'synonyms', id, 'xx', '1:' || p_brand FROM p WHERE p_brand <> lower(p_brand)
+  UNION ALL SELECT 'synonyms', id, 'en', '1:' || p_size FROM p)
+SELECT part, 'parts' AS taxonomy, id, lang, value FROM found"""),
     "merge_other_buckets": Query(merge_other_buckets, UPSERT_SQL),
     "stream_restarted": Query(stream_restarted, STREAM_SQL),
     "stream_tail": Query(stream_tail, STREAM_SQL),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from facetspark.functions.scoring import weighted_grade_score, with_tables
@@ -15,7 +14,7 @@ from facetspark.operators.predicates import (
 )
 from facetspark.operators.shape import post_process, project
 from facetspark.operators.sorting import (
-    page, page_per_query, result_summary, score_by_profiles, sort_documents, sort_key,
+    page, page_per_query, result_summary, score_by_profiles, sort_documents, sort_key, with_places,
 )
 from facetspark.specs import Scorer
 from workload.common import Query, facets_sql, table
@@ -139,7 +138,7 @@ def distribution_chart(spark, d):
     df = where(table(spark, d, "part"), PART_FILTER).withColumn(
         "p_type", F.when(F.col("p_type") == "ECONOMY", "unknown").otherwise(F.col("p_type"))
     )
-    return in_order(distribution(df, ["p_type", "p_brand"], 10))
+    return with_places(distribution(df, ["p_type", "p_brand"], 10))
 
 
 def sorted_page(spark, d):
@@ -168,21 +167,14 @@ def total(spark, d):
 
 def sorted_documents(spark, d):
     df = table(spark, d, "supplier").withColumn("balance", F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")))
-    return in_order(sort_documents(df, "-balance", "s_suppkey").select("s_suppkey", "balance"))
-
-
-def in_order(df):
-    """Rows with their place in the order they come in."""
-    return df.withColumn("_at", F.monotonically_increasing_id()).select(
-        *df.columns, F.row_number().over(Window.orderBy("_at")).alias("place")
-    )
+    return with_places(sort_documents(df, "-balance", "s_suppkey").select("s_suppkey", "balance"))
 
 
 def sorted_by_array(spark, d):
     """Orders by the greatest of several amounts, largest first."""
-    orders = table(spark, d, "orders").where("o_orderstatus = 'P'")
     amounts = F.array(F.col("o_totalprice"), F.col("o_custkey") * 100.0, F.lit(90_000.0))
-    return in_order(sort_documents(orders.withColumn("amounts", amounts), "-amounts", "o_orderkey").select("o_orderkey"))
+    orders = table(spark, d, "orders").withColumn("amounts", amounts)
+    return with_places(sort_documents(orders, "-amounts", "o_orderkey").select("o_orderkey"))
 
 
 def pages_per_priority(spark, d):
@@ -279,7 +271,7 @@ QUERIES = {
         v AS (SELECT 'p_type' AS field, p_type AS category FROM base UNION ALL SELECT 'p_brand', p_brand FROM base),
         c AS (SELECT field, category, count(*) AS amount FROM v GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY amount DESC, category) AS pos_at FROM c)
-        SELECT field, category, amount, CAST(row_number() OVER (ORDER BY field, category) AS INTEGER) AS place
+        SELECT field, category, amount, row_number() OVER (ORDER BY field, category) AS place
         FROM r WHERE pos_at <= 10 AND category <> 'unknown'"""),
     "sorted_page": Query(sorted_page, """
         SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 25 OFFSET 50"""),
@@ -296,11 +288,11 @@ QUERIES = {
     "match_all_count": Query(total, """
         SELECT count(*) AS count, CAST(ceil(count(*) / 100.0) AS BIGINT) AS page_count, true AS is_count_exact FROM lineitem"""),
     "sorted_documents": Query(sorted_documents, """
-        SELECT *, CAST(row_number() OVER (ORDER BY balance DESC NULLS LAST, s_suppkey) AS INTEGER) AS place
+        SELECT *, row_number() OVER (ORDER BY balance DESC NULLS LAST, s_suppkey) AS place
         FROM (SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN s_acctbal END AS balance FROM supplier)"""),
     "sorted_by_array": Query(sorted_by_array, """
-        SELECT o_orderkey, CAST(row_number() OVER (ORDER BY greatest(o_totalprice, o_custkey * 100.0, 90000.0) DESC, o_orderkey) AS INTEGER) AS place
-        FROM orders WHERE o_orderstatus = 'P'"""),
+        SELECT o_orderkey, row_number() OVER (ORDER BY greatest(o_totalprice, o_custkey * 100.0, 90000.0) DESC, o_orderkey) AS place
+        FROM orders"""),
     "pages_per_query": Query(pages_per_priority, """
         SELECT * FROM (SELECT o_orderpriority AS query_id, o_orderkey, o_totalprice,
           CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS rank FROM orders)

@@ -275,6 +275,63 @@ WITH {CORPUS_SQL}, {ITEMS_SQL}, {PATTERNS_SQL}
 SELECT pattern AS query_id, count(DISTINCT doc_id) AS n_docs FROM found JOIN tf USING (term) GROUP BY ALL""")
 
 
+def inner_patterns(spark, d):
+    """Patterns out of all benchmark words, short ones too: inner parts of three and of one character, and starts of one."""
+    words = items(spark, d).select(F.explode("words").alias("w")).distinct()
+    return words.select(F.explode(F.array_compact(F.array(
+        F.when(F.length("w") >= 4, F.concat(F.lit("*"), F.substring("w", 2, 3), F.lit("*"))),
+        F.when(F.length("w") >= 2, F.concat(F.lit("*"), F.substring("w", 2, 1), F.lit("*"))),
+        F.when(F.length("w") <= 5, F.concat(F.left("w", F.lit(1)), F.lit("*"))),
+    ))).alias("pattern")).distinct().select(F.col("pattern").alias("query_id"), F.lit(0).alias("clause"), "pattern")
+
+
+def wildcard_inner(spark, d):
+    """Documents that contain some word with a part asked for."""
+    tokens = corpus(spark, d)
+    found = matching.expand_wildcards(vocabulary(term_frequencies(tokens)), inner_patterns(spark, d))
+    return matching.expanded_matches(tokens, found).groupBy("query_id").agg(F.countDistinct("doc_id").alias("n_docs"))
+
+
+def word_triples(spark, d):
+    """Three neighbouring words of the benchmark texts, and each two of them with the first one repeated."""
+    words = items(spark, d).select(F.posexplode("words").alias("i", "w1"), "words").select(
+        "w1", F.get("words", F.col("i") + 1).alias("w2"), F.get("words", F.col("i") + 2).alias("w3")
+    ).where("w3 IS NOT NULL")
+    return words.select(F.explode(F.array(F.array("w1", "w2", "w3"), F.array("w1", "w2", "w1"))).alias("words")).distinct()
+
+
+def phrase_slop_long(spark, d):
+    """Documents with three words within a slop of one; equal words are different places."""
+    triples = word_triples(spark, d)
+    phrases = triples.select(F.array_join("words", " ").alias("query_id"), F.lit(0).alias("clause"), "words", F.lit(1).alias("slop"))
+    tokens = corpus(spark, d)
+    freq = vocabulary(term_frequencies(tokens, triples.select(F.explode("words").alias("term")).distinct()))
+    return matching.phrase_matches(tokens, phrases, freq).select("query_id", "doc_id").distinct()
+
+
+QUERIES["wildcard_inner"] = Query(wildcard_inner, f"""
+WITH {CORPUS_SQL}, {ITEMS_SQL},
+words AS (SELECT DISTINCT w FROM (SELECT unnest(words) AS w FROM items)),
+vocab AS (SELECT DISTINCT term FROM tf),
+parts AS (
+  SELECT substr(w, 2, 3) AS part, '*' AS front FROM words WHERE length(w) >= 4
+  UNION SELECT substr(w, 2, 1), '*' FROM words WHERE length(w) >= 2
+  UNION SELECT left(w, 1), '' FROM words WHERE length(w) <= 5),
+found AS MATERIALIZED (
+  SELECT front || part || '*' AS pattern, term FROM parts JOIN vocab ON CASE WHEN front = '*' THEN contains(term, part) ELSE starts_with(term, part) END)
+SELECT pattern AS query_id, count(DISTINCT doc_id) AS n_docs FROM found JOIN tf USING (term) GROUP BY ALL""")
+QUERIES["phrase_slop_long"] = Query(phrase_slop_long, f"""
+WITH {CORPUS_SQL}, {ITEMS_SQL},
+near AS (SELECT words[i] AS w1, words[i + 1] AS w2, words[i + 2] AS w3 FROM (SELECT words, unnest(range(1, len(words) - 1)) AS i FROM items)),
+triples AS (SELECT w1, w2, w3 FROM near UNION SELECT w1, w2, w1 FROM near),
+two AS MATERIALIZED (
+  SELECT w.w1, w.w2, a.doc_id, a.p AS p1, b.p AS p2 FROM (SELECT DISTINCT w1, w2 FROM triples) w
+  JOIN pos a ON a.term = w.w1 JOIN pos b ON b.term = w.w2 AND b.doc_id = a.doc_id AND abs(b.p - 1 - a.p) <= 1 AND a.p <> b.p)
+SELECT DISTINCT w1 || ' ' || w2 || ' ' || w3 AS query_id, two.doc_id
+FROM two JOIN triples USING (w1, w2) JOIN pos c ON c.term = w3 AND c.doc_id = two.doc_id AND c.p <> p1 AND c.p <> p2
+  AND greatest(p1, p2 - 1, c.p - 2) - least(p1, p2 - 1, c.p - 2) <= 1""")
+
+
 # --- ranked search over a stored index --------------------------------------------
 
 def stored_index(spark, tokens) -> TokenIndex:
