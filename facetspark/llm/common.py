@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -48,18 +49,30 @@ def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*(column.to_pylist() for column in batch.columns))
 
 
+def give_back() -> None:
+    """Hands what this worker has freed back to the system: Spark keeps workers for later stages, of other shapes."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library's
+    if trim:
+        trim(0)
+
+
+def in_task(fn, source, ddl: str) -> Iterator[pa.RecordBatch]:
+    """The batches of one task; memory of the task before it, and its own, goes back."""
+    give_back()
+    yield from batches_of(fn(source), ddl)
+    give_back()
+
+
 def map_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterable[tuple]], ddl: str) -> DataFrame:
     """``fn`` over the rows of each partition, as a stream of Arrow batches both ways."""
 
-    def run(batches):
-        return batches_of(fn(rows_of(batches)), ddl)
-
-    return df.mapInArrow(run, ddl)
+    return df.mapInArrow(lambda batches: in_task(fn, rows_of(batches), ddl), ddl)
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[tuple]], ddl: str) -> DataFrame:
     """As ``map_rows``, for functions that look at whole batches."""
-    return df.mapInArrow(lambda batches: batches_of(fn(batches), ddl), ddl)
+    return df.mapInArrow(lambda batches: in_task(fn, batches, ddl), ddl)
 
 
 def utf8(text: str | None) -> bytes:
