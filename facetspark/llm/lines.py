@@ -4,7 +4,9 @@ A line is the set of its words. Words are ordered by rarity, by the number of li
 the whole corpus in a table of fixed size (words that share a counter share their rank; any common order is exact).
 Two sets of a given similarity share a word among the first few of each in that order, so only those words are
 posted. Postings of one word meet in one bucket, where length, position and a bitmap of the sets bound the
-overlap; what is left is verified on the words themselves. Lines that match an earlier line are removed.
+overlap. Sets that this leaves together form groups there, named by their least member. A set's words are then sent
+once to each of its groups, where pairs are verified on the words; a pair is counted in the first group it shares.
+What leaves a task is a row a set, never its pairs. Lines that match an earlier line are removed.
 """
 
 from __future__ import annotations
@@ -17,8 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetspark.llm.common import arrow_schema, batches_of, block_count, map_batches, map_rows, stored, summed, utf8
-from facetspark.llm.minhash import perhaps_in, with_both
+from facetspark.llm.common import arrow_schema, batches_of, block_count, give_back, map_batches, map_rows, stored, summed, utf8
+from facetspark.llm.minhash import perhaps_in
 
 #: Jaccard similarity of two lines' words from which they match, in percent.
 SIMILAR = 80
@@ -32,6 +34,9 @@ POSTINGS = 400_000
 PAIRS = 1 << 19
 #: A word in more lines is dealt to a grid of buckets, in each of which two parts of its postings meet.
 HOT_LINES = 50_000
+#: Bytes of words from which a group is split into parts, each two of which meet in a cell.
+GROUP_BYTES = 1 << 20
+#: Sets a task remembers to have posted.
 KNOWN = 500_000
 NO_DOC = 2**63 - 1
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -44,45 +49,71 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class LineSets:
-    """The lines of some texts as sets of word hashes: ``word`` by ``line``, sorted and distinct."""
+    """The lines of some texts as sets of words: ``code`` by ``line``, sorted and distinct; ``hashes`` by code."""
 
-    def __init__(self, texts: pa.Array, hashes: dict[str, int]):
+    def __init__(self, texts: pa.Array):
         split = pc.split_pattern(pc.fill_null(texts, ""), "\n")
         self.lines_of = np.diff(split.offsets.to_numpy())
         words = pc.ascii_split_whitespace(split.flatten())
         self.n_lines = len(words)
         coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
         code = coded.indices.to_numpy().astype(np.int64)
         line = np.repeat(np.arange(self.n_lines), np.diff(words.offsets.to_numpy()))
-        filled = np.array([w != "" for w in distinct], bool)
-        full = filled[code] if len(code) else np.zeros(0, bool)
-        pairs = np.unique((line[full] << 32) | code[full])
-        self.line, code = pairs >> 32, pairs & 0xFFFFFFFF
-        self.word = word_hashes(distinct, hashes)[code] if len(code) else np.zeros(0, np.uint64)
+        filled = pc.greater(pc.binary_length(coded.dictionary), 0).to_numpy(zero_copy_only=False)
+        full = filled[code]
+        pairs = sorted_distinct((line[full] << 32) | code[full])
+        self.line, self.code = pairs >> 32, pairs & 0xFFFFFFFF
+        self.hashes = word_hashes(coded.dictionary)
         self.size = np.bincount(self.line, minlength=self.n_lines)
 
+    @property
+    def word(self) -> np.ndarray:
+        return self.hashes[self.code]
+
     def digests(self) -> tuple[np.ndarray, np.ndarray]:
         """Two independent sums over each line's words: equal sets have equal digests."""
-        first = np.flatnonzero(np.append(True, self.line[1:] != self.line[:-1])) if len(self.line) else []
+        first = np.flatnonzero(new_value(self.line))
         out = []
         for k in (1, 2):
             total = np.zeros(self.n_lines, np.uint64)
             if len(first):
-                total[self.line[first]] = np.add.reduceat(mix(self.word + np.uint64(k)), first)
+                total[self.line[first]] = np.add.reduceat(mix(self.hashes + np.uint64(k))[self.code], first)
             out.append(mix(total))
         return out[0], out[1]
 
+    def bitmaps(self) -> np.ndarray:
+        """128 bits a line, one for each word."""
+        bits = np.zeros((self.n_lines, 2), np.uint64)
+        place = (mix(self.hashes) & np.uint64(127)).astype(np.int64)[self.code]
+        np.bitwise_or.at(bits, (self.line, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+        return bits
+
+
+def new_value(*columns: np.ndarray) -> np.ndarray:
+    """Where a row of sorted columns differs from the row before it."""
+    if not len(columns[0]):
+        return np.zeros(0, bool)
+    return np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns]))
+
 
-def word_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
-    import xxhash
+def sorted_distinct(values: np.ndarray) -> np.ndarray:
+    """As ``np.unique``, which hashes where sorting is many times faster."""
+    values = np.sort(values)
+    return values[new_value(values)]
 
-    if len(known) > KNOWN:
-        known.clear()
-    for word in words:
-        if word not in known:
-            known[word] = xxhash.xxh3_64_intdigest(word)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64 bits a word: the mixed sum of a value for each byte at its place."""
+    words = words.cast(pa.large_binary())
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1]
+    starts, ends = ends[:-1], ends[1:]
+    if not len(starts) or starts[0] == ends[-1]:
+        return mix((ends - starts).astype(np.uint64))
+    data = np.frombuffer(words.buffers()[2], np.uint8)[starts[0]:ends[-1]]
+    place = np.arange(len(data)) - np.repeat(starts - starts[0], ends - starts)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(mix((place.astype(np.uint64) << np.uint64(8)) + data + np.uint64(1)), out=total[1:])
+    return mix(total[ends - starts[0]] - total[starts - starts[0]] + (ends - starts).astype(np.uint64))
 
 
 def slices(batches):
@@ -124,22 +155,22 @@ def least_partner(size):
 
 def postings(sets: LineSets, counts: np.ndarray, wanted: np.ndarray, digest: np.ndarray) -> dict[str, np.ndarray]:
     """The first words of the ``wanted`` lines in order of rarity; words that no other line has are left out."""
+    count = counts[counter_of(sets.hashes)]
+    by_rank = np.lexsort((sets.hashes, count))
+    rank = np.empty(len(by_rank), np.int64)
+    rank[by_rank] = np.arange(len(by_rank))
     chosen = wanted[sets.line]
-    line, word = sets.line[chosen], sets.word[chosen]
-    count = counts[counter_of(word)]
-    order = np.lexsort((word, count, line))
-    line, word, count = line[order], word[order], count[order]
-    bits = np.zeros((sets.n_lines, 2), np.uint64)
-    place = (mix(word) & np.uint64(127)).astype(np.int64)
-    np.bitwise_or.at(bits, (line, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
-    first = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.zeros(0, np.int64)
+    key = np.sort((sets.line[chosen] << 32) | rank[sets.code[chosen]])
+    line, code = key >> 32, by_rank[key & 0xFFFFFFFF]
+    first = np.flatnonzero(new_value(line))
     size = np.diff(np.append(first, len(line)))
     at = np.arange(len(line)) - np.repeat(first, size)
     size = np.repeat(size, size)
+    count = count[code]
     keep = np.flatnonzero((at < prefix_length(size)) & (count > 1))
     out = {
-        "word": word[keep], "cls": digest[line[keep]], "size": size[keep].astype(np.uint32),
-        "at": at[keep].astype(np.uint32), "bits": bits[line[keep]],
+        "word": sets.hashes[code[keep]], "cls": digest[line[keep]], "size": size[keep].astype(np.uint32),
+        "at": at[keep].astype(np.uint32), "bits": sets.bitmaps()[line[keep]],
     }
     return deal_hot(out, count[keep])
 
@@ -183,14 +214,8 @@ def unpacked(payloads: list[bytes]) -> dict[str, np.ndarray]:
     return {k: np.concatenate(v) for k, v in out.items()}
 
 
-def candidates(found: dict[str, np.ndarray]):
-    """Pairs of classes that share a posted word and that length, position and bitmap let be similar, in parts."""
-    size, at = found["size"].astype(np.int64), found["at"].astype(np.int64)
-    order = np.lexsort((found["cls"], size, found["word"]))
-    word, cls, bits, size, at = found["word"][order], found["cls"][order], found["bits"][order], size[order], at[order]
-    new = np.append(True, (word[1:] != word[:-1]) | (cls[1:] != cls[:-1])) if len(word) else np.zeros(0, bool)
-    word, cls, bits, size, at = word[new], cls[new], bits[new], size[new], at[new]
-    rank = np.cumsum(np.append(False, word[1:] != word[:-1])) if len(word) else np.zeros(0, np.int64)
+def windows(rank: np.ndarray, size: np.ndarray):
+    """Pairs of rows with one ``rank`` whose sizes let them be similar, in parts. Rows are sorted by both."""
     key = (rank.astype(np.int64) << 32) | size
     low = np.searchsorted(key, (rank.astype(np.int64) << 32) | least_partner(size))
     todo = np.maximum(np.arange(len(key)) - low, 0)
@@ -200,14 +225,49 @@ def candidates(found: dict[str, np.ndarray]):
         before = int(ends[start - 1]) if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, before + PAIRS, "right")))
         own = np.repeat(np.arange(start, stop), todo[start:stop])
-        other = np.arange(len(own)) - np.repeat(ends[start:stop] - todo[start:stop] - before, todo[start:stop]) + low[own]
+        yield own, np.arange(len(own)) - np.repeat(ends[start:stop] - todo[start:stop] - before, todo[start:stop]) + low[own]
+        start = stop
+
+
+def enough_bits(size: np.ndarray, bits: np.ndarray, own: np.ndarray, other: np.ndarray, need: np.ndarray) -> np.ndarray:
+    differ = np.bitwise_count(bits[own] ^ bits[other]).sum(1, dtype=np.int64)
+    return size[own] + size[other] - differ >= 2 * need
+
+
+def candidate_groups(found: dict[str, np.ndarray]) -> np.ndarray:
+    """Distinct rows ``(class, group)`` of the postings of some words.
+
+    Classes that share a posted word are linked where length, position and bitmap let them be similar; a group is
+    what such links connect at one word, named by its least class. No other classes than these can be similar.
+    """
+    size, at = found["size"].astype(np.int64), found["at"].astype(np.int64)
+    order = np.lexsort((found["cls"], size, found["word"]))
+    order = order[new_value(found["word"][order], found["cls"][order])]
+    word, cls, bits, size, at = found["word"][order], found["cls"][order].view(np.int64), found["bits"][order], size[order], at[order]
+    group = np.arange(len(order))
+    for own, other in windows(np.cumsum(new_value(word)), size):
         need = overlap_needed(size[own], size[other])
         most = 1 + np.minimum(at[own], at[other]) + np.minimum(size[own] - at[own], size[other] - at[other]) - 1
-        differ = np.bitwise_count(bits[own] ^ bits[other]).sum(1, dtype=np.int64)
-        hit = (most >= need) & (size[own] + size[other] - differ >= 2 * need)
-        a, b = cls[own[hit]].view(np.int64), cls[other[hit]].view(np.int64)
-        yield np.minimum(a, b), np.maximum(a, b)
-        start = stop
+        own, other, need = (v[most >= need] for v in (own, other, need))
+        hit = enough_bits(size, bits, own, other, need)
+        join_groups(group, own[hit], other[hit])
+    several = np.flatnonzero(np.bincount(group, minlength=len(group))[group] > 1)
+    name = np.full(len(group), NO_DOC)
+    np.minimum.at(name, group[several], cls[several])
+    rows = np.stack([cls[several], name[group[several]]], 1)
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    return rows[new_value(rows[:, 0], rows[:, 1])]
+
+
+def join_groups(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Puts the groups of ``a`` and ``b`` together; ``group`` names the least row of each row's group."""
+    while len(a):
+        x, y = group[a], group[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(group, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := group[group], group):
+            group[:] = up
 
 
 LINE_DDL = "doc_id long, text_hash long, line_no int, cls long, digest long, counts binary"
@@ -224,34 +284,36 @@ def line_classes(docs: DataFrame) -> DataFrame:
     Each task adds a row with nothing but its counts of lines by word counter.
     """
 
+    schema = arrow_schema(LINE_DDL)
+
     def run(batches):
-        known, total = {}, np.zeros(COUNTERS, np.int64)
+        give_back()
+        total = np.zeros(COUNTERS, np.int64)
         for part in slices(batches):
-            sets = LineSets(part.column(1), known)
+            sets = LineSets(part.column(1))
             total += np.bincount(counter_of(sets.word), minlength=COUNTERS)
             one, two = sets.digests()
-            doc_ids, hashes = part.column(0).to_pylist(), part.column(2).to_pylist()
-            doc = np.repeat(np.arange(len(doc_ids)), sets.lines_of)
             number = np.arange(sets.n_lines) - np.repeat(np.cumsum(sets.lines_of) - sets.lines_of, sets.lines_of)
             full = np.flatnonzero(sets.size)
-            own = doc[full].tolist()
-            yield from zip(
-                [doc_ids[k] for k in own], [hashes[k] for k in own], number[full].tolist(),
-                one[full].view(np.int64).tolist(), two[full].view(np.int64).tolist(), [None] * len(full),
-            )
+            own = pa.array(np.repeat(np.arange(part.num_rows), sets.lines_of)[full])
+            yield pa.RecordBatch.from_arrays([
+                part.column(0).take(own).cast(pa.int64()), part.column(2).take(own), pa.array(number[full].astype(np.int32)),
+                pa.array(one[full].view(np.int64)), pa.array(two[full].view(np.int64)), pa.nulls(len(full), pa.binary()),
+            ], schema=schema)
         if total.any():
-            yield None, None, None, None, None, zlib.compress(total.astype("<i8").tobytes(), 1)
+            yield from batches_of([(None,) * 5 + (zlib.compress(total.astype("<i8").tobytes(), 1),)], LINE_DDL)
+        give_back()
 
-    return map_batches(docs.select("doc_id", "text", text_hash()), run, LINE_DDL)
+    return docs.select("doc_id", "text", text_hash()).mapInArrow(run, LINE_DDL)
 
 
-def likely_pairs(docs: DataFrame, counts: np.ndarray, buckets: int) -> DataFrame:
-    """Distinct pairs ``a, b`` of classes that may be similar."""
+def likely_groups(docs: DataFrame, counts: np.ndarray, buckets: int) -> DataFrame:
+    """Distinct rows ``node, hub``: classes that may be similar have a hub in common."""
     ddl = "bucket int, payload binary"
     table = docs.sparkSession.sparkContext.broadcast(counts)  # COUNTERS numbers
 
     def post(batches):
-        known, seen, held, n = {}, set(), [], 0
+        seen, held, n = set(), [], 0
 
         def flush():
             found = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
@@ -262,7 +324,7 @@ def likely_pairs(docs: DataFrame, counts: np.ndarray, buckets: int) -> DataFrame
                     yield int(bucket[part[0]]), packed(found, part)
 
         for part in slices(batches):
-            sets = LineSets(part.column(1), known)
+            sets = LineSets(part.column(1))
             digest, _ = sets.digests()
             wanted = np.zeros(sets.n_lines, bool)
             for k in np.flatnonzero(sets.size).tolist():  # a set is posted once
@@ -280,58 +342,106 @@ def likely_pairs(docs: DataFrame, counts: np.ndarray, buckets: int) -> DataFrame
         if held:
             yield from flush()
 
-    schema = arrow_schema("a long, b long")
+    schema = arrow_schema("node long,hub long")
 
     def meet(group):
-        found = unpacked(group.column("payload").to_pylist())
-        batches = []
-        for a, b in candidates(found):
-            pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0)  # a pair may share several words
-            batches.append(pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema))
-        return pa.Table.from_batches(batches, schema=schema)
+        rows = candidate_groups(unpacked(group.column("payload").to_pylist()))
+        return pa.table([pa.array(rows[:, 0]), pa.array(rows[:, 1])], schema=schema)
 
     posted = map_batches(docs.select("doc_id", "text"), post, ddl)
-    return posted.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+    return posted.groupBy("bucket").applyInArrow(meet, "node long, hub long").distinct()
+
+
+WORDS_DDL = "node long,doc long,line int,n_bytes long,words string"
 
 
 def line_words(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``node, words`` of ``classes (node, doc_id, text_hash, line_no, digest)``: the distinct words of a class's line."""
+    """``node, doc, line, n_bytes, words`` of ``classes (node, doc_id, text_hash, line_no, digest)``.
+
+    ``words`` are the distinct words of the class's first line, ``doc`` and ``line`` are its place.
+    """
     wanted = classes.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("node", "line_no", "digest")).alias("lines"))
     some = perhaps_in(docs.select("doc_id", "text", text_hash().alias("text_hash")), "text_hash", classes)
     same = some["doc_id"].eqNullSafe(wanted["doc_id"]) & (some["text_hash"] == wanted["text_hash"])
-    found = some.join(wanted, same).select("text", "lines")
+    found = some.join(wanted, same).select(F.coalesce(some["doc_id"], F.lit(NO_DOC)).alias("doc"), "text", "lines")
 
     def run(rows):
-        for text, lines in rows:
+        for doc, text, lines in rows:
             own = utf8(text).split(b"\n")
             for line in lines:
                 words = set(own[line["line_no"]].split()) if line["line_no"] < len(own) else set()
                 # texts may have equal hashes; the digest tells whose line it is
                 if words and digest_of(words) == (line["node"], line["digest"]):
-                    yield line["node"], b" ".join(words)
+                    joined = b" ".join(words)
+                    yield line["node"], doc, line["line_no"], len(joined), joined.decode()
 
-    return map_rows(found, run, "node long, words binary").dropDuplicates(["node"])
+    return map_rows(found, run, WORDS_DDL).dropDuplicates(["node"])
 
 
 def digest_of(words: set[bytes]) -> tuple[int, int]:
-    import xxhash
-
-    values = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    values = word_hashes(pa.array(list(words), pa.binary()))
     return tuple(int(mix(mix(values + np.uint64(k)).sum(keepdims=True)).view(np.int64)[0]) for k in (1, 2))
 
 
-def confirmed(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    def run(rows):
-        last, left = None, set()
-        for a, b, x, y in rows:
-            if a != last:
-                last, left = a, set(x.split())
-            right = set(y.split())
-            both = len(left & right)
-            if 100 * both >= SIMILAR * (len(left) + len(right) - both):
-                yield a, b
+LINKS_DDL = "node long,n_links long,doc long,line int"
 
-    return map_rows(with_both(pairs, words).select("a", "b", "words_a", "words_b"), run, "a long, b long")
+
+def links_of(shared: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
+    """``node, n_links, partner`` of the classes with links: how many, and the least place of a linked class.
+
+    The parts of a large group meet two by two in cells; only pairs of different parts count in a cell of two.
+    """
+    size = shared.join(words.select("node", "n_bytes"), "node").groupBy("hub").agg(
+        F.ceil(F.sum("n_bytes") / GROUP_BYTES).cast("int").alias("parts")
+    )
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    placed = shared.join(size, "hub").select(
+        "node", "hub", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    )
+    cells = placed.groupBy("node").agg(
+        F.collect_list(F.struct("hub", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))).alias("cells")
+    )
+    hubs = F.array_distinct(F.transform("cells", lambda c: c["hub"]))
+    sent = words.join(cells, "node").select(
+        F.explode("cells").alias("cell"), hubs.alias("hubs"), "node", "doc", "line", "words"
+    ).select("cell.*", "hubs", "node", "doc", "line", "words")
+    bucket = F.pmod(F.xxhash64("hub", "low", "high"), F.lit(buckets)).alias("bucket")
+    found = sent.groupBy(bucket).applyInArrow(verified, LINKS_DDL)
+    return found.groupBy("node").agg(F.sum("n_links").alias("n_links"), F.min(F.struct("doc", "line")).alias("partner"))
+
+
+def verified(table: pa.Table) -> pa.Table:
+    """The links of the classes in some cells, a row a class and cell."""
+    table = table.combine_chunks()
+    sets = LineSets(pa.array(table.column("words").to_pylist(), pa.string()))
+    hub, low, high, part = (table.column(c).to_numpy() for c in ("hub", "low", "high", "part"))
+    order = np.lexsort((sets.size, high, low, hub))
+    rank = np.cumsum(new_value(hub[order], low[order], high[order]))
+    size, bits = sets.size[order].astype(np.int64), sets.bitmaps()[order]
+    part, both_parts, hub = part[order], (low != high)[order], hub[order].tolist()
+    codes = sets.code.tolist()
+    ends = np.cumsum(sets.size)
+    members = [set(codes[e - n:e]) for e, n in zip(ends[order].tolist(), size.tolist())]
+    hubs = [set(h) for h in table.column("hubs").take(pa.array(order)).to_pylist()]
+    place = list(zip(table.column("doc").to_numpy()[order].tolist(), table.column("line").to_numpy()[order].tolist()))
+    sizes, n_links, best = size.tolist(), [0] * len(order), [None] * len(order)
+    for own, other in windows(rank, size):
+        meet = ~both_parts[own] | (part[own] != part[other])
+        own, other = own[meet], other[meet]
+        likely = enough_bits(size, bits, own, other, overlap_needed(size[own], size[other]))
+        for a, b in zip(own[likely].tolist(), other[likely].tolist()):
+            both = len(members[a] & members[b])
+            if 100 * both < SIMILAR * (sizes[a] + sizes[b] - both) or min(hubs[a] & hubs[b]) != hub[a]:
+                continue  # a pair counts in the first group it shares
+            n_links[a] += 1
+            n_links[b] += 1
+            if best[a] is None or place[b] < best[a]:
+                best[a] = place[b]
+            if best[b] is None or place[a] < best[b]:
+                best[b] = place[a]
+    node = table.column("node").to_numpy()[order].tolist()
+    rows = ((node[k], n_links[k], *best[k]) for k in range(len(order)) if n_links[k])
+    return pa.Table.from_batches(list(batches_of(rows, LINKS_DDL)), schema=arrow_schema(LINKS_DDL))
 
 
 def matched_lines(docs: DataFrame) -> DataFrame:
@@ -358,17 +468,13 @@ def matched_lines(docs: DataFrame) -> DataFrame:
         ),
         "line-classes",
     )
-    pairs = stored(likely_pairs(docs, rarity(found), block_count(docs, BUCKET_BYTES)), "line-pairs")
-    both = pairs.unionAll(pairs.selectExpr("b AS a", "a AS b"))
-    ends = both.selectExpr("a AS node").distinct()
-    wanted = perhaps_in(classes, "node", ends).join(ends, "node", "left_semi")
+    buckets = block_count(docs, BUCKET_BYTES)
+    shared = stored(likely_groups(docs, rarity(found), buckets), "line-groups")
+    ends = shared.select("node").distinct()
+    wanted = perhaps_in(classes, "node", shared).join(ends, "node", "left_semi")
     wanted = wanted.select("node", "doc_id", "text_hash", F.col("first.line").alias("line_no"), "digest")
-    links = stored(confirmed(pairs, stored(line_words(docs, stored(wanted, "wanted-lines")), "line-words")), "line-links")
-    both = links.unionAll(links.selectExpr("b AS a", "a AS b"))
-    firsts = perhaps_in(classes.select("node", "first"), "node", both.selectExpr("b AS node"))
-    partners = both.join(firsts.withColumnRenamed("node", "b"), "b").groupBy("a").agg(
-        F.min("first").alias("partner"), F.count(F.lit(1)).alias("n_links")
-    )
+    words = stored(line_words(docs, stored(wanted, "wanted-lines")), "line-words")
+    partners = stored(links_of(shared, words, buckets), "line-links").withColumnRenamed("node", "a")
     facts = classes.join(partners.withColumnRenamed("a", "node"), "node", "left").select(
         F.col("node").alias("cls"), "digest", "first", F.least("first", "partner").alias("least"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("doc_id").alias("class_doc"),

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -446,9 +447,36 @@ def test_lines_agree_with_all_pairs(spark, odd, empty, monkeypatch):
     assert set(map(tuple, lines.line_report(odd).collect())) == plain_lines(odd_rows())
     assert lines.line_report(empty).count() == 0
     monkeypatch.setattr(lines, "HOT_LINES", 3)  # every word is dealt to a grid
+    monkeypatch.setattr(lines, "GROUP_BYTES", 100)  # and every group to cells
     assert set(map(tuple, lines.line_report(documents(spark, rows)).collect())) == plain_lines(rows)
 
 
+def test_groups_of_line_sets_hold_all_similar_pairs():
+    draw = random.Random(23)
+    rows = line_rows(draw)
+    sets = lines.LineSets(pa.array([t for _, t in rows]))
+    counts = np.bincount(lines.counter_of(sets.word), minlength=lines.COUNTERS)
+    digest, _ = sets.digests()
+    shared = {}
+    for node, hub in lines.candidate_groups(lines.postings(sets, counts, sets.size > 0, digest)).tolist():
+        shared.setdefault(node, set()).add(hub)
+    members = {}
+    for line, code in zip(sets.line.tolist(), sets.code.tolist()):
+        members.setdefault(int(digest[line:line + 1].view(np.int64)[0]), set()).add(code)
+    nodes = sorted(members)
+    similar = [(a, b) for a in nodes for b in nodes if a < b and 100 * len(members[a] & members[b]) >= 80 * len(members[a] | members[b])]
+    assert similar and all(shared[a] & shared[b] for a, b in similar)
+
+
+def test_word_hashes_tell_words_apart():
+    words = ["", "a", "b", "ab", "ba", "aa", "aaa", "\u00e9", "e", "x" * 5000, "x" * 4999]
+    hashes = lines.word_hashes(pa.array(words))
+    assert len(set(hashes.tolist())) == len(words)
+    assert lines.word_hashes(pa.array(words[3:])).tolist() == hashes[3:].tolist()
+    assert lines.word_hashes(pa.array(words).slice(3)).tolist() == hashes[3:].tolist()
+    assert len(lines.word_hashes(pa.array([], pa.string()))) == 0
+
+
 def test_lines_are_cut_from_texts(spark):
     rows = [(1, "one two three\nfour"), (2, "four\nfive six\n\nthree two one"), (3, None), (4, "")]
     got = {r.doc_id: r.text for r in lines.drop_lines(documents(spark, rows)).collect()}
