@@ -81,10 +81,10 @@ class LineSets:
             out.append(mix(total))
         return out[0], out[1]
 
-    def bitmaps(self) -> np.ndarray:
-        """128 bits a line, one for each word."""
-        bits = np.zeros((self.n_lines, 2), np.uint64)
-        place = (mix(self.hashes) & np.uint64(127)).astype(np.int64)[self.code]
+    def bitmaps(self, words: int = 2) -> np.ndarray:
+        """64 bits times ``words`` (a power of two) a line, one set for each word."""
+        bits = np.zeros((self.n_lines, words), np.uint64)
+        place = (mix(self.hashes) & np.uint64(64 * words - 1)).astype(np.int64)[self.code]
         np.bitwise_or.at(bits, (self.line, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
         return bits
 
@@ -417,7 +417,7 @@ def verified(table: pa.Table) -> pa.Table:
     hub, low, high, part = (table.column(c).to_numpy() for c in ("hub", "low", "high", "part"))
     order = np.lexsort((sets.size, high, low, hub))
     rank = np.cumsum(new_value(hub[order], low[order], high[order]))
-    size, bits = sets.size[order].astype(np.int64), sets.bitmaps()[order]
+    size, bits = sets.size[order].astype(np.int64), sets.bitmaps(8)[order]
     part, both_parts, hub = part[order], (low != high)[order], hub[order].tolist()
     codes = sets.code.tolist()
     ends = np.cumsum(sets.size)
@@ -430,9 +430,11 @@ def verified(table: pa.Table) -> pa.Table:
         own, other = own[meet], other[meet]
         likely = enough_bits(size, bits, own, other, overlap_needed(size[own], size[other]))
         for a, b in zip(own[likely].tolist(), other[likely].tolist()):
-            both = len(members[a] & members[b])
-            if 100 * both < SIMILAR * (sizes[a] + sizes[b] - both) or min(hubs[a] & hubs[b]) != hub[a]:
+            if min(hubs[a] & hubs[b]) != hub[a]:
                 continue  # a pair counts in the first group it shares
+            both = len(members[a] & members[b])
+            if 100 * both < SIMILAR * (sizes[a] + sizes[b] - both):
+                continue
             n_links[a] += 1
             n_links[b] += 1
             if best[a] is None or place[b] < best[a]:
