@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetspark.functions.text import deletion_variants, glob_regex_column
-from facetspark.operators.postings import asked_tokens, in_scope, run_lengths, term_frequencies
-from facetspark.scale import cut_lineage, measure_request
+from facetspark.operators.in_task import asked_postings, collect_weights, pattern_counts, phrase_places, scored_documents
+from facetspark.operators.postings import asked_tokens, in_scope, run_lengths, term_frequencies, vocabulary
+from facetspark.scale import cut_lineage, literal_codes, measure_request
 
 
 def word_matches(tokens: DataFrame, queries: DataFrame) -> DataFrame:
@@ -23,11 +25,23 @@ def word_matches(tokens: DataFrame, queries: DataFrame) -> DataFrame:
 def match_all_clauses(tokens: DataFrame, queries: DataFrame) -> DataFrame:
     """``(query_id, doc_id)`` of documents matching every clause of the query in some field.
 
-    A clause without terms is neutral: only clauses present in ``queries`` are required. The clauses
-    met are bits of a few numbers per query and document, which map tasks already combine. For
+    A clause without terms is neutral: only clauses present in ``queries`` are required. For a
+    request of bounded size the clauses met are counted in the task that holds the document; else
+    they are bits of a few numbers per query and document, which map tasks already combine. For
     words of a corpus with one text per document, :func:`match_all_words` does without a shuffle.
     """
     request = measure_request(queries, "term")
+    if request.values is not None and request.bounded:
+        postings = asked_postings(tokens, request.values)
+        scopes = F.broadcast(cut_lineage(postings.select("field", "lang").distinct()))
+        coded = queries.where("clause is not null").join(F.broadcast(literal_codes(tokens.sparkSession, request.values)), "term")
+        lookup = in_scope(coded.crossJoin(scopes)).select(
+            "query_id", "clause", "field", "lang", "code", F.lit(1.0).alias("weight"), F.lit(True).alias("needed"), F.lit(1.0).alias("avg_length")
+        )
+        clauses = queries.where("clause is not null").select("query_id", "clause", F.lit(True).alias("required")).distinct()
+        n_terms = max(len(request.values), 1)
+        together = postings.where(F.size("codes") > 0).repartition("doc_id").sortWithinPartitions("doc_id", "field", "lang")
+        return scored_documents(together, collect_weights(lookup, clauses, n_terms), n_terms, 0.0, 0.0).select("query_id", "doc_id")
     needed = queries.groupBy("query_id").agg(F.countDistinct("clause").alias("n_clauses"))
     numbered = queries.withColumn("_n", F.dense_rank().over(Window.partitionBy("query_id").orderBy("clause")) - 1)
     asked = numbered.join(request.hint(needed), "query_id").select(
@@ -141,6 +155,9 @@ def phrase_matches(tokens: DataFrame, phrases: DataFrame, doc_freq: DataFrame |
     lookup = located.join(anchors, ["query_id", "clause"])
     if doc_freq is not None:
         lookup = cut_lineage(lookup)
+    asked = measure_request(located.select(F.explode("words").alias("term")), "term")
+    if asked.values is not None and asked.bounded:
+        return _placed_phrases(tokens, lookup, asked.values)
     span = located.agg(F.max(F.size("words") + F.col("slop"))).first()[0] or 1
 
     request = measure_request(lookup, "anchor")
@@ -173,6 +190,21 @@ def phrase_matches(tokens: DataFrame, phrases: DataFrame, doc_freq: DataFrame |
     )
 
 
+def _placed_phrases(tokens: DataFrame, lookup: DataFrame, terms: list[str]) -> DataFrame:
+    """:func:`phrase_matches` for phrases few enough to be sent to every task: texts are compared where they are."""
+    found = lookup.where("slop is not null").toArrow()
+    names = [c for c in ("query_id", "clause", "fields", "langs") if c in found.column_names]
+    numbered = tokens.sparkSession.createDataFrame(
+        found.select(names).append_column("number", pa.array(range(len(found)), pa.int32())),
+        schema=lookup.select(*names, F.lit(0).alias("number")).schema,
+    )
+    hits = in_scope(phrase_places(tokens, found, terms).join(F.broadcast(numbered), "number"))
+    # rows of one document meet; one shuffle by query and document serves what follows, too
+    return hits.repartition("query_id", "doc_id").groupBy("query_id", "clause", "doc_id", "field", "lang", "length").agg(
+        F.sum("freq").alias("freq")
+    )
+
+
 def _pattern_keys(pattern: Column) -> Column:
     """Blocking key of a wildcard pattern: its literal start, end or longest inner trigram."""
     head = F.regexp_extract(pattern, r"^([^*?]*)", 1)
@@ -219,6 +251,21 @@ def expand_wildcards(vocab: DataFrame, patterns: DataFrame) -> DataFrame:
     )
 
 
+def count_wildcard_documents(tokens: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``(query_id, n_docs)``: how many documents have a word that a pattern expands to, for queries with any.
+
+    ``patterns(query_id, clause, pattern[, fields, langs])``; several patterns of a query are alternatives. Patterns few
+    enough to be sent to every task are expanded to the words of its own texts; pairs of a query and a document are
+    bits of one row a document. Else the vocabulary is expanded, and meets the texts in a join.
+    """
+    request = measure_request(patterns, "pattern")
+    if request.values is None or not request.bounded or {"fields", "langs"} & set(patterns.columns):
+        found = expand_wildcards(vocabulary(term_frequencies(tokens)), patterns)
+        return expanded_matches(tokens, found).groupBy("query_id").agg(F.countDistinct("doc_id").alias("n_docs"))
+    known = patterns.where("pattern is not null").select("query_id", F.lower("pattern").alias("pattern"))
+    return pattern_counts(tokens, known.toArrow(), known.schema["query_id"].dataType.simpleString())
+
+
 def expand_fuzzy(vocab: DataFrame, words: DataFrame, distance: int) -> DataFrame:
     """Vocabulary terms within ``distance`` edits of each word: word rows with ``term, edits``.
 
