@@ -10,9 +10,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from facetspark.operators.in_task import asked_postings, collect_weights, scored_documents
 from facetspark.operators.matching import all_words_hits, phrase_matches
 from facetspark.operators.postings import in_scope, request_statistics, term_frequencies
-from facetspark.scale import broadcast_if_bounded, measure_request, topk_per_group
+from facetspark.scale import broadcast_if_bounded, cut_lineage, literal_codes, measure_request, topk_per_group
 
 K1, B = 1.2, 0.75
 
@@ -122,6 +123,35 @@ def bm25_scores(tokens: DataFrame, queries: DataFrame, **options) -> DataFrame:
     return combine_clauses(clause_scores(tokens, queries, **options), queries)
 
 
+def bm25_best(
+    tokens: DataFrame, queries: DataFrame, k: int, digits: int | None = None, k1: float = K1, b: float = B
+) -> DataFrame:
+    """The rows of ``topk(bm25_scores(tokens, queries), k, digits)``.
+
+    For a request of bounded size documents are scored in the task that holds them, and only rows that may be among
+    the best ``k`` leave it. Texts are read once: the words asked for are written, counted and scored from there.
+    """
+    queries = with_defaults(queries)
+    request = measure_request(queries, "term")
+    if request.values is None or not request.bounded:
+        return topk(bm25_scores(tokens, queries, k1=k1, b=b), k, digits)
+    postings = asked_postings(tokens, request.values)
+    stats = cut_lineage(postings.groupBy("field", "lang").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length")))
+    counts = postings.select("field", "lang", F.explode("codes").alias("code")).groupBy("field", "lang", "code").agg(
+        F.count(F.lit(1)).alias("doc_freq")
+    )
+    coded = queries.join(F.broadcast(literal_codes(tokens.sparkSession, request.values)), "term")
+    lookup = in_scope(counts.join(F.broadcast(stats), ["field", "lang"]).join(F.broadcast(coded), "code")).select(
+        "query_id", "clause", "field", "lang", "code", (idf(F.col("n_docs"), F.col("doc_freq")) * F.col("boost")).alias("weight"),
+        F.col("required").alias("needed"), "avg_length",
+    )
+    clauses = queries.groupBy("query_id", "clause").agg(F.max("required").alias("required"))
+    n_terms = max(len(request.values), 1)
+    together = postings.where(F.size("codes") > 0).repartition("doc_id").sortWithinPartitions("doc_id", "field", "lang")
+    slack = 1e-9 if digits is None else 10.0 ** -digits
+    return topk(scored_documents(together, collect_weights(lookup, clauses, n_terms), n_terms, k1, b, k, slack), k, digits)
+
+
 def all_words_scores(
     tokens: DataFrame, queries: DataFrame, stats: DataFrame | None = None, vocab: DataFrame | None = None,
     k1: float = K1, b: float = B,

@@ -89,8 +89,7 @@ def phrase_slop(spark, d):
 
 def bm25_topk(spark, d):
     """Best documents for the whole benchmark texts, any word counting."""
-    scores = ranking.bm25_scores(corpus(spark, d), one_clause(items(spark, d)))
-    return ranking.topk(scores, 10, digits=6)
+    return ranking.bm25_best(corpus(spark, d), one_clause(items(spark, d)), 10, digits=6)
 
 
 def bm25_required(spark, d):
@@ -287,9 +286,7 @@ def inner_patterns(spark, d):
 
 def wildcard_inner(spark, d):
     """Documents that contain some word with a part asked for."""
-    tokens = corpus(spark, d)
-    found = matching.expand_wildcards(vocabulary(term_frequencies(tokens)), inner_patterns(spark, d))
-    return matching.expanded_matches(tokens, found).groupBy("query_id").agg(F.countDistinct("doc_id").alias("n_docs"))
+    return matching.count_wildcard_documents(corpus(spark, d), inner_patterns(spark, d))
 
 
 def word_triples(spark, d):
