@@ -97,7 +97,7 @@ def bm25_required(spark, d):
     queries = clauses(sentences(spark, d)).select(
         "*", F.lit(True).alias("required"), F.when(F.col("clause") == 0, 3.0).otherwise(1.0).alias("boost")
     )
-    return ranking.topk(ranking.bm25_scores(corpus(spark, d), queries), 10, digits=6)
+    return ranking.bm25_best(corpus(spark, d), queries, 10, digits=6)
 
 
 def all_words_topk(spark, d):
@@ -135,9 +135,7 @@ def wildcard_terms(spark, d):
 
 def wildcard_documents(spark, d):
     """Documents that contain some expansion of a pattern."""
-    tokens = corpus(spark, d)
-    vocab = vocabulary(term_frequencies(tokens))
-    return matching.expanded_matches(tokens, matching.expand_wildcards(vocab, patterns(spark, d))).groupBy("query_id").agg(F.countDistinct("doc_id").alias("n_docs"))
+    return matching.count_wildcard_documents(corpus(spark, d), patterns(spark, d))
 
 
 def text_filter(spark, d):
@@ -357,7 +355,7 @@ def word_clauses(spark, d):
 
 def bm25_two_fields(spark, d):
     """The better of two fields for each word."""
-    return ranking.topk(ranking.bm25_scores(title_and_text(spark, d), word_clauses(spark, d)), 10, digits=6)
+    return ranking.bm25_best(title_and_text(spark, d), word_clauses(spark, d), 10, digits=6)
 
 
 def bm25_two_fields_stored(spark, d):
