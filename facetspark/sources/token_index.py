@@ -2,7 +2,7 @@
 
 Below a path lie three Parquet tables. ``postings (doc_id, field, lang, term, tf, length)`` is bucketed by document
 and sorted by term inside a bucket: all postings of a document are in one task, so scores are summed without a
-shuffle, and row groups without an asked term are skipped. ``terms (field, lang, term, doc_freq, total_tf, peak)``
+shuffle, and row groups without an asked term are skipped. A row without a term stands for a text and its length. ``terms (field, lang, term, doc_freq, total_tf, peak)``
 has the largest saturated frequency of each term, which bounds its scores. ``stats (field, lang, n_docs, n_tokens,
 avg_length)`` is of the size of fields times languages.
 """
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetspark.operators.postings import field_stats, term_frequencies
+from facetspark.operators.postings import run_lengths
 from facetspark.operators.ranking import B, K1, saturated_tf
 
 #: Parquet row groups of postings; small ones are skipped more often.
@@ -42,10 +42,13 @@ def write_token_index(tokens: DataFrame, path: str, buckets: int, k1: float = K1
     """
     spark = tokens.sparkSession
     name = f"token_postings_{uuid.uuid4().hex}"
+    rows = tokens.select("doc_id", "field", "lang", F.size("tokens").alias("length"), F.concat(
+        F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(None).cast("int").alias("tf"))), run_lengths(F.col("tokens"))
+    ).alias("words"))
     columns = ["doc_id", "field", "lang", "term", F.col("tf").cast("int").alias("tf"), F.col("length").cast("int").alias("length")]
-    postings = term_frequencies(tokens).select(*columns)
-    field_stats(tokens).write.parquet(f"{path}/stats")
-    postings.repartition(buckets, "doc_id").write.bucketBy(buckets, "doc_id").sortBy("term").option(
+    # a document's words are dealt together, and become rows where they are written
+    postings = rows.repartition(buckets, "doc_id").select("doc_id", "field", "lang", "length", F.inline("words")).select(*columns)
+    postings.write.bucketBy(buckets, "doc_id").sortBy("term").option(
         "parquet.block.size", ROW_GROUP_BYTES
     ).option("path", f"{path}/postings").saveAsTable(name)
     spark.sql(f"DROP TABLE {name}")  # the files stay; only the name goes
@@ -54,7 +57,11 @@ def write_token_index(tokens: DataFrame, path: str, buckets: int, k1: float = K1
         F.lit(id_type).alias("id_type"), F.lit(buckets).alias("buckets"), F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b")
     )
     meta.coalesce(1).write.json(f"{path}/meta")
-    stored, stats = open_postings(spark, path, id_type, buckets), spark.read.parquet(f"{path}/stats")
+    stored = open_postings(spark, path, id_type, buckets)
+    stored.where("term is null").groupBy("field", "lang").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.sum("length").alias("n_tokens"), F.avg("length").alias("avg_length")
+    ).write.parquet(f"{path}/stats")
+    stats, stored = spark.read.parquet(f"{path}/stats"), stored.where("term is not null")
     peak = saturated_tf(F.col("tf"), F.col("length"), F.col("avg_length"), k1, b)
     terms = stored.join(F.broadcast(stats.select("field", "lang", "avg_length")), ["field", "lang"]).groupBy("field", "lang", "term").agg(
         F.count(F.lit(1)).alias("doc_freq"), F.sum("tf").alias("total_tf"), F.max(peak).alias("peak")
