@@ -169,10 +169,9 @@ def near_counts(counts: np.ndarray, length: np.ndarray, bucket: np.ndarray) -> I
             yield i[fits], j[fits]
 
 
-def first_common_group(counts: np.ndarray, group: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The first group whose letters two words have equally often: where the pair is looked at."""
-    same = np.stack([(counts[i][:, group == g] == counts[j][:, group == g]).all(1) for g in range(GROUPS)], 1)
-    return same.argmax(1)
+def first_common_group(hashes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The first group in whose bucket two words meet: where the pair is looked at."""
+    return (hashes[i] == hashes[j]).argmax(1)
 
 
 def one_edit(words: Words, codes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -205,13 +204,14 @@ def neighbours(words: list, n: list, bucket: list, own_group: list, side: list,
     order = np.lexsort((np.fromiter(map(len, words), np.int64, len(words)), bucket)).tolist()
     found = Words([words[k] for k in order])
     counts, codes = found.counts(), found.matrix()
+    hashes = bucket_hashes(counts, group)
     n, bucket, own, side = (np.asarray(c)[order] for c in (n, bucket, own_group, side))
     left, right = [], []
     for i, j in near_counts(counts, found.lengths, bucket):
         # in a cell off the diagonal of a grid, the pairs of one side are looked at elsewhere
         fits = (side[i] != side[j]) | (side[i] == 0)
         i, j = i[fits], j[fits]
-        fits = first_common_group(counts, group, i, j) == own[i]
+        fits = first_common_group(hashes, i, j) == own[i]
         i, j = i[fits], j[fits]
         fits = one_edit(found, codes, i, j)
         left += [i[fits], j[fits]]

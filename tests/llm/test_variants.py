@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +86,15 @@ def test_no_documents_no_words(spark):
 
     assert variants.spelling_variants(variants.word_counts(documents(spark, [(1, None), (2, "")]))).count() == 0
     assert variants.spelling_variants(variants.word_counts(documents(spark, []))).count() == 0
+
+
+def test_pairs_are_looked_at_where_their_hashes_meet():
+    words = ["abcdefgh", "abcdefgx", "abcdefghi", "bacdefgh"]
+    counts = variants.Words(words).counts()
+    group = variants.letter_groups(counts.sum(0))
+    hashes = variants.bucket_hashes(counts, group)
+    i, j = np.array([0, 0, 0]), np.array([1, 2, 3])
+    found = variants.first_common_group(hashes, i, j)
+    for a, b, g in zip(i, j, found):
+        same = [(counts[a][group == k] == counts[b][group == k]).all() for k in range(variants.GROUPS)]
+        assert g == same.index(True)
