@@ -31,7 +31,7 @@ BUCKET_BYTES = 4 << 20
 SLICE_BYTES = 4 << 20
 POSTINGS = 400_000
 #: Pairs looked at together.
-PAIRS = 1 << 19
+PAIRS = 1 << 16
 #: A word in more lines is dealt to a grid of buckets, in each of which two parts of its postings meet.
 HOT_LINES = 50_000
 #: Bytes of words from which a group is split into parts, each two of which meet in a cell.

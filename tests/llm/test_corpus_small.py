@@ -580,3 +580,25 @@ def test_a_long_word_is_one_pretoken():
 
 def test_words_are_runs_of_anything_but_ascii_space():
     assert words_of("a\u00a0b\x1c c\x0b\x0cd\u2003".encode()) == ["a\u00a0b\x1c".encode(), b"c", "d\u2003".encode()]
+
+
+def peak_mb(fn):
+    import tracemalloc
+
+    tracemalloc.start()
+    fn()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak / 1e6
+
+
+def test_verified_lines_take_little_memory():
+    rng = random.Random(5)
+    texts = [" ".join(rng.sample([f"w{k}" for k in range(400)], 10)) for _ in range(1500)]
+    zero = np.zeros(len(texts), np.int32)
+    table = pa.table({
+        "hub": pa.array(zero.astype("i8")), "part": zero, "low": zero, "high": zero, "hubs": [[0]] * len(texts),
+        "node": np.arange(len(texts)), "doc": np.arange(len(texts)), "line": zero, "words": texts,
+    })
+    lines.verified(table)
+    assert peak_mb(lambda: lines.verified(table)) < 60
