@@ -34,7 +34,8 @@ BLOCK = 128
 BLOCK_COLUMNS = ("node", "component", "signature", "shingles")
 #: Shingles whose signatures are made together.
 TOGETHER = 1 << 16
-KNOWN_WORDS = 500_000
+#: Words a task remembers the hashes of; a hash is made again in less time than a large table takes.
+KNOWN_WORDS = 1 << 16
 #: Texts that are fetched again are first picked by so many values of their id's hash; bounds what is broadcast.
 RESIDUES = 1 << 20
 

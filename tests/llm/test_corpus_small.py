@@ -602,3 +602,15 @@ def test_verified_lines_take_little_memory():
     })
     lines.verified(table)
     assert peak_mb(lambda: lines.verified(table)) < 60
+
+
+def test_shingler_remembers_few_words():
+    texts = [" ".join(f"word{k}" for k in range(a, a + 1000)) for a in range(0, 200_000, 1000)]
+    shingler = minhash.Shingler()
+
+    def run():
+        for text in texts:
+            assert len(shingler.hashes(text)) == 996
+
+    assert peak_mb(run) < 15
+    assert (shingler.hashes(texts[0]) == minhash.Shingler().hashes(texts[0])).all()
