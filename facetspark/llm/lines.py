@@ -28,7 +28,7 @@ SIMILAR = 80
 COUNTERS = 1 << 20
 #: Bytes of stored documents a bucket of postings stands for; texts and postings handled together.
 BUCKET_BYTES = 4 << 20
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 POSTINGS = 400_000
 #: Pairs looked at together.
 PAIRS = 1 << 16
@@ -476,7 +476,8 @@ def matched_lines(docs: DataFrame) -> DataFrame:
     wanted = perhaps_in(classes, "node", shared).join(ends, "node", "left_semi")
     wanted = wanted.select("node", "doc_id", "text_hash", F.col("first.line").alias("line_no"), "digest")
     words = stored(line_words(docs, stored(wanted, "wanted-lines")), "line-words")
-    partners = stored(links_of(shared, words, buckets), "line-links").withColumnRenamed("node", "a")
+    # groups carry words: more and smaller buckets than of postings
+    partners = stored(links_of(shared, words, 4 * buckets), "line-links").withColumnRenamed("node", "a")
     facts = classes.join(partners.withColumnRenamed("a", "node"), "node", "left").select(
         F.col("node").alias("cls"), "digest", "first", F.least("first", "partner").alias("least"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("doc_id").alias("class_doc"),
