@@ -15,7 +15,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetspark.llm.common import map_rows, stored, utf8, words_of
@@ -282,9 +282,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         sketch.where("node IS NOT NULL").groupBy("node")
         .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature")), "nodes"
     )
-    found = stored(map_rows(nodes.select("node", "signature"), buckets, "bucket long, node binary"), "buckets")
-    hubs = found.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = stored(found.join(hubs, "bucket"), "members")
+    # one shuffle of the bucket rows; a window spills, so a bucket of any size is passed through
+    found = map_rows(nodes.select("node", "signature"), buckets, "bucket long, node binary")
+    own = Window.partitionBy("bucket")
+    hubs = found.select("bucket", "node", F.min("node").over(own).alias("hub"), F.count(F.lit(1)).over(own).alias("n"))
+    members = stored(hubs.where("n > 1").select("bucket", "node", "hub"), "members")
 
     pairs = stored(hub_pairs(members, nodes), "likely-hub-pairs")
     links = stored(confirm(pairs, nodes, docs), "hub-links")
