@@ -149,6 +149,25 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both > 0 and 100 * both >= SIMILAR * (len(a) + len(b) - both)
 
 
+def low_bits(shingles: np.ndarray) -> bytes:
+    """32 bits of each hash of a sorted set, sorted too."""
+    return (shingles >> np.uint64(32)).astype("<u4").tobytes()
+
+
+def similar_on_low_bits(a: np.ndarray, b: np.ndarray, percent: int) -> bool | None:
+    """Whether two sets are similar by 32 bits of each element; None where it takes all 64 to tell.
+
+    The overlap found is never too small; where it exceeds what is needed by no more than chance might add, nothing
+    is sure.
+    """
+    place = np.searchsorted(b, a)
+    both = int((b[np.minimum(place, len(b) - 1)] == a).sum())
+    need = -(-percent * (len(a) + len(b)) // (100 + percent))
+    if both < need:
+        return False
+    return True if both >= need + 2 + 8 * len(a) * len(b) // 2**32 else None
+
+
 def perhaps_in(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """Rows of ``df`` whose key may be in ``wanted``; few others while ``wanted`` is small.
 
@@ -160,8 +179,11 @@ def perhaps_in(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return df.join(F.broadcast(few), residue == F.col("_residue"), "left_semi")
 
 
-def full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """``(node, shingles)`` of ``wanted (node)``: all shingle hashes of each, made again from a text that has them."""
+def full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, low: bool = False) -> DataFrame:
+    """``(node, shingles)`` of ``wanted (node)``: all shingle hashes of each, made again from a text that has them.
+
+    With ``low`` they are ``low_bits`` of all hashes.
+    """
     wanted = wanted.select("node").distinct()
     ids = stored(perhaps_in(nodes.select("node", "doc_id"), "node", wanted).join(wanted, "node"), "wanted-ids")
     some = perhaps_in(docs.select("doc_id", "text"), "doc_id", ids)
@@ -172,9 +194,9 @@ def full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame
 
         shingler = Shingler()
         for node, text in rows:
-            shingles = shingler.hashes(text).tobytes()
-            if xxhash.xxh3_128_digest(shingles) == node:
-                yield node, shingles
+            shingles = shingler.hashes(text)
+            if xxhash.xxh3_128_digest(shingles.tobytes()) == node:
+                yield node, low_bits(shingles) if low else shingles.tobytes()
 
     return stored(map_rows(found, own, "node binary, shingles binary").dropDuplicates(["node"]), "full-sets")
 

@@ -7,9 +7,10 @@ many parts as elements may differ there; a signature is a hash of the elements i
 taken that two similar sets agree on one subset at least: every link has a common signature.
 
 Equal sets are one node. The nodes that share a signature are a list; its least node is its hub. Hubs are confirmed
-against their members on the full sets first, and what is linked is contracted. Only lists that still have several
-components are looked at pair by pair, in blocks with parity sketches, whose differing bits never outnumber the
-differing elements. No pairs are made inside a component.
+against their members on the full sets first, and what is linked is contracted. Only the members of lists that still
+have several components are looked at pair by pair, once a hub and in blocks: first by parity sketches, whose differing
+bits never outnumber the differing elements, then those that some other sketch lets be similar on their full sets. Pairs
+stay in the task; a node at most, or a link that joins two components, leaves it.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from facetspark.llm.common import arrow_schema, batches_of, block_count, map_rows, stored, utf8
 from facetspark.llm.components import connected_components
-from facetspark.llm.minhash import Shingler, full_sets, perhaps_in, with_both
+from facetspark.llm.minhash import Shingler, full_sets, low_bits, perhaps_in, similar_on_low_bits, with_both
 
 #: Jaccard similarity from which sets are linked, in percent.
 SIMILAR = 80
@@ -45,8 +46,9 @@ BUCKET_BYTES = 8 << 20
 TOGETHER = 1 << 17
 #: Members that are compared with their hub in one go; a hub with more is sent several times.
 MEMBERS = 1024
-#: Nodes of a block in which lists are compared.
+#: Nodes of a block in which a hub's members are compared, and the elements of their sets.
 BLOCK = 256
+BLOCK_ELEMENTS = 1 << 19
 HASH_BYTES = 5
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -148,9 +150,9 @@ def signatures(sets: list[np.ndarray], layouts: list[Layout]) -> tuple[np.ndarra
 # --- parity sketches -------------------------------------------------------------
 
 
-def parity_sketch(elements: np.ndarray) -> bytes:
-    """One bit for each place of a hash table: whether an odd number of elements falls there."""
-    bits = min(MOST_BITS, max(64, 1 << int(SKETCH_BITS * len(elements) - 1).bit_length()))
+def parity_sketch(elements: np.ndarray, size: int | None = None) -> bytes:
+    """One bit for each place of a hash table, of ``size`` bytes if given: whether an odd number of elements falls there."""
+    bits = 8 * size if size else min(MOST_BITS, max(64, 1 << int(SKETCH_BITS * len(elements) - 1).bit_length()))
     counts = np.bincount((mix(elements) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -324,22 +326,19 @@ def signed_sets(docs: DataFrame) -> DataFrame:
 
 
 def compared(rows) -> Iterator[tuple]:
-    """``(key, hub, node, n, low)`` with a hub before its members, as ``(a, b, sure)`` for members that are similar.
+    """``(key, hub, node, low)`` with a hub before its members, as ``(a, b, sure)`` for members that are similar.
 
-    ``low`` has 32 bits of each element, so the overlap found is never too small; where it exceeds what is needed by
-    no more than chance might add, the pair is not sure.
+    ``low`` has 32 bits of each element; a pair that these leave open is not sure.
     """
     key = own = None
-    for at, is_hub, node, n, low in rows:
+    for at, is_hub, node, low in rows:
         low = np.frombuffer(low, "<u4")
         if is_hub:
-            key, own, n_own = at, low, n
+            key, own = at, low
         elif at == key:
-            place = np.searchsorted(own, low)
-            both = int((own[np.minimum(place, len(own) - 1)] == low).sum())
-            need = -(-SIMILAR * (n + n_own) // (100 + SIMILAR))
-            if both >= need:
-                yield key, node, both >= need + 2 + 8 * n * n_own // 2**32
+            found = similar_on_low_bits(low, own, SIMILAR)
+            if found is not False:
+                yield key, node, found is True
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -375,18 +374,18 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     roles = stored(hubs.unionAll(members), "roles")
     ids = perhaps_in(nodes.select("node", "doc_id"), "node", roles).join(roles.select("node").distinct(), "node")
 
-    def low_bits(rows):
+    def low_sets(rows):
         import xxhash
 
         shingler = Shingler()
         for _, text in rows:
             own = shingler.hashes(text)
-            yield xxhash.xxh3_128_digest(own.tobytes()), len(own), (own >> np.uint64(32)).astype("<u4").tobytes()
+            yield xxhash.xxh3_128_digest(own.tobytes()), low_bits(own)
 
-    sets = map_rows(perhaps_in(docs.select("doc_id", "text"), "doc_id", ids), low_bits, "node binary, n long, low binary")
+    sets = map_rows(perhaps_in(docs.select("doc_id", "text"), "doc_id", ids), low_sets, "node binary, low binary")
     placed = roles.join(sets, "node").repartition("key", "salt").sortWithinPartitions("key", "salt", F.desc("hub"))
     found = stored(
-        map_rows(placed.select("key", "hub", "node", "n", "low"), compared, "a binary, b binary, sure boolean").distinct(), "links"
+        map_rows(placed.select("key", "hub", "node", "low"), compared, "a binary, b binary, sure boolean").distinct(), "links"
     )
     return found.where("sure").select("a", "b").unionAll(confirmed_in_full(found.where("NOT sure").select("a", "b"), nodes, docs))
 
@@ -412,66 +411,118 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.where(kept).select("a", "b")
 
 
-MEMBER_COLUMNS = ("node", "component", "n", "sketch")
-
-
 def list_members(found: DataFrame, hubs: DataFrame) -> DataFrame:
-    """``list, node`` of the lists of ``hubs (hub)`` with three nodes or more; the list's number is a hash of its nodes."""
+    """``hub, list, node`` of the lists of ``hubs (hub)`` with two members or more; a list's number is a hash of its nodes.
+
+    The hub is left out: it was compared with each of its members.
+    """
 
     def run(rows):
         for hub, members, lists in rows:
             raw = np.frombuffer(zlib.decompress(lists), "<u4")
             at = 0
             while at < len(raw):
-                own = [hub, *(members[k] for k in raw[at + 1:at + 1 + raw[at]].tolist())]
+                own = [members[k] for k in raw[at + 1:at + 1 + raw[at]].tolist()]
                 at += 1 + int(raw[at])
                 name = zlib.crc32(b"".join(own)) << 31 ^ zlib.adler32(b"".join(own))
-                yield from ((name, node) for node in own)
+                yield from ((hub, name, node) for node in own)
 
     some = found.where("lists IS NOT NULL").join(hubs, "hub", "left_semi")
-    return map_rows(some.select("hub", "members", "lists"), run, "list long, node binary").distinct()
+    return map_rows(some.select("hub", "members", "lists"), run, "hub binary, list long, node binary").distinct()
 
 
-def cross_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame, closest: bool) -> DataFrame:
-    """Pairs of different components in one list that sizes and sketches let be similar.
+def mixed_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``hub, node, component`` of the members of lists with several components, once a hub."""
+    placed = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = placed.groupBy("hub", "list").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    return placed.join(mixed.select("hub", "list"), ["hub", "list"]).select("hub", "node", "component").distinct()
 
-    The nodes outside a list's largest component are compared with all of the list in blocks of BLOCK nodes. With
-    ``closest`` a node makes one pair with each other component of a block, that with the fewest differing bits.
+
+def paired_blocks(rest: DataFrame, facts: DataFrame, fact: str) -> DataFrame:
+    """Blocks of the nodes of ``rest (hub, node, component)`` with ``facts (node, n, <fact>)``, each two that may have links.
+
+    A row is a block of nodes outside the hub's largest component (columns ``…_l``) with itself or another block.
     """
-    placed = members.join(labels, "node", "left").select("list", "node", F.coalesce("component", "node").alias("component"))
-    counts = placed.groupBy("list", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = counts.groupBy("list").agg(
-        F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("parts")
-    ).where("parts > 1").drop("parts")
-    rest = stored(placed.join(mixed, "list"), "mixed-lists")
-    facts = perhaps_in(nodes.select("node", "n", "sketch"), "node", rest)
-    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("total") / BLOCK))
+    columns = ("node", "component", "n", fact)
+    placed = stored(rest.join(facts.select("node", "n"), "node"), "placed-members")
+    counts = placed.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("elements"))
+    sizes = counts.groupBy("hub").agg(
+        F.max_by("component", F.struct("k", "component")).alias("main"),
+        F.ceil(F.greatest(F.sum("k") / BLOCK, F.sum("elements") / BLOCK_ELEMENTS)).alias("salts"),
+        F.count(F.lit(1)).alias("parts"),
+    ).where("parts > 1")
+    is_main = (F.col("component") == F.col("main")).alias("main")
+    salt = F.pmod(F.xxhash64("node"), F.col("salts")).alias("salt")
+    dealt = placed.join(sizes, "hub").select("hub", is_main, salt, "node", "component", "n")
     blocks = stored(
-        rest.join(facts, "node").groupBy("list", (F.col("component") == F.col("main")).alias("main"), salt.alias("salt"))
-        .agg(*[F.collect_list(c).alias(c) for c in MEMBER_COLUMNS]), "blocks",
+        dealt.join(facts.select("node", fact), "node").groupBy("hub", "main", "salt").agg(*[F.collect_list(c).alias(c) for c in columns]),
+        "blocks",
     )
-    left = blocks.where("NOT main").select("list", *[F.col(c).alias(f"{c}_l") for c in ("salt", *MEMBER_COLUMNS)])
-    joined = left.join(blocks, "list").where("main OR salt_l <= salt")
-
-    def run(rows):
-        for nodes_l, parts_l, sizes_l, sketches_l, own, parts, sizes, sketches in rows:
-            width = min(map(len, (*sketches_l, *sketches)))
-            right = np.stack([folded(s, width) for s in sketches])
-            sizes = np.array(sizes)
-            code = {p: k for k, p in enumerate(dict.fromkeys((*parts, *parts_l)))}
-            part = np.array([code[p] for p in parts])
-            for node, own_part, n, sketch in zip(nodes_l, parts_l, sizes_l, sketches_l):
-                differ = np.bitwise_count(right ^ folded(sketch, width)).sum(1, dtype=np.int64)
-                fits = (part != code[own_part]) & (differ <= most_apart(sizes, n))
-                fits &= 100 * np.minimum(sizes, n) >= SIMILAR * np.maximum(sizes, n)
-                likely = np.flatnonzero(fits)
-                if closest and len(likely) > 1:
-                    likely = likely[np.argsort(differ[likely], kind="stable")]
-                    likely = likely[np.unique(part[likely], return_index=True)[1]]
-                yield from ((min(node, own[k]), max(node, own[k])) for k in likely.tolist())
-
-    columns = [*(f"{c}_l" for c in MEMBER_COLUMNS), *MEMBER_COLUMNS]
-    return stored(map_rows(joined.select(columns), run, "a binary, b binary").distinct(), "cross-pairs")
+    left = blocks.where("NOT main").select("hub", *[F.col(c).alias(f"{c}_l") for c in ("salt", *columns)])
+    joined = left.join(blocks, "hub").where("main OR salt_l <= salt")
+    return joined.select(*(f"{c}_l" for c in columns), *columns, (~F.col("main") & (F.col("salt_l") == F.col("salt"))).alias("same"))
+
+
+def sketch_stack(sketches: list[bytes], width: int) -> np.ndarray:
+    """Sketches of ``width`` bytes, a row a set, in words of 64 bits."""
+    return np.stack([folded(s, width) for s in sketches]).view(np.uint64)
+
+
+def perhaps_linked(rows) -> Iterator[tuple]:
+    """The nodes of paired blocks that sizes and sketches let be similar to one of another component."""
+    for nodes_l, parts_l, sizes_l, sketches_l, nodes, parts, sizes, sketches, _ in rows:
+        width = min(map(len, (*sketches_l, *sketches)))
+        left, right = sketch_stack(sketches_l, width), sketch_stack(sketches, width)
+        sizes = np.array(sizes)
+        code = {p: k for k, p in enumerate(dict.fromkeys((*parts, *parts_l)))}
+        part = np.array([code[p] for p in parts])
+        asked = np.zeros(len(nodes), bool)
+        for node, own_part, n, sketch in zip(nodes_l, parts_l, sizes_l, left):
+            fits = (part != code[own_part]) & (100 * np.minimum(sizes, n) >= SIMILAR * np.maximum(sizes, n))
+            near = np.flatnonzero(fits)
+            near = near[np.bitwise_count(right[near] ^ sketch).sum(1, dtype=np.int64) <= most_apart(sizes[near], n)]
+            if len(near):
+                asked[near] = True
+                yield (node,)
+        yield from ((nodes[k],) for k in np.flatnonzero(asked).tolist())
+
+
+def joining_links(rows) -> Iterator[tuple]:
+    """Links of paired blocks that join components, on full sets; what two nodes have linked is not linked again."""
+    for nodes_l, parts_l, sizes_l, sets_l, nodes, parts, sizes, sets, same in rows:
+        full_l, full = ([np.frombuffer(s, np.uint64) for s in side] for side in (sets_l, sets))
+        least = min(map(len, (*full_l, *full)))  # a byte an element, a power of two
+        width = min(MOST_BITS // 8, max(8, 1 << least.bit_length() - 1))
+        sketches_l, sketches = (sketch_stack([parity_sketch(s, width) for s in side], width) for side in (full_l, full))
+        sizes = np.array(sizes)
+        code = {p: k for k, p in enumerate(dict.fromkeys((*parts, *parts_l)))}
+        part, part_l = (np.array([code[p] for p in side]) for side in (parts, parts_l))
+        name = np.arange(len(code))  # of the component that each is part of by now
+        for i, (node, own, n) in enumerate(zip(nodes_l, full_l, sizes_l)):
+            fits = (name[part] != name[part_l[i]]) & (100 * np.minimum(sizes, n) >= SIMILAR * np.maximum(sizes, n))
+            if same:
+                fits[:i + 1] = False
+            near = np.flatnonzero(fits)
+            differ = np.bitwise_count(sketches[near] ^ sketches_l[i]).sum(1, dtype=np.int64)
+            fit = differ <= most_apart(sizes[near], n)
+            for k in near[fit][np.argsort(differ[fit], kind="stable")].tolist():
+                x, y = name[part_l[i]], name[part[k]]
+                if x != y and similar(own, full[k]):
+                    name[name == y] = x
+                    yield min(node, nodes[k]), max(node, nodes[k])
+
+
+def cross_links(members: DataFrame, nodes: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links that join the components of ``members (hub, list, node)``, as all similar pairs of each list would."""
+    rest = stored(mixed_members(members, labels), "mixed-members")
+    if rest.isEmpty():
+        return rest.selectExpr("node AS a", "node AS b")
+    sketches = stored(perhaps_in(nodes.select("node", "n", "sketch"), "node", rest), "member-sketches")
+    asked = stored(map_rows(paired_blocks(rest, sketches, "sketch"), perhaps_linked, "node binary").distinct(), "asked")
+    rest = rest.join(asked, "node", "left_semi")
+    facts = full_sets(asked, nodes, docs).withColumn("n", (F.octet_length("shingles") / 8).cast("long"))
+    links = map_rows(paired_blocks(rest, facts, "shingles"), joining_links, "a binary, b binary")
+    return stored(links.distinct(), "cross-links")
 
 
 def with_more(links: DataFrame, labels: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -515,11 +566,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     links, labels = with_more(links, labels, confirmed(more, nodes, docs))
     hubs = apart(more, labels).selectExpr("a AS hub").distinct()
     members = stored(list_members(found, hubs), "lists")
-    for closest in (True, False):  # what is left after the closest pairs is looked at in full
-        more = cross_pairs(members, nodes, labels, closest)
-        if more.isEmpty():
-            break
-        links, labels = with_more(links, labels, confirmed(more, nodes, docs))
+    links, labels = with_more(links, labels, cross_links(members, nodes, labels, docs))
 
     named = nodes.select("node", "doc_id").join(labels, "node", "left").select(
         "node", "doc_id", F.coalesce("component", "node").alias("component")

@@ -120,3 +120,39 @@ def test_join_of_odd_documents(spark):
     assert by_id[1] == {(0, 1)} and by_id[2] == {(0, 2)} and by_id[3] == {(0, 3)}
     assert {c for _, c in by_id[4] | by_id[5]} == {4} and by_id[12] == {(7996, 12)} and by_id[10] == by_id[11] == {(1, 10)}
     assert partenum.ngram_join(documents(spark, [])).count() == 0
+
+
+def test_near_misses_of_a_group_make_no_rows_of_pairs(spark, monkeypatch):
+    """A hundred texts of one common part, nearly similar: what leaves the tasks grows with the texts, not their pairs."""
+    draw = random.Random(5)
+    base = sentence(draw, 40)
+    rows = [(k, " ".join([base, *(f"own{draw.randrange(10**6)}" for _ in range(6))])) for k in range(100)]
+    made, plain = [], partenum.stored
+
+    def counted(df, name):
+        out = plain(df, name)
+        if name.startswith("cross"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(partenum, "stored", counted)
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in partenum.ngram_join(documents(spark, rows)).collect()}
+    assert got == plain_join(rows)
+    assert made and max(made) <= len(rows)
+
+
+def test_links_of_blocks_join_components():
+    """Links of two blocks: all that joins, none twice, and nothing inside a component."""
+    draw = np.random.default_rng(7)
+    base = np.sort(draw.integers(0, 2**63, 100, dtype=np.uint64))
+    sets = [np.sort(np.append(base[4:], draw.integers(0, 2**63, 4, dtype=np.uint64))) for _ in range(30)]
+    sets += [np.sort(np.append(base[40:], draw.integers(0, 2**63, 40, dtype=np.uint64))) for _ in range(30)]  # not similar
+    nodes = [bytes([k]) * 16 for k in range(60)]
+    for same in (False, True):
+        side = (nodes, nodes, [100] * 60, [s.tobytes() for s in sets])
+        found = list(partenum.joining_links([(*side, *side, same)]))
+        assert len(found) == len(set(found)) == 29 and {x for pair in found for x in pair} == set(nodes[:30])
+        sketched = (*side[:3], [partenum.parity_sketch(s) for s in sets])
+        assert set(nodes[:30]) <= {node for node, in partenum.perhaps_linked([(*sketched, *sketched, same)])}
+    one = (nodes[:30], [nodes[0]] * 30, [100] * 30, [s.tobytes() for s in sets[:30]])
+    assert not list(partenum.joining_links([(*one, *one, False)]))
