@@ -287,6 +287,43 @@ def test_chains_and_groups_are_linked_through_any_member(spark):
     assert near(documents(spark, rows)) == plain_components(rows)
 
 
+def near_copies():
+    draw = random.Random(23)
+    copy = sentence(draw, 60).split()
+    rows = []
+    for k in range(30):
+        own = list(copy)
+        for _ in range(draw.randint(0, 3)):
+            own[draw.randrange(len(own))] = sentence(draw, 1)
+        rows.append((k, " ".join(own)))
+    return rows
+
+
+def test_confirming_sends_four_bytes_an_element(spark, monkeypatch):
+    sent, plain = [], minhash.with_both
+
+    def looked_at(pairs, facts):
+        if "shingles" in facts.columns:
+            sent.append(max(r[0] for r in facts.select(F.octet_length("shingles")).collect()))
+        return plain(pairs, facts)
+
+    monkeypatch.setattr(minhash, "with_both", looked_at)
+    rows = near_copies()
+    assert near(documents(spark, rows)) == plain_components(rows)
+    assert sent[0] == 4 * 56
+
+
+def test_pairs_left_open_by_low_bits_are_decided_in_full(spark, monkeypatch):
+    a = np.arange(1, 101, dtype=np.uint64) << np.uint64(32)
+    low = lambda x: np.frombuffer(minhash.low_bits(x), "<u4")
+    assert minhash.similar_on_low_bits(low(a), low(a), 75) is True
+    assert minhash.similar_on_low_bits(low(a[:86]), low(a[14:]), 75) is False
+    assert minhash.similar_on_low_bits(low(a), low(a[25:]), 75) is None
+    monkeypatch.setattr(minhash, "similar_on_low_bits", lambda *_: None)
+    rows = near_copies()
+    assert near(documents(spark, rows)) == plain_components(rows)
+
+
 def test_contraction_finds_components(spark):
     edges = [(k, k + 1) for k in range(300)] + [(1000, 1000 + k) for k in range(1, 200)] + [(5000, 5000), (6000, 6001), (6001, 6000)]
     got = components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
