@@ -31,6 +31,7 @@ COORDINATES = BANDS * ROWS
 LEAST_EQUAL = 74
 #: Nodes of a bucket that are compared together.
 BLOCK = 128
+SIGNED_COLUMNS = ("node", "component", "signature", "n")
 BLOCK_COLUMNS = ("node", "component", "signature", "shingles")
 #: Shingles whose signatures are made together.
 TOGETHER = 1 << 16
@@ -256,12 +257,30 @@ def hub_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return map_rows(near.select("a", "b", "signature_a", "signature_b"), run, "a binary, b binary")
 
 
+def paired_blocks(rest: DataFrame, facts: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Blocks of the nodes of ``rest (bucket, node, component, main, total)`` with ``facts``, each two that may have links.
+
+    A row is a block of nodes outside the bucket's largest component (``columns`` with ``_l``) with itself or another block.
+    """
+    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("total") / BLOCK))
+    blocks = stored(
+        rest.join(facts, "node")
+        .groupBy("bucket", (F.col("component") == F.col("main")).alias("main"), salt.alias("salt"))
+        .agg(*[F.collect_list(c).alias(c) for c in columns]),
+        "blocks",
+    )
+    left = blocks.where("NOT main").select("bucket", *[F.col(c).alias(f"{c}_l") for c in ("salt", *columns)])
+    joined = left.join(blocks, "bucket").where("main OR salt_l <= salt")
+    return joined.select("bucket", *(f"{c}_l" for c in columns), *columns)
+
+
 def cross_links(members: DataFrame, nodes: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame:
     """Links between nodes of one bucket that are in different components, at least one a node and component.
 
-    The nodes outside a bucket's largest component are compared with all of the bucket, in blocks of BLOCK nodes
-    that carry their full sets. A block is a row, so no task holds a bucket; pairs are looked at inside a task, in
-    the first bucket they share, and only confirmed links leave it.
+    The nodes outside a bucket's largest component are compared with all of the bucket, in blocks of BLOCK nodes:
+    first by size and signature, then those that have a likely partner there by their full sets. A block is a row, so
+    no task holds a bucket; pairs are looked at inside a task, in the first bucket they share, and only nodes with
+    likely partners and confirmed links leave it.
     """
     placed = members.join(labels, "node", "left").select(
         "bucket", "node", F.coalesce("component", "node").alias("component")
@@ -271,18 +290,36 @@ def cross_links(members: DataFrame, nodes: DataFrame, labels: DataFrame, docs: D
         F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("parts")
     ).where("parts > 1").drop("parts")
     rest = stored(placed.join(mixed, "bucket"), "mixed-buckets")
-    facts = perhaps_in(nodes.select("node", "signature"), "node", rest).join(full_sets(rest, nodes, docs), "node")
-    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("total") / BLOCK))
-    blocks = stored(
-        rest.join(facts, "node")
-        .groupBy("bucket", (F.col("component") == F.col("main")).alias("main"), salt.alias("salt"))
-        .agg(*[F.collect_list(c).alias(c) for c in BLOCK_COLUMNS]),
-        "blocks",
-    )
-    left = blocks.where("NOT main").select("bucket", *[F.col(c).alias(f"{c}_l") for c in ("salt", *BLOCK_COLUMNS)])
-    joined = left.join(blocks, "bucket").where("main OR salt_l <= salt")
-    columns = ["bucket", *(f"{c}_l" for c in BLOCK_COLUMNS), *BLOCK_COLUMNS]
-    return map_rows(joined.select(columns), _compare_blocks, "a binary, b binary").distinct()
+    signed = perhaps_in(nodes.select("node", "n", "signature"), "node", rest)
+    likely = map_rows(paired_blocks(rest, signed, SIGNED_COLUMNS), _likely_nodes, "bucket long, node binary")
+    likely = stored(likely.distinct(), "likely-nodes")
+    facts = perhaps_in(nodes.select("node", "signature"), "node", likely).join(full_sets(likely, nodes, docs), "node")
+    blocks = paired_blocks(rest.join(likely, ["bucket", "node"]), facts, BLOCK_COLUMNS)
+    return map_rows(blocks, _compare_blocks, "a binary, b binary").distinct()
+
+
+def _likely_partners(bucket, signature, n, signs, sizes) -> np.ndarray:
+    """Places of the nodes whose size and signature allow the similarity and whose first common bucket this is."""
+    raw = np.frombuffer(signature, np.uint32)
+    equal = signs == raw
+    fits = 100 * np.minimum(sizes, n) >= SIMILAR * np.maximum(sizes, n)
+    likely = np.flatnonzero((equal.sum(1) >= LEAST_EQUAL) & fits)
+    if not len(likely):
+        return likely
+    band = int(np.flatnonzero(bucket_values(raw[None, :])[0].view(np.int64) == bucket)[0])
+    return likely[equal[likely].reshape(-1, BANDS, ROWS).all(2).argmax(1) == band]
+
+
+def _likely_nodes(rows):
+    for bucket, nodes_l, parts_l, signatures_l, sizes_l, nodes, parts, signs, sizes in rows:
+        right = np.frombuffer(b"".join(signs), np.uint32).reshape(len(nodes), COORDINATES)
+        sizes = np.array(sizes)
+        asked = set()
+        for node, part, signature, n in zip(nodes_l, parts_l, signatures_l, sizes_l):
+            for k in _likely_partners(bucket, signature, n, right, sizes).tolist():
+                if parts[k] != part:
+                    asked |= {node, nodes[k]}
+        yield from ((bucket, node) for node in asked)
 
 
 def _compare_blocks(rows):
@@ -291,16 +328,9 @@ def _compare_blocks(rows):
         full = [np.frombuffer(s, np.uint64) for s in sets]
         sizes = np.array([len(s) for s in full])
         for node, part, signature, shingles in zip(nodes_l, parts_l, signatures_l, sets_l):
-            own, raw = np.frombuffer(shingles, np.uint64), np.frombuffer(signature, np.uint32)
-            equal = right == raw
-            fits = 100 * np.minimum(sizes, len(own)) >= SIMILAR * np.maximum(sizes, len(own))
-            likely = np.flatnonzero((equal.sum(1) >= LEAST_EQUAL) & fits)
-            if not len(likely):
-                continue
-            band = int(np.flatnonzero(bucket_values(raw[None, :])[0].view(np.int64) == bucket)[0])
-            first = equal[likely].reshape(-1, BANDS, ROWS).all(2).argmax(1)
+            own = np.frombuffer(shingles, np.uint64)
             linked = set()
-            for k in likely[first == band].tolist():
+            for k in _likely_partners(bucket, signature, len(own), right, sizes).tolist():
                 other = parts[k]
                 if other != part and other not in linked and similar(own, full[k]):
                     linked.add(other)
