@@ -319,7 +319,7 @@ def test_only_nodes_with_likely_partners_are_sent_in_full():
     sets = [base, base[4:], draw.integers(0, 2**63, 200, dtype=np.uint64), base[8:]]
     signs = minhash.signatures(sets)
     values = minhash.bucket_values(signs).view(np.int64)
-    bucket = int(values[0][np.flatnonzero(values[0] == values[1])[0]])
+    bucket = int(values[0][np.flatnonzero((values[0] == values[1]) & (values[0] == values[3]))[0]])
     side = ([b"a", b"b", b"c", b"d"], [b"a", b"b", b"c", b"a"], [x.tobytes() for x in signs], [len(x) for x in sets])
     found = set(minhash._likely_nodes([(bucket, *side, *side)]))
     assert {(bucket, b"a"), (bucket, b"b")} <= found and (bucket, b"c") not in found
