@@ -358,29 +358,29 @@ WORDS_DDL = "node long,doc long,line int,n_bytes long,words string"
 def line_words(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """``node, doc, line, n_bytes, words`` of ``classes (node, doc_id, text_hash, line_no, digest)``.
 
-    ``words`` are the distinct words of the class's first line, ``doc`` and ``line`` are its place.
+    ``words`` are the distinct words of the class's first line, ``doc`` and ``line`` are its place. Lines are taken
+    from the texts where these are read: only those that may be asked for are shuffled.
     """
-    wanted = classes.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("node", "line_no", "digest")).alias("lines"))
     some = perhaps_in(docs.select("doc_id", "text", text_hash().alias("text_hash")), "text_hash", classes)
-    same = some["doc_id"].eqNullSafe(wanted["doc_id"]) & (some["text_hash"] == wanted["text_hash"])
-    found = some.join(wanted, same).select(F.coalesce(some["doc_id"], F.lit(NO_DOC)).alias("doc"), "text", "lines")
-
-    def run(rows):
-        for doc, text, lines in rows:
-            own = utf8(text).split(b"\n")
-            for line in lines:
-                words = set(own[line["line_no"]].split()) if line["line_no"] < len(own) else set()
-                # texts may have equal hashes; the digest tells whose line it is
-                if words and digest_of(words) == (line["node"], line["digest"]):
-                    joined = b" ".join(words)
-                    yield line["node"], doc, line["line_no"], len(joined), joined.decode()
-
-    return map_rows(found, run, WORDS_DDL).dropDuplicates(["node"])
+    every = some.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "own"))
+    asked = perhaps_in(every, ["text_hash", "line_no"], classes)
+    wanted = classes.withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash", "line_no": "_line"})
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")) & (F.col("line_no") == F.col("_line"))
+    found = asked.join(wanted, same).select("node", "digest", F.coalesce("_doc", F.lit(NO_DOC)), "_line", "own")
 
+    def run(batches):
+        for batch in batches:
+            # texts may have equal hashes; the digest tells whose line it is
+            own = batch.column(4)
+            one, two = LineSets(own).digests()
+            mine = (one.view(np.int64) == batch.column(0).to_numpy()) & (two.view(np.int64) == batch.column(1).to_numpy())
+            places = zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)))
+            for ours, place, line in zip(mine.tolist(), places, own.to_pylist()):
+                if ours and (words := set(utf8(line).split())):
+                    joined = b" ".join(words)
+                    yield *place, len(joined), joined.decode()
 
-def digest_of(words: set[bytes]) -> tuple[int, int]:
-    values = word_hashes(pa.array(list(words), pa.binary()))
-    return tuple(int(mix(mix(values + np.uint64(k)).sum(keepdims=True)).view(np.int64)[0]) for k in (1, 2))
+    return map_batches(found, run, WORDS_DDL).dropDuplicates(["node"])
 
 
 LINKS_DDL = "node long,n_links long,doc long,line int"

@@ -169,15 +169,18 @@ def similar_on_low_bits(a: np.ndarray, b: np.ndarray, percent: int) -> bool | No
     return True if both >= need + 2 + 8 * len(a) * len(b) // 2**32 else None
 
 
-def perhaps_in(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+def perhaps_in(df: DataFrame, key: str | list[str], wanted: DataFrame) -> DataFrame:
     """Rows of ``df`` whose key may be in ``wanted``; few others while ``wanted`` is small.
 
-    Compares hash residues: at most RESIDUES numbers are broadcast, whatever the size of ``wanted``, and a
-    join on the key itself follows. Spares the shuffle most of the wide rows that nobody asked for.
+    Compares hash residues, of which 64 are bits of one row: at most RESIDUES rows are broadcast, whatever the size of
+    ``wanted``, and a join on the key itself follows. Spares the shuffle most of the wide rows that nobody asked for.
     """
-    residue = F.pmod(F.xxhash64(key), F.lit(RESIDUES))
-    few = wanted.select(residue.alias("_residue")).distinct()
-    return df.join(F.broadcast(few), residue == F.col("_residue"), "left_semi")
+    place = F.pmod(F.xxhash64(*([key] if isinstance(key, str) else key)), F.lit(64 * RESIDUES))
+    residue = F.shiftright(place, 6)
+    bit = F.expr("shiftleft(1L, cast(_place & 63 AS int))")
+    few = wanted.select(place.alias("_place")).groupBy(F.shiftright("_place", 6).alias("_residue")).agg(F.bit_or(bit).alias("_bits"))
+    near = df.withColumn("_place", place).join(F.broadcast(few), residue == F.col("_residue"))
+    return near.where(F.col("_bits").bitwiseAND(bit) != 0).select(*df.columns)
 
 
 def full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, low: bool = False) -> DataFrame:
@@ -196,7 +199,7 @@ def full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, low: bool =
         shingler = Shingler()
         for node, text in rows:
             shingles = shingler.hashes(text)
-            if xxhash.xxh3_128_digest(shingles.tobytes()) == node:
+            if xxhash.xxh3_128_digest(shingles.tobytes())[:len(node)] == node:
                 yield node, low_bits(shingles) if low else shingles.tobytes()
 
     return stored(map_rows(found, own, "node binary, shingles binary").dropDuplicates(["node"]), "full-sets")

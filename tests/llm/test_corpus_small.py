@@ -561,6 +561,29 @@ def test_rows_with_one_id_or_none_lose_their_own_lines_only(spark, odd):
     assert cuts(documents(spark, some)) == plain_cuts(some)
 
 
+def test_lines_asked_for_leave_their_texts_before_the_shuffle(spark):
+    rows = [(1, "a b\nc d e c"), (1, "x\ny z"), (None, "p q\n\nr s"), (2, "k\n" * 500)]
+    docs = documents(spark, rows, clash=False)
+    asked = {(1, "c d e c"), (1, "x"), (None, "r s")}
+    digest = lambda line: [int(d.view(np.int64)[0]) for d in lines.LineSets(pa.array([line])).digests()]
+    split = docs.select("doc_id", lines.text_hash().alias("h"), F.posexplode(F.split("text", "\n", -1)).alias("k", "line")).collect()
+    classes = [(digest(r.line)[0], r.doc_id, r.h, r.k, digest(r.line)[1]) for r in split if (r.doc_id, r.line) in asked]
+    wanted = spark.createDataFrame(classes, "node long, doc_id long, text_hash long, line_no int, digest long")
+    found = lines.line_words(docs, wanted)
+    got = {(r.doc, r.line, r.n_bytes, frozenset(r.words.split())) for r in found.collect()}
+    assert got == {(1, 1, 5, frozenset("cde")), (1, 0, 1, frozenset("x")), (2**63 - 1, 2, 3, frozenset("rs"))}
+    assert "posexplode" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_row_of_residues_tells_keys_apart(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "RESIDUES", 16)
+    some = spark.range(16).toDF("key")
+    left = minhash.perhaps_in(spark.range(20_000).toDF("key"), "key", some)
+    kept = {r.key for r in left.collect()}
+    assert left.columns == ["key"] and set(range(16)) <= kept and len(kept) < 1_000
+    assert minhash.perhaps_in(some, "key", some.limit(0)).count() == 0
+
+
 # --- shards ---------------------------------------------------------------------
 
 def test_shards(spark, odd, empty):
