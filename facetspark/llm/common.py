@@ -107,6 +107,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    # shuffle files of a finished job go when the driver finds out that nobody refers to them
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -50,6 +50,8 @@ MEMBERS = 1024
 BLOCK = 256
 BLOCK_ELEMENTS = 1 << 19
 HASH_BYTES = 5
+#: Bytes of the digest that names a set: each signature of a set carries them.
+NODE_BYTES = 12
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -201,7 +203,8 @@ class Packer:
             for part in np.split(np.arange(len(order)), np.flatnonzero(np.diff(bucket)) + 1):
                 own, first, count = np.unique(owners[part], return_index=True, return_counts=True)
                 low = hashes[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
-                head = len(own).to_bytes(8, "little") + count.astype("<u4").tobytes()
+                counts = zlib.compress(count.astype("<u4").tobytes(), 1)
+                head = len(own).to_bytes(8, "little") + len(counts).to_bytes(8, "little") + counts
                 yield int(bucket[part[0]]), head + b"".join(self.nodes[k] for k in own.tolist()) + low
         self.hashes, self.owners, self.nodes, self.n = [], [], [], 0
 
@@ -210,10 +213,10 @@ def unpacked(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]
     """Signature hashes, the number of the node of each, and the distinct nodes in ascending order."""
     hashes, counts, nodes = [], [], []
     for raw in payloads:
-        n = int.from_bytes(raw[:8], "little")
-        counts.append(np.frombuffer(raw, "<u4", n, 8).astype(np.int64))
-        nodes += [raw[8 + 4 * n + 16 * k:24 + 4 * n + 16 * k] for k in range(n)]
-        low = np.frombuffer(raw, np.uint8, offset=8 + 20 * n).reshape(-1, HASH_BYTES)
+        n, at = int.from_bytes(raw[:8], "little"), 16 + int.from_bytes(raw[8:16], "little")
+        counts.append(np.frombuffer(zlib.decompress(raw[16:at]), "<u4").astype(np.int64))
+        nodes += [raw[at + NODE_BYTES * k:at + NODE_BYTES * (k + 1)] for k in range(n)]
+        low = np.frombuffer(raw, np.uint8, offset=at + NODE_BYTES * n).reshape(-1, HASH_BYTES)
         wide = np.zeros((len(low), 8), np.uint8)
         wide[:, :HASH_BYTES] = low
         hashes.append(wide.view("<u8").ravel())
@@ -258,7 +261,7 @@ def stars(hashes: np.ndarray, owner: np.ndarray, names: list[bytes]) -> Iterator
 def signed_sets(docs: DataFrame) -> DataFrame:
     """``FOUND_DDL`` of ``docs (doc_id, text)``: the set of each row, and what shares signatures.
 
-    A node is the 128-bit digest of a set. Texts are read once: sets go along with the signatures.
+    A node is the digest of a set, 96 bits. Texts are read once: sets go along with the signatures.
     """
     import bisect
 
@@ -282,7 +285,7 @@ def signed_sets(docs: DataFrame) -> DataFrame:
             if not len(own):
                 yield doc_id, crc, 0, None, None, crc % buckets, None
                 continue
-            node = xxhash.xxh3_128_digest(own.tobytes())
+            node = xxhash.xxh3_128_digest(own.tobytes())[:NODE_BYTES]
             yield doc_id, crc, len(own), node, parity_sketch(own), crc % buckets, None
             if node in seen:  # a set is posted once
                 continue
@@ -380,7 +383,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
         shingler = Shingler()
         for _, text in rows:
             own = shingler.hashes(text)
-            yield xxhash.xxh3_128_digest(own.tobytes()), low_bits(own)
+            yield xxhash.xxh3_128_digest(own.tobytes())[:NODE_BYTES], low_bits(own)
 
     sets = map_rows(perhaps_in(docs.select("doc_id", "text"), "doc_id", ids), low_sets, "node binary, low binary")
     placed = roles.join(sets, "node").repartition("key", "salt").sortWithinPartitions("key", "salt", F.desc("hub"))

@@ -156,3 +156,18 @@ def test_links_of_blocks_join_components():
         assert set(nodes[:30]) <= {node for node, in partenum.perhaps_linked([(*sketched, *sketched, same)])}
     one = (nodes[:30], [nodes[0]] * 30, [100] * 30, [s.tobytes() for s in sets[:30]])
     assert not list(partenum.joining_links([(*one, *one, False)]))
+
+
+def test_packed_signatures_name_their_nodes_in_few_bytes():
+    draw = np.random.default_rng(3)
+    nodes = [draw.bytes(partenum.NODE_BYTES) for _ in range(3000)]
+    packer = partenum.Packer(1)
+    hashes = draw.integers(0, 2**63, 3001, dtype=np.uint64)
+    packer.add(hashes, np.append(np.arange(3000), 7), nodes)
+    (_, payload), = packer.flush()
+    assert len(payload) < 18.5 * 3001
+    back, owner, names = partenum.unpacked([payload])
+    assert names == sorted(nodes)
+    low = np.uint64((1 << 8 * partenum.HASH_BYTES) - 1)
+    want = {(nodes[k], int(h)) for k, h in zip([*range(3000), 7], (partenum.mix(hashes) & low).tolist())}
+    assert {(names[k], h) for k, h in zip(owner.tolist(), back.tolist())} == want
